@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,47 +94,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """A one-hash Bloom filter of fixed size over long ids: a bounded broadcast that thins a scan before a join.
+    """A one-hash Bloom filter of fixed size over long ids: a bounded constant that thins a scan before a join.
 
     It may let through ids that are not in the set, never the reverse; the join that follows is exact. Its size does
     not grow with the data (``bits`` / 8 bytes), so it may be sent to every task; with more ids than bits it only
     thins less.
     """
 
-    def __init__(self, ids: DataFrame, column: str, bits: int = 1 << 24):
-        self.bits = bits
-        slot = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    def __init__(self, ids: DataFrame, column: str, bits: int = 1 << 23):
+        self.spark, self.bits = ids.sparkSession, bits
         rows = (
-            ids.select(slot.alias("s"))
+            ids.select(self._slot(F.col(column)).alias("s"))
             .groupBy(F.shiftright("s", 6).cast("int").alias("w"))
             .agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("v"))
         )
-        words = np.zeros(bits // 64, dtype=np.int64)
         got = rows.toPandas()
+        words = np.zeros(bits // 64, dtype=np.int64)
         words[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
-        self.words = words
-
-    def thin(self, df: DataFrame, column: str) -> DataFrame:
-        """The rows whose id may be in the set."""
-        from pyspark.sql.types import StructType
-
-        sc, bits = df.sparkSession.sparkContext, self.bits
-        shared = sc.broadcast(self.words)
-        slotted = df.withColumn("__slot", F.pmod(F.xxhash64(F.col(column)), F.lit(bits)))
-
-        def pick(batches):
-            for batch in batches:
-                s = batch.column("__slot").to_numpy()
-                mask = (shared.value[s >> 6] >> (s & 63)) & 1
-                yield batch.filter(_bools(mask)).drop_columns(["__slot"])
-
-        return slotted.mapInArrow(pick, StructType(df.schema.fields))
-
+        self.words = pa.table({"words": pa.array([words], pa.list_(pa.int64()))})
 
-def _bools(mask):
-    import pyarrow as pa
+    def _slot(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.bits))
 
-    return pa.array(mask.astype(bool))
+    def maybe(self, column: str) -> Column:
+        """Whether the id may be in the set, inside the JVM."""
+        words, slot = self.spark.createDataFrame(self.words).scalar(), self._slot(F.col(column))
+        word = F.get(words, F.shiftright(slot, 6).cast("int"))
+        return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def components(scratch: Scratch, edges: DataFrame, limit: int = 64) -> DataFrame:
