@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import exact, forest, language, mixing, neardup, quality, secrets, suffixes
+from lexmill.llm import exact, forest, language, lines, mixing, neardup, quality, secrets, suffixes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash_neardup": neardup.op6_minhash_neardup,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_language": language.op9_language,
     "op10_exact_dedup": exact.op10_exact_dedup,
