@@ -123,6 +123,13 @@ class Bitmap:
         return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids; only rows that a bitmap cannot clear are moved for it."""
+    gone = Bitmap(ids, "doc_id")
+    doubtful = docs.filter(gone.maybe("doc_id") & F.col("doc_id").isNotNull()).join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.filter(~gone.maybe("doc_id") | F.col("doc_id").isNull()).unionByName(doubtful.select(*docs.columns))
+
+
 def components(scratch: Scratch, edges: DataFrame, limit: int = 64) -> DataFrame:
     """Connected components of edges (a, b), both long: (id, component) with component the smallest id reachable.
 

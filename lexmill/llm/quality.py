@@ -158,6 +158,21 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that classify() predicts as 1, with all their columns and no others."""
+    tune(docs.sparkSession)
+    model = fit(Scratch(docs.sparkSession, "quality").keep(features(docs)), labels)
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.stack([statistics(t) for t in batch.column("__text").to_pylist()]) if len(batch) else np.zeros((0, len(FEATURES)))
+            yield batch.filter(pa.array(model.score(x) >= THRESHOLD)).drop_columns(["__text"])
+
+    return docs.withColumn("__text", either(docs, "text", "string")).mapInArrow(work, docs.schema)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.llm import exact, forest, language, lines, mixing, neardup, quality, secrets, suffixes
+from lexmill.llm import exact, forest, language, lines, mixing, neardup, pieces, quality, secrets, suffixes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_ann": forest.op2_ann,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash_neardup": neardup.op6_minhash_neardup,
