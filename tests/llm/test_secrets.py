@@ -1,0 +1,58 @@
+import hashlib
+import random
+import re
+
+from lexmill.llm import secrets
+from tests.llm.helpers import frame, odd_rows
+
+
+def brute(text):
+    spans = []
+    for m in re.finditer(r"""(?a:((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text):
+        if len(m[2]) >= 6:
+            spans.append((m.start(), 0, "assign", m.end()))
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(1)
+    parts = ["password", "Secret", "API_KEY", "apikey", "token", "=", ": ", '"', "'", " ", "abc123", "x", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef01234567", "é", "ſecret", "\n", "toKen"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert secrets.listed(secrets.base_spans(text)) == brute(text), text
+
+
+def test_links_need_a_complement():
+    weak = "Zx81kPq07LmN44vT"
+    for text, kinds in [
+        (f"look at {weak} alone", []), (f"user: alice uses {weak} at https://db.example.org/x", ["ident", "weak", "endpoint"]),
+        ("user: alice at https://db.example.org/x", []), (f"{weak} " + "word " * 60 + "user: alice", []), (f"{weak}\n\nuser: alice", []),
+    ]:
+        base = secrets.base_spans(text)
+        got = secrets.link(text, base, secrets.weak_parts(text, base))
+        assert [k for _, _, k in sorted(got)] == kinds, text
+
+
+def test_interval_link_against_all_pairs():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["user: bob ", "https://h.example/a ", "Zx81kPq07LmN44vT ", "word " * 15, "\n\n", "token=abcdef12 "]) for _ in range(12))
+        base = secrets.base_spans(text)
+        weak = secrets.weak_parts(text, base)
+        walls = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
+        want = []
+        for a, b, k in weak:
+            low = max([a - secrets.SCOPE, 0, *[w for w in walls if w < a]])
+            high = min([b + secrets.SCOPE, len(text), *[w for w in walls if w >= b]])
+            if any(secrets.SIDE[k2] != secrets.SIDE[k] and a2 < high and b2 > low for a2, b2, k2 in [*base, *weak]):
+                want.append((a, b, k))
+        assert secrets.link(text, base, weak) == want
+
+
+def test_odd_rows(spark):
+    got = secrets.scan(frame(spark, extra=True)).collect()
+    assert len(got) == len(odd_rows())
+    assert sorted(r.base_sha256 for r in got) == sorted(hashlib.sha256(brute(t or "").encode()).hexdigest() for _, t, *_ in odd_rows())
+    assert secrets.scan(frame(spark, [])).collect() == []
