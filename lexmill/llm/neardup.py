@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexmill.llm.common import Bitmap, Scratch, components, either, mix64, read, tune
 
@@ -47,7 +48,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     n = len(sets)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     best = np.full((n, t), full, dtype=np.uint64)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets) if n else np.zeros(0, dtype=np.uint64)
     owner = np.repeat(np.arange(n), sizes)
     for i in range(2 * t):
@@ -124,13 +125,17 @@ class _Verifier:
     def __init__(self, scratch: Scratch, rows: DataFrame, k: int):
         self.scratch, self.rows, self.k = scratch, rows, k
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """The shingle sets of those documents."""
+        thin = self.rows.filter(Bitmap(ids, "id").maybe("id"))
+        wanted = thin.join(ids, "id", "left_semi")
+        return self.scratch.keep(shingle_sets(wanted, self.k).dropDuplicates(["id"]))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links. Either side may be hot; the joins are left to split it."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         ids = self.scratch.keep(ids)
-        thin = self.rows.filter(Bitmap(ids, "id").maybe("id"))
-        wanted = thin.join(ids, "id", "left_semi")
-        sets = self.scratch.keep(shingle_sets(wanted, self.k).dropDuplicates(["id"]))
+        sets = self.sets(ids)
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         shared = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -146,8 +151,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
     Rows of one shingle set collapse to the smallest id first, so that large groups of copies cost one row. In every
     bucket of a band all members are compared with its smallest id; buckets that the links found leave in more than
-    one component then compare a second member, and what is still apart is compared pair by pair across components,
-    so that mates of two buckets are never left untried and a bucket of copies does not spend the square of its size.
+    one component are compared with their largest id too. Members of buckets that are still apart are joined on their
+    rarest shingles, which misses no link, so that no bucket ever spends the square of its size.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated doc_ids are one node of the graph: the
     component of a doc_id is that of any of its rows, and each row is returned. A null doc_id stays alone with a null
@@ -171,34 +176,58 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     first = members.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = check.links(scratch.keep(first))
     parts = components(scratch, links)
-    tried = first
-    for anchor in ("high", None):
-        placed = members.join(parts, "id", "left").select("key", "id", "n", "low", "high", F.coalesce("component", "id").alias("part"))
-        split = placed.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).filter("p1 <> p2").select("key")
-        open_ = scratch.keep(placed.join(split, "key"))
-        if anchor:
-            top = open_.filter(F.col("id") == F.col(anchor)).select("key", F.col("part").alias("other"), F.col("n").alias("n2"))
-            pairs = open_.join(top, "key").filter("part <> other").filter(_sizes("n", "n2")).select(F.col("id").alias("a"), F.col(anchor).alias("b"))
-        else:
-            x = open_.select("key", F.col("id").alias("a"), "n", "part")
-            y = open_.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-            pairs = x.join(y, "key").filter("part < part2").filter(_sizes("n", "n2")).select("a", "b")
-        pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"))
-        # A link has fewer than two bands in common with a probability under 1e-7.
-        pairs = pairs.filter(F.col("shared") >= (1 if anchor else 2)).select("a", "b")
-        fresh = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
+    open_ = _open(scratch, members, parts)
+    top = open_.filter("id = high").select("key", F.col("part").alias("other"), F.col("n").alias("n2"))
+    second = open_.join(top, "key").filter("part <> other").filter(_sizes("n", "n2")).select(F.least("id", "high").alias("a"), F.greatest("id", "high").alias("b")).distinct()
+    second = scratch.keep(second.join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        links = links.union(check.links(second))
+        parts = components(scratch, links)
         scratch.drop(open_)
-        if fresh.isEmpty():
-            continue
-        more = check.links(fresh)
-        tried = tried.union(fresh)
-        links = links.union(more)
+        open_ = _open(scratch, members, parts)
+    last = scratch.keep(_prefix_pairs(scratch, check, open_.select("id", "n", "part").distinct()).join(first.union(second), ["a", "b"], "left_anti"))
+    if not last.isEmpty():
+        links = links.union(check.links(last))
         parts = components(scratch, links)
     final = components(scratch, links.union(copied)) if not copied.isEmpty() else parts
     out = prints.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _open(scratch: Scratch, members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component."""
+    placed = members.join(parts, "id", "left").select("key", "id", "n", "low", "high", F.coalesce("component", "id").alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).filter("p1 <> p2").select("key")
+    return scratch.keep(placed.join(split, "key"))
+
+
+def _prefix_pairs(scratch: Scratch, check: _Verifier, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of docs (id, n, part) in different components that may be links; no link is left out.
+
+    A link shares 80 % of either set, so it shares one of the first n - ceil(0.8 n) + 1 shingles of both in any common
+    order. In the order of rarity a document that differs from all others in a fifth of its shingles has only shingles
+    of its own there and meets nothing, however many documents share the rest of it.
+    """
+    sets = check.sets(docs.select("id"))
+    words = sets.select("id", F.explode("s").alias("w"))
+    often = words.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = words.join(often, "w").join(docs, "id")
+    mine = W.partitionBy("id")
+    own = shared.withColumn("k", F.row_number().over(mine.orderBy("df", "w"))).withColumn("m", F.count("*").over(mine))
+    # Places in the order of rarity; a document's own shingles come before all shared ones.
+    own = own.withColumn("at", F.col("n") - F.col("m") + F.col("k"))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT[1] / PERCENT[0]) + 1
+    short = scratch.keep(own.filter(F.col("at") <= first).select("w", "id", "n", "part", "at"))
+    split = short.groupBy("w").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).filter("p1 <> p2").select("w")
+    some = scratch.keep(short.join(split, "w"))
+    x, y = some.select("w", F.col("id").alias("a"), "n", "part", "at"), some.select("w", F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "part", "at")])
+    # The first shingle that a link shares has enough places behind it on both sides for all that it must share.
+    behind = 1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    reach = (PERCENT[0] + PERCENT[1]) * behind >= PERCENT[1] * (F.col("n") + F.col("n2"))
+    pairs = x.join(y, (x["w"] == y["w"]) & (F.col("part") < F.col("part2")) & _sizes("n", "n2") & reach)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _sizes(a: str, b: str):
     return PERCENT[0] * F.least(a, b) >= PERCENT[1] * F.greatest(a, b)
 
