@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexmill.plans import q_access, q_config, q_evaluation, q_mapping, q_text, q_workflow  # noqa: F401  they register
+from lexmill.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 FLAGSHIP = "map_state"
