@@ -67,6 +67,8 @@ def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[st
     typed = scored.join(table.select("requirement", F.col("document_type").alias("__type")), "requirement").filter(F.col("document_type") == F.col("__type")).drop("__type")
     states = mapping.state(typed, ["review_id"], F.col("evidence_id")).join(table, "requirement")
     states = states.withColumn("mapping_state", F.col("state")).withColumn("candidates", F.col("evidence"))
+    # Read by every evaluator and by the result: kept, so that it is worked out once. Lost parts are worked out again.
+    states = states.persist()
     kinds = {r.code: r.evaluator_type for r in snapshot}
     presence = [c for c, k in kinds.items() if k == "PRESENCE"]
     present = states.filter(F.col("requirement").isin(presence)) if presence else states.limit(0)
@@ -79,14 +81,16 @@ def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[st
         own = states.filter(F.col("requirement") == r.code)
         confirmed = own.filter("mapping_state = 'CONFIRMED'").select(*keys, F.explode("evidence").alias("evidence_id")).join(clauses.select("review_id", "evidence_id", "content"), ["review_id", "evidence_id"])
         facts = extract.fact_status(confirmed, keys, r.terms).select(*keys, F.col("status").alias("facts_status"))
-        subjects = own.join(facts, keys, "left")
-        rows = evaluate.evaluate_numeric(subjects, extract.extract(confirmed, keys, r.terms), keys)
+        subjects = own.join(facts, keys, "left").persist()
+        rows = evaluate.evaluate_numeric(subjects, extract.extract(confirmed, keys, r.terms).persist(), keys).persist()
         bad = rows.filter(evaluate.evidence_violation(F.col("classification"), F.col("evidence"))).select(*keys)
         failures = failures.unionByName(bad.withColumn("failure", F.lit("evaluation without evidence")))
         found = found.unionByName(rows.join(bad, keys, "left_anti"))
     found = found.join(states.select(*keys, "mapping_state", "required"), keys)
     evaluations = found.withColumn("requires", rollup.requires_decision(F.col("classification"), F.col("rule_outcome"), F.col("required"), F.lit(False)))
-    findings = rollup.finding_classification(evaluations, keys).join(evaluations.groupBy(*keys).agg(F.bool_or("requires").alias("requires_decision")), keys)
+    evaluations = evaluations.persist()
+    needed = evaluations.groupBy(*keys).agg(F.bool_or("requires").alias("requires_decision"))
+    findings = rollup.finding_classification(evaluations, keys).join(needed, keys)
     reviews = clauses.select("review_id").distinct()
     review = rollup.review_outcome(findings.withColumn("resolved", ~F.col("requires_decision")), reviews, "review_id")
     return {"states": states, "evaluations": evaluations, "findings": findings, "skipped": skipped, "failures": failures, "reviews": review}
