@@ -25,18 +25,32 @@ def legal_scope(reviews: DataFrame, findings: DataFrame, escalations: DataFrame)
     return rows.withColumn("in_legal_scope", (F.col("status") == "LEGAL_REVIEW") | F.coalesce("__raised", F.lit(False))).drop("__raised")
 
 
-def visible_reviews(scoped: DataFrame, users: DataFrame, assignments: DataFrame, permissions: DataFrame, see_legal: str) -> DataFrame:
-    """(user_id, review_id) that a user may see: own ones, live assignments, and legal ones with the permission.
+def grounds(scoped: DataFrame, users: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(user_id, review_id) of reviews that a user owns or has a live assignment to."""
+    own = scoped.join(users, scoped["owner_id"] == users["user_id"]).select("user_id", "review_id")
+    live = assignments.filter(F.col("revoked_at").isNull())
+    return own.union(live.join(scoped.select("review_id"), "review_id").select("user_id", "review_id")).distinct()
+
+
+def visible_reviews(scoped: DataFrame, user_id: int, assignments: DataFrame, sees_legal: bool) -> DataFrame:
+    """The reviews that one user may see: own ones, live assignments, and those in legal scope with the permission."""
+    live = assignments.filter(F.col("revoked_at").isNull() & (F.col("user_id") == user_id)).select("review_id").distinct().withColumn("__live", F.lit(True))
+    rows = scoped.join(live, "review_id", "left")
+    return rows.filter((F.col("owner_id") == user_id) | F.coalesce("__live", F.lit(False)) | (F.lit(sees_legal) & F.col("in_legal_scope"))).drop("__live")
 
-    Three equi-joins and a union; no pair of user and review is tried that has no ground.
+
+def visible_counts(scoped: DataFrame, users: DataFrame, assignments: DataFrame, permissions: DataFrame, see_legal: str) -> DataFrame:
+    """(user_id, reviews): how many reviews each user may see, for those who see any.
+
+    Whoever sees legal reviews sees all of them, so those are counted once and not paired with every such user.
     """
-    own = scoped.join(users, scoped["owner_id"] == users["user_id"]).select("user_id", "review_id")
-    assigned = assignments.filter(F.col("revoked_at").isNull()).join(scoped.select("review_id"), "review_id").select("user_id", "review_id")
-    legal_users = permissions.filter(F.col("permission") == see_legal).select("user_id").distinct()
-    # Every such user sees every review in legal scope: this output is a product by its meaning.
-    in_scope = scoped.filter("in_legal_scope").select("review_id", F.lit(see_legal).alias("permission"))
-    legal = legal_users.withColumn("permission", F.lit(see_legal)).join(in_scope, "permission").select("user_id", "review_id")
-    return own.union(assigned).union(legal).distinct()
+    legal = permissions.filter(F.col("permission") == see_legal).select("user_id").distinct().withColumn("__legal", F.lit(True))
+    all_legal = scoped.filter("in_legal_scope").agg(F.count("*").alias("n"))
+    held = grounds(scoped, users, assignments).join(scoped.select("review_id", "in_legal_scope"), "review_id")
+    per = held.groupBy("user_id").agg(F.count("*").alias("__all"), F.count_if(~F.col("in_legal_scope")).alias("__other"))
+    rows = per.join(legal, "user_id", "full_outer")
+    n = F.when(F.col("__legal"), F.coalesce("__other", F.lit(0)) + all_legal.scalar()).otherwise(F.col("__all"))
+    return rows.select("user_id", n.cast("long").alias("reviews")).filter("reviews > 0")
 
 
 def access_outcome(visible: Column, permitted: Column) -> Column:

@@ -57,12 +57,18 @@ def access_legal_scope(spark, d):
 
 
 @query("access_visible_reviews", f"""WITH {_SCOPED}, {_PERMISSIONS}, asg AS (SELECT l_orderkey AS review_id, l_suppkey AS user_id FROM lineitem WHERE l_linestatus = 'O')
-SELECT user_id, count(*) AS reviews FROM (SELECT owner_id AS user_id, review_id FROM sc JOIN customer ON c_custkey = owner_id UNION SELECT user_id, review_id FROM asg JOIN sc USING (review_id) UNION SELECT user_id, review_id FROM ep, sc WHERE permission = 'ASIA.decide' AND in_legal_scope AND user_id < 200) GROUP BY user_id""")
+SELECT user_id, count(*) AS reviews FROM (SELECT owner_id AS user_id, review_id FROM sc JOIN customer ON c_custkey = owner_id UNION SELECT user_id, review_id FROM asg JOIN sc USING (review_id) UNION SELECT user_id, review_id FROM ep, sc WHERE permission = 'ASIA.decide' AND in_legal_scope) GROUP BY user_id""")
 def access_visible_reviews(spark, d):
-    perms = access.effective_permissions(user_roles(spark, d), role_permissions(spark, d)).filter("user_id < 200")
+    perms = access.effective_permissions(user_roles(spark, d), role_permissions(spark, d))
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     assigned = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("review_id"), F.col("l_suppkey").alias("user_id"), F.when(F.col("l_linestatus") != "O", 1).alias("revoked_at"))
-    return access.visible_reviews(scoped(spark, d), users, assigned, perms, "ASIA.decide").groupBy("user_id").agg(F.count("*").alias("reviews"))
+    return access.visible_counts(scoped(spark, d), users, assigned, perms, "ASIA.decide")
+
+
+@query("access_caller_reviews", f"WITH {_SCOPED} SELECT review_id FROM sc WHERE owner_id = 7 OR in_legal_scope OR review_id IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey = 7)")
+def access_caller_reviews(spark, d):
+    assigned = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("review_id"), F.col("l_suppkey").alias("user_id"), F.when(F.col("l_linestatus") != "O", 1).alias("revoked_at"))
+    return access.visible_reviews(scoped(spark, d), 7, assigned, sees_legal=True).select("review_id")
 
 
 @query("access_outcome", f"WITH {_SCOPED}, {_PERMISSIONS} SELECT review_id, CASE WHEN NOT in_legal_scope THEN 'NOT_FOUND' WHEN owner_id NOT IN (SELECT user_id FROM ep WHERE permission = 'ASIA.view') THEN 'FORBIDDEN' ELSE 'OK' END AS outcome FROM sc")
@@ -145,9 +151,9 @@ def omit_legal_position(spark, d):
     return access.omit_position(rows, permitted=False)
 
 
-@query("audit_page", "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' AND user_id < 100 ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 25")
+@query("audit_page", "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 25")
 def audit_page(spark, d):
-    rows = access.omit_states(table(spark, d, "events").withColumn("before_state", F.col("props")), permitted=False).filter("event_type = 'purchase' and user_id < 100")
+    rows = access.omit_states(table(spark, d, "events").withColumn("before_state", F.col("props")), permitted=False).filter("event_type = 'purchase'")
     return report.page(rows, 2, 25, F.col("ts").desc(), F.col("event_id").desc()).select("event_id", "user_id", "event_type")
 
 

@@ -115,7 +115,8 @@ def map_negative_population(spark, d):
     return mapping.precision_check(mapping.score(table(spark, d, "benchmark"), CORPUS_RULES, "text"))
 
 
-@query("segment_evidence_ids", "SELECT doc_id, sha256(concat_ws(':', CAST(doc_id AS VARCHAR), '0', regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'))) AS evidence_id FROM documents WHERE NOT regexp_matches(text, '\\n\\s*\\n')")
+@query("segment_evidence_ids", r"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_split_to_array(text, '\n\s*\n')[1], '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content FROM documents)
+SELECT doc_id, sha256(concat_ws(':', CAST(doc_id AS VARCHAR), '0', content)) AS evidence_id FROM f WHERE content <> ''""")
 def segment_evidence_ids(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"\n\s*\n"))
-    return segment.evidence_ids(segment.segments(docs, ["doc_id"]), ["doc_id"]).select("doc_id", "evidence_id")
+    rows = segment.evidence_ids(segment.segments(table(spark, d, "documents"), ["doc_id"]), ["doc_id"])
+    return rows.filter("ordinal = 0").select("doc_id", "evidence_id")

@@ -114,14 +114,17 @@ def segment_clause_number(spark, d):
 
 
 @query("segment_status", r"""
-WITH p AS (SELECT page_id // 7 AS document, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')) >= 20 AS usable FROM pages WHERE page_id % 3 > 0 OR page_id % 7 > 2),
-a AS (SELECT document, count(*) AS pages, count(*) FILTER (WHERE usable) AS extracted FROM p GROUP BY document)
-SELECT CAST(document AS BIGINT) AS document, pages, extracted, CASE WHEN extracted = 0 THEN 'FAILED' WHEN extracted < pages THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM a
+WITH p AS (SELECT conv_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 20 AS usable FROM conversations),
+a AS (SELECT conv_id, count(*) AS pages, count(*) FILTER (WHERE usable) AS extracted FROM p GROUP BY conv_id)
+SELECT conv_id, pages, extracted, CASE WHEN extracted = 0 THEN 'FAILED' WHEN extracted < pages THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM a
 """)
 def segment_status(spark, d):
-    pages = table(spark, d, "pages").filter("page_id % 3 > 0 or page_id % 7 > 2")
-    rows = pages.select(F.expr("page_id div 7").cast("long").alias("document"), "page_id", F.regexp_replace("html", "<[^>]*>", "").alias("raw"))
-    return segment.page_status(rows, "document", "page_id", "raw")
+    return segment.page_status(table(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+@query("segment_html_pages", r"SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')) >= 20 AS usable FROM pages")
+def segment_html_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", segment.usable(F.regexp_replace("html", "<[^>]*>", "")).alias("usable"))
 
 
 @query("segment_page_offsets", r"""

@@ -128,18 +128,18 @@ def decision_commands(spark, d):
     return workflow.record_decisions(c, decisions(spark, d), grants).select("command_id", "refused", F.coalesce("version_number", F.lit(0)).cast("long").alias("version_number"))
 
 
-_ESC = "SELECT event_id AS escalation_id, user_id AS finding_id, CASE WHEN event_type = 'view' THEN NULL ELSE value END AS withdrawn_at FROM events WHERE event_id % 10 = 0"
+_ESC = "SELECT event_id AS escalation_id, user_id AS finding_id, CASE WHEN event_type = 'view' AND value > 60 THEN NULL ELSE value END AS withdrawn_at FROM events"
 
 
 @query("escalation_requests", f"WITH e AS ({_ESC}) SELECT DISTINCT c_custkey AS finding_id FROM customer WHERE c_custkey NOT IN (SELECT finding_id FROM e WHERE withdrawn_at IS NULL)")
 def escalation_requests(spark, d):
-    e = table(spark, d, "events").filter("event_id % 10 = 0").select(F.col("event_id").alias("escalation_id"), F.col("user_id").alias("finding_id"), F.when(F.col("event_type") != "view", F.col("value")).alias("withdrawn_at"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("escalation_id"), F.col("user_id").alias("finding_id"), F.when((F.col("event_type") != "view") | (F.col("value") <= 60), F.col("value")).alias("withdrawn_at"))
     return workflow.escalate(table(spark, d, "customer").select(F.col("c_custkey").alias("finding_id")), e)
 
 
 @query("escalation_withdraw", f"WITH e AS ({_ESC}) SELECT escalation_id, CASE WHEN withdrawn_at IS NULL AND finding_id % 2 = 0 THEN -1.0 ELSE withdrawn_at END AS withdrawn_at FROM e")
 def escalation_withdraw(spark, d):
-    e = table(spark, d, "events").filter("event_id % 10 = 0").select(F.col("event_id").alias("escalation_id"), F.col("user_id").alias("finding_id"), F.when(F.col("event_type") != "view", F.col("value")).alias("withdrawn_at"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("escalation_id"), F.col("user_id").alias("finding_id"), F.when((F.col("event_type") != "view") | (F.col("value") <= 60), F.col("value")).alias("withdrawn_at"))
     return workflow.withdraw(e, e.filter("finding_id % 2 = 0"), F.lit(-1.0)).select("escalation_id", "withdrawn_at")
 
 
