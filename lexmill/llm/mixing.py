@@ -97,8 +97,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     plan = mix(docs).filter("copies > 0").select("doc_id", "source", "size", "copies").distinct()
     d, p = docs.withColumn("__size", word_count(either(docs, "text", "string"))).alias("d"), plan.alias("p")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.__size") == F.col("p.size"))
-    rows = d.join(p, same).select("d.*", "p.copies").drop("__size")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("__copy", "copies")
+    rows = d.join(p, same).select("d.*", F.col("p.copies").cast("int").alias("__copies")).drop("__size")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

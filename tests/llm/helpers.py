@@ -27,7 +27,7 @@ def odd_rows():
 def frame(spark, rows=None, extra=False):
     df = spark.createDataFrame(odd_rows() if rows is None else rows, DOCS)
     if extra:  # names that the operators use inside
-        for name in ("id", "row", "n", "size", "gid", "key", "h", "spans", "score"):
+        for name in ("id", "row", "n", "size", "gid", "key", "h", "spans", "score", "copies", "target", "uid"):
             df = df.selectExpr("*", f"cast(7 as int) as `{name}`")
     return df
 
