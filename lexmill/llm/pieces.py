@@ -26,10 +26,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a fragment whose boundaries fit the bits of one long; longer fragments are folded in Python.
 MASKED = 60
+#: Added to code points that stand in for a piece id.
+MARK = 1 << 22
 #: Bounds of the list of common fragments that every task holds: documents it is counted on, and its entries.
-COMMON_DOCS, COMMON = 3000, 150_000
-#: Bytes of text that are packed into one row, and units a task remembers.
-PACK, MEMORY = 32 << 20, 400_000
+COMMON_DOCS, COMMON = 3000, 60_000
+#: Fragments of one part of the lattice.
+WORDS_A_PART = 20_000
+#: Units a task remembers; half of them, those of common fragments, for good.
+MEMORY = 160_000
 
 _units = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -72,6 +76,12 @@ class Pieces:
         head = marked if first < 0 else marked[:first]
         return [head] * bool(head) + _units.findall(marked)
 
+    def words(self, text: str) -> list[str] | None:
+        """The units of a text without their leading mark, where every unit has just one; else None."""
+        if not self.prefix or not text or text[0] == " " or SPACE in text or "  " in text:
+            return None
+        return text.split(" ")
+
     def fold_merges(self, word: str) -> list[int]:
         """BPE by a heap of possible merges, best score first, then leftmost: for words too long for the bit fold."""
         n = len(word)
@@ -125,7 +135,7 @@ class Pieces:
         if self.byte_ids is None:
             out = "".join(self.texts[i] for i in ids)
         else:
-            raw = b"".join(self._raw[i] for i in ids)
+            raw = b"".join(map(self._raw.__getitem__, ids))
             out = raw.decode("utf-8", "replace")
         out = out.replace(SPACE, " ")
         return out[1:] if self.prefix and out[:1] == " " else out
@@ -178,70 +188,104 @@ def lattice(words: DataFrame, table: Pieces) -> DataFrame:
     grouping moves nothing. The piece table is as large as the model file and no larger, whatever the data.
     """
     spark = words.sparkSession
-    pieces = spark.createDataFrame([(p, i, -table.scores[p]) for p, i in table.ids.items()], "piece string, pid int, rank double")
+    levels = {v: k for k, v in enumerate(sorted(set(table.scores.values()), reverse=True))}
+    pieces = spark.createDataFrame([(p, i, levels[table.scores[p]]) for p, i in table.ids.items()], "piece string, pid int, rank long")
     n = F.length("word")
     starts = words.select("word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("word", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("n"), F.col("s") + table.longest))).alias("e"))
     cut = spans.select("word", "n", "s", "e", F.expr("substring(word, s + 1, e - s)").alias("piece"))
-    joined = cut.join(F.broadcast(pieces), "piece", "left").filter("pid is not null or e = s + 1")
-    # A character without a piece is an edge with its code point as a negative id.
-    edge = F.struct(
-        F.coalesce("rank", F.lit(0.0)).alias("rank"), "s", "e", F.coalesce("pid", -F.ascii("piece") - 1).alias("id"),
-        F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("ends"), F.expr("shiftleft(shiftleft(1L, e - s - 1) - 1L, s + 1)").alias("inner"),
-    )
-    return joined.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # Equality of the text is what joins; a hash of it is the key, since a join on one long is several times as fast.
+    keyed = pieces.select(F.xxhash64("piece").alias("h"), F.col("piece").alias("text"), "pid", "rank")
+    joined = cut.withColumn("h", F.xxhash64("piece")).join(F.broadcast(keyed), "h", "left")
+    joined = joined.withColumn("pid", F.expr("if(text = piece, pid, null)")).withColumn("rank", F.expr("if(text = piece, rank, null)")).filter("pid is not null or e = s + 1")
+    # An edge is one long: rank, start, end, id; a character without a piece has its code point for an id, marked.
+    code = F.expr(f"shiftleft(coalesce(rank, 0L), 36) | shiftleft(cast(s as long), 30) | shiftleft(cast(e as long), 24) | coalesce(cast(pid as long), {MARK}L + ascii(piece))")
+    return joined.groupBy("word", "n").agg(F.sort_array(F.collect_list(code)).alias("edges"))
+
+
+def _field(x, shift: int, mask: int):
+    return F.shiftright(x, shift).bitwiseAND(F.lit(mask)).cast("int")
 
 
 def _path_ids(path, table: Pieces):
-    return F.flatten(F.transform(path, lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(_byte_ids(-x["id"] - 1, table))))
+    """The ids of edges in order of their places."""
+    ids = lambda x: F.when(x < MARK, F.array(x)).otherwise(_byte_ids(x - MARK, table))
+    return F.flatten(F.transform(path, lambda x: ids(_field(x, 0, 0xFFFFFF))))
 
 
 def merge_fold(words: DataFrame, table: Pieces) -> DataFrame:
     """(word, ids) of a BPE model: each step takes the best edge whose two parts stand side by side.
 
-    The state of the fold is a long: bit i is set while position i is a boundary.
+    The state of the fold is a long: bit i is set while position i is a boundary, the sign once nothing fits.
     """
-    whole = F.expr("shiftleft(1L, n + 1) - 1L")
+    long_ = F.filter("edges", lambda x: _field(x, 24, 63) - _field(x, 30, 63) > 1)
+    one = F.lit(1).cast("long")
+    bits = F.transform(long_, lambda x: F.struct(
+        F.call_function("shiftleft", one, _field(x, 30, 63)).bitwiseOR(F.call_function("shiftleft", one, _field(x, 24, 63))).alias("ends"),
+        F.call_function("shiftleft", F.call_function("shiftleft", one, _field(x, 24, 63) - _field(x, 30, 63) - 1) - 1, _field(x, 30, 63) + 1).alias("inner"),
+    ))
+
+    state = lambda mask, bits: F.struct(mask.alias("mask"), bits.alias("bits"))
+
+    def step(at, _):
+        mask = at["mask"]
+        fits = F.filter(at["bits"], lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
+        rest = F.transform(F.slice(fits, 1, 1), lambda x: mask.bitwiseAND(F.bitwise_not(x["inner"])))
+        return F.when(mask < 0, at).otherwise(state(F.coalesce(F.get(rest, F.lit(0)), -mask), at["bits"]))
 
-    def step(mask, _):
-        fits = F.filter("edges", lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
-        best = F.get(fits, F.lit(0))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(best["inner"])), mask)
+    def path(at):
+        m = F.abs(at["mask"])
 
-    mask = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), whole, step)
-    folded = lattice(words, table).withColumn("mask", mask)
-    m = F.col("mask")
-    left = F.filter("edges", lambda x: (m.bitwiseAND(x["ends"]) == x["ends"]) & (m.bitwiseAND(x["inner"]) == 0))
-    path = F.array_sort(F.transform(left, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
-    return folded.select("word", _path_ids(path, table).alias("ids"))
+        def left(x):
+            s, e = _field(x, 30, 63), _field(x, 24, 63)
+            kept = lambda p: F.call_function("shiftright", m, p).bitwiseAND(one) == 1
+            inside = F.call_function("shiftright", m, s + 1).bitwiseAND(F.call_function("shiftleft", one, e - s - 1) - 1)
+            return kept(s) & kept(e) & (inside == 0)
+
+        # Sorted by start: the rank is taken off.
+        return F.array_sort(F.transform(F.filter("edges", left), lambda x: x.bitwiseAND(F.lit((1 << 36) - 1))))
+
+    # The edges' bits are part of the state, so that they are worked out once and not at every step.
+    whole = state(F.expr("shiftleft(1L, n + 1) - 1L"), bits)
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), whole, step, path)
+    return lattice(words, table).select("word", _path_ids(folded, table).alias("ids"))
 
 
 def viterbi_fold(words: DataFrame, table: Pieces) -> DataFrame:
     """(word, ids) of a unigram model: the path with the best sum of scores.
 
-    The state of the fold is the best (score, start, id) for every position so far; a second fold walks back.
+    The state of the fold is the best (score, start, edge) for every position so far; a second fold walks back.
     """
     worst = min(table.scores.values(), default=0.0) - 10
-    kind = "array<struct<score:double,s:int,id:int>>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(0).alias("id"))).cast(kind)
+    scores = F.array(*[F.lit(v) for v in sorted(set(table.scores.values()), reverse=True)])
+    kind = "array<struct<score:double,s:int,edge:bigint>>"
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(0).cast("long").alias("edge"))).cast(kind)
 
     def extend(state, p):
-        into = F.filter("edges", lambda x: x["e"] == p)
-        sums = F.transform(into, lambda x: F.struct((F.get(state, x["s"])["score"] + F.when(x["id"] < 0, F.lit(worst)).otherwise(-x["rank"])).alias("score"), (-x["s"]).alias("s"), x["id"].alias("id")))
+        into = F.filter("edges", lambda x: _field(x, 24, 63) == p)
+        own = lambda x: F.when(_field(x, 0, 0xFFFFFF) >= MARK, F.lit(worst)).otherwise(F.get(scores, F.shiftright(x, 36).cast("int")))
+        sums = F.transform(into, lambda x: F.struct((F.get(state, _field(x, 30, 63))["score"] + own(x)).alias("score"), (-_field(x, 30, 63)).alias("s"), x.alias("edge")))
         best = F.array_max(sums)
-        return F.concat(state, F.array(F.struct(best["score"].alias("score"), (-best["s"]).alias("s"), best["id"].alias("id"))).cast(kind))
+        return F.concat(state, F.array(F.struct(best["score"].alias("score"), (-best["s"]).alias("s"), best["edge"].alias("edge"))).cast(kind))
 
     best = lattice(words, table).withColumn("best", F.aggregate(F.sequence(F.lit(1), F.col("n")), first, extend))
     walk = F.aggregate(
         F.sequence(F.lit(1), F.col("n")),
-        F.struct(F.col("n").cast("int").alias("at"), F.array().cast("array<struct<id:int>>").alias("path")),
-        lambda w, _: F.when(w["at"] <= 0, w).otherwise(F.struct(F.get("best", w["at"])["s"].alias("at"), F.concat(F.array(F.struct(F.get("best", w["at"])["id"].alias("id"))), w["path"]).alias("path"))),
+        F.struct(F.col("n").cast("int").alias("at"), F.array().cast("array<bigint>").alias("path")),
+        lambda w, _: F.when(w["at"] <= 0, w).otherwise(F.struct(F.get("best", w["at"])["s"].alias("at"), F.concat(F.array(F.get("best", w["at"])["edge"]), w["path"]).alias("path"))),
     )
     return best.select("word", _path_ids(walk["path"], table).alias("ids"))
 
 
+def _dealt(words: DataFrame) -> DataFrame:
+    """words in parts of about WORDS_A_PART, so that the lattice of a part fits in memory."""
+    return words.repartition(max(1, -(-words.count() // WORDS_A_PART)), "word")
+
+
 def encode_words(words: DataFrame, table: Pieces) -> DataFrame:
     """(word, ids) for distinct non-empty words, dealt out by word."""
+    # The edges of a part's words are held as they come; sorting them by word on disk would cost far more.
+    words.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * WORDS_A_PART))
     short = words.filter(F.length("word") <= MASKED)
     folded = viterbi_fold(short, table) if table.unigram else merge_fold(short, table)
 
@@ -273,9 +317,11 @@ def _common(docs: DataFrame, table: Pieces) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).select("word")
 
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, finish=lambda doc, n, raw: (doc, n, raw), schema: str = "doc_id long, n_units int, raw binary") -> DataFrame:
     """(doc_id, n_units, raw): every row's piece ids, as little-endian 32-bit numbers in raw; see with_ids.
 
+    finish, if given, makes each row of the result out of these three where they arise, and schema is that of its rows.
+
     Common fragments, counted on a bounded sample, are encoded first and travel with the code. Every other fragment
     goes through the lattice once for the whole table, together with the numbers of the partitions that asked for it,
     and is sent back to just those; a partition's texts meet its fragments where they are read, so whole texts are never
@@ -288,96 +334,109 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     scratch = Scratch(spark, "pieces")
     table = load(path)
     rows = docs.select(either(docs, "doc_id", "long").alias("id"), F.coalesce(either(docs, "text", "string"), F.lit("")).alias("text"))
-    known = scratch.keep(encode_words(_common(rows, table).repartition("word"), table))
+    known = scratch.keep(encode_words(_dealt(scratch.keep(_common(rows, table))), table))
     common = {r.word: np.array(r.ids, dtype="<i4").tobytes() for r in known.toArrow().to_pandas().itertuples()}
 
     def pack(batches):
-        """Texts of a partition, a few rows with all of their bytes."""
+        """The texts of a partition as one row."""
         import pickle
 
         import pyarrow as pa
 
-        ids, texts, size = [], [], 0
-
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids, texts))], pa.binary())], names=["raw"])
+        zip_ = pa.Codec("zstd", 1)
+        blobs = []
+        for b in batches:
+            raw = pickle.dumps((b.column("id").to_pylist(), b.column("text").to_pylist()))
+            blobs.append((len(raw), zip_.compress(raw, asbytes=True)))
+        whole = pickle.dumps(blobs)
+        del blobs
+        yield pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["raw"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids.append(doc)
-                texts.append(text)
-                size += len(text)
-                if size > PACK:
-                    yield row()
-                    ids, texts, size = [], [], 0
-        yield row()
-
-    packed = rows.mapInArrow(pack, "raw binary").rdd.map(lambda r: bytes(r[0]))
+    packed = rows.mapInArrow(pack, "raw binary").rdd
     parts = packed.getNumPartitions()
 
-    def rare(number, blobs):
-        """(fragment, partition) of what a partition has beyond the common ones."""
-        import pickle
+    def rare(batches):
+        """(fragment, partition) of what a partition has beyond the common ones; a fragment may come up again."""
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        seen: set[str] = set()
+        units: set[str] = set()
+        hot: set[str] = set()
 
-        seen, units = set(), set()
-        for blob in blobs:
-            for text in pickle.loads(blob)[1]:
-                for unit in table.units(text):
-                    if unit not in units:
-                        units.add(unit)
-                        for f in table.fragments(unit):
-                            if f not in common:
-                                seen.add(f)
+        def flush():
+            found = pa.array(list(seen), pa.string())
+            seen.clear()
+            units.clear()
+            units.update(hot)
+            return pa.RecordBatch.from_arrays([found, pa.array(np.full(len(found), number, np.int32))], names=["word", "part"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = table.words(text)
+                fresh = ({SPACE + w for w in set(words)} if words else set(table.units(text))) - units
+                units |= fresh
+                for unit in fresh:
+                    own = [f for f in table.fragments(unit) if f not in common]
+                    if own:
+                        seen.update(own)
+                    elif len(hot) < MEMORY // 2:
+                        hot.add(unit)
                 if len(units) > MEMORY:
-                    units.clear()
-        for f in seen:
-            yield f, number
-
-    asked = spark.createDataFrame(packed.mapPartitionsWithIndex(rare), "word string, part int", verifySchema=False)
-    wanted = asked.groupBy("word").agg(F.collect_list("part").alias("parts"))
-    wanted = scratch.keep(wanted.repartition("word"))
-    ids_of = scratch.keep(encode_words(wanted.select("word").repartition("word"), table))
+                    yield flush()
+        yield flush()
+
+    asked = rows.select("text").mapInArrow(rare, "word string, part int")
+    wanted = scratch.keep(asked.groupBy("word").agg(F.collect_set("part").alias("parts")))
+    ids_of = scratch.keep(encode_words(_dealt(wanted.select("word")), table))
     sent = wanted.join(ids_of, "word").select(F.explode("parts").alias("part"), "word", "ids")
     # One row for each partition, so that none is planned away as empty.
     sent = sent.union(spark.range(parts).select(F.col("id").cast("int"), F.lit("").alias("word"), F.array().cast("array<int>").alias("ids")))
+    # A partition's fragments as two strings, put together in the JVM: one more Python worker a task would cost more.
+    entry = F.struct(F.hex("word").alias("w"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("i"))
+    listed = sent.groupBy("part").agg(F.collect_list(entry).alias("x"))
+    listed = listed.select("part", F.array_join(F.transform("x", lambda e: e["w"]), ",").alias("w"), F.array_join(F.transform("x", lambda e: e["i"]), ",").alias("i"))
+    back = listed.repartitionById(parts, F.col("part")).select("w", "i").rdd
+    if back.getNumPartitions() != parts:
+        raise RuntimeError(f"{back.getNumPartitions()} partitions of fragments for {parts} of texts")
+    fold = table.fold_best if table.unigram else table.fold_merges
 
-    def bundle(batches):
+    def meet(pair):
         import pickle
 
         import pyarrow as pa
 
-        found = {}
-        for batch in batches:
-            for w, i in zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                found[w] = np.array(i, dtype="<i4").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], names=["raw"])
-
-    back = sent.repartitionById(parts, F.col("part")).mapInArrow(bundle, "raw binary").rdd.map(lambda r: bytes(r[0]))
-
-    def meet(pair):
-        import pickle
-
-        blobs, bundles = pair
-        own: dict[str, bytes] = {}
-        for b in bundles:
-            own.update(pickle.loads(b))
+        texts, found = pair
+        own = {bytes.fromhex(w).decode("utf-8", "surrogatepass"): np.array(i.split(), dtype="<i4").tobytes() for w, i in zip(found[0].split(","), found[1].split(","), strict=True)}
         memo: dict[str, bytes] = {}
-        for blob in blobs:
-            for doc, text in zip(*pickle.loads(blob), strict=True):
-                out, units = [], table.units(text)
-                for unit in units:
-                    got = memo.get(unit)
-                    if got is None:
-                        got = memo[unit] = b"".join([common[f] if f in common else own[f] for f in table.fragments(unit)])
-                    out.append(got)
+        hot: dict[str, bytes] = {}
+
+        def ids(f):
+            got = common.get(f)
+            got = own.get(f) if got is None else got
+            # Only if the table was read in other partitions than when the fragments were asked for.
+            return np.array(fold(f), dtype="<i4").tobytes() if got is None else got
+
+        zip_ = pa.Codec("zstd")
+        for size, blob in pickle.loads(texts[0]):
+            for doc, text in zip(*pickle.loads(zip_.decompress(blob, size, asbytes=True)), strict=True):
+                words = table.words(text)
+                units = [SPACE + w for w in words] if words else table.units(text)
+                for unit in set(units):
+                    if unit in memo:
+                        continue
+                    own_ = table.fragments(unit)
+                    memo[unit] = b"".join([ids(f) for f in own_])
+                    if len(hot) < MEMORY // 2 and all(f in common for f in own_):
+                        hot[unit] = memo[unit]
+                out = b"".join(map(memo.__getitem__, units))
                 if len(memo) > MEMORY:
-                    memo.clear()
-                yield doc, len(units), b"".join(out)
+                    memo = dict(hot)
+                yield finish(doc, len(units), out)
 
-    if back.getNumPartitions() != parts:
-        raise RuntimeError(f"{back.getNumPartitions()} partitions of fragments for {parts} of texts")
-    paired = packed.mapPartitions(lambda it: [list(it)]).zip(back.mapPartitions(lambda it: [list(it)]))
-    return spark.createDataFrame(paired.flatMap(meet), "doc_id long, n_units int, raw binary", verifySchema=False)
+    # One element on either side of each pair of partitions.
+    return spark.createDataFrame(packed.zip(back).flatMap(meet), schema, verifySchema=False)
 
 
 def with_ids(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -399,12 +458,19 @@ def with_ids(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def summary(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, n_units, n_pieces, ids_sha256, decoded_sha256): digests of ids and of the text decoded from them."""
-    rows = with_ids(encode(docs, path), path)
-    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return rows.select("doc_id", F.col("n_units").cast("long").alias("n_units"), F.size("ids").cast("long").alias("n_pieces"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, n_units, n_pieces, ids_sha256, decoded_sha256): digests of the ids, as little-endian 32-bit numbers, and
+    of the text decoded from them."""
+    import hashlib
+
+    table = load(path)
+
+    def digest(doc, n, raw):
+        text = table.decode(np.frombuffer(raw, dtype="<i4").tolist())
+        return doc, n, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+    return encode(docs, path, digest, "doc_id long, n_units long, n_pieces long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_units, n_pieces, ids_sha256 (of the ids, comma-joined) and decoded_sha256 for every document."""
+    """doc_id, n_units, n_pieces, ids_sha256 and decoded_sha256 for every document."""
     return summary(read(spark, sf_dir, "documents"))
