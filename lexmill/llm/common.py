@@ -130,28 +130,28 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.filter(~gone.maybe("doc_id") | F.col("doc_id").isNull()).unionByName(doubtful.select(*docs.columns))
 
 
-def components(scratch: Scratch, edges: DataFrame, limit: int = 64) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both long: (id, component) with component the smallest id reachable.
 
-    Each round takes every node's smallest neighbour label and then jumps labels to their own label, so long chains
-    shorten geometrically; each round is written out, and nothing but a change count reaches the driver.
+    Each round takes every node's smallest neighbour label, hands it to the node that the old label names, and then
+    jumps every label to the label of the node it names, so that chains shorten geometrically whatever the order of
+    their ids. Labels only ever fall, so the rounds end by themselves, when none changes; each is written out, and
+    nothing but a change count reaches the driver.
     """
     both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
-    for _ in range(limit):
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("lb")), "b").groupBy(F.col("a").alias("id")).agg(F.min("lb").alias("m"))
-        # The label's own neighbourhood also learns of the smaller label (hooking), then labels jump.
-        low = labels.join(near, "id", "left").select("id", "component", F.least("component", "m").alias("low"))
-        hooked = low.groupBy(F.col("component").alias("r")).agg(F.min("low").alias("rl"))
-        jumped = low.join(hooked, low["component"] == hooked["r"], "left").select("id", F.col("component").alias("was"), F.least("low", "rl").alias("component"))
-        after = scratch.keep(jumped)
+        low = scratch.keep(labels.join(near, "id", "left").select("id", "component", F.least("component", "m").alias("low")))
+        # The node that a label names also learns of the smaller label (hooking), then labels jump.
+        hooks = low.groupBy(F.col("component").alias("id")).agg(F.min("low").alias("rl"))
+        hooked = scratch.keep(low.join(hooks, "id", "left").select("id", "component", F.least("low", "rl").alias("low")))
+        named = hooked.select(F.col("id").alias("r"), F.col("low").alias("jump"))
+        after = scratch.keep(hooked.join(named, hooked["low"] == named["r"]).select("id", F.col("component").alias("was"), F.col("jump").alias("component")))
         changed = after.filter("was <> component").limit(1).count()
-        scratch.drop(labels)
-        labels = after
-        labels_path = after._lexmill_path
+        scratch.drop(labels, low, hooked)
         labels = after.select("id", "component")
-        labels._lexmill_path = labels_path
+        labels._lexmill_path = after._lexmill_path
         if not changed:
             scratch.drop(both)
             return labels
-    raise RuntimeError("components did not settle")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from lexmill.llm import neardup
+from lexmill.llm.common import Scratch, components
 from tests.llm.helpers import frame, odd_rows, prose
 
 
@@ -62,3 +63,15 @@ def test_sketches_fill_and_concentrate():
         x, y = neardup.sketches([a, b], t)
         off.append((x == y).mean() - 400 / 500)
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.04
+
+
+def test_long_chains_settle(spark):
+    """Documents that are each linked to the next only, their ids rising along the chain."""
+    edges = [(i, i + 1) for i in range(999)] + [(2000 + i, 2001 + i) for i in range(70)]
+    got = components(Scratch(spark, "chain"), spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == 1071 and all(r.component == (0 if r.id < 1000 else 2000) for r in got)
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 15)), "en", "s", 1) for i in range(1000)]
+    sets = [shingle_set(t, 4) for _, t, *_ in rows[:3]]
+    assert 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1]) and 100 * len(sets[0] & sets[2]) < 80 * len(sets[0] | sets[2])
+    found = neardup.near_duplicates(frame(spark, rows), 4).collect()
+    assert len(found) == 1000 and {(r.component_id, r.kept) for r in found} == {(0, r.doc_id == 0) for r in found}
