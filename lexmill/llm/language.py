@@ -23,22 +23,28 @@ SLOTS, CHAIN, SPLICED, STEPS = 1 << 15, 48, 0.3, 30
 LEXICON_SHARE = 0.002
 #: Word types a task remembers, and words that are labelled together.
 MEMORY, TOGETHER = 400_000, 1_500_000
+#: Longer runs of letters, as in scripts without spaces, are cut into words of so many letters that share OVERLAP of
+#: them with the next, so that all letters enter the chain and no n-gram is lost at a cut.
+RUN, OVERLAP = 24, 2
 UNKNOWN = "und"
 
 _letters = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _letters.findall((text or "").lower())
+    """Runs of letters, in lower case; a run of over RUN letters is several words, one after the other."""
+    found = _letters.findall((text or "").lower())
+    if all(len(w) <= RUN for w in found):
+        return found
+    return [w[i : i + RUN] for w in found for i in range(0, max(len(w) - OVERLAP, 1), RUN - OVERLAP)]
 
 
 def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Slots of a word's affixes, n-grams, form and lexicon entry."""
     edged = f"^{word}$"
     names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3, 4)]
-    names += [f"g{edged[i : i + 3]}" for i in range(min(len(edged) - 2, 24))]
-    names += [f"b{edged[i : i + 2]}" for i in range(min(len(edged) - 1, 24))]
+    names += [f"g{edged[i : i + 3]}" for i in range(len(edged) - 2)]
+    names += [f"b{edged[i : i + 2]}" for i in range(len(edged) - 1)]
     if len(word) <= 4:
         names.append(f"w{word}")
     if word in lexicon:
@@ -176,7 +182,8 @@ def identify(docs: DataFrame, model: Chain) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_words, switches) for every row, from its whole text.
 
     lang_pred is the language with the largest sum of word marginals (ties: the first by code point), score the mean
-    marginal of it; `und` with score 0 where the text is null or has no letter or nothing was learned. switches counts
+    marginal of it; `und` with score 0 where the text is null or has no letter or nothing was learned. n_words counts what
+    words_of yields, the parts of a long run each. switches counts
     neighbouring words whose likeliest languages differ.
     """
     tune(docs.sparkSession)

@@ -53,3 +53,20 @@ def test_held_out_accuracy_and_switching(spark):
     assert language.identify(frame(spark, []), model).collect() == []
     empty = language.fit(frame(spark, []))
     assert {r.lang_pred for r in language.identify(frame(spark), empty).collect()} == {"und"}
+
+
+def test_long_runs_are_read_to_their_end(spark):
+    word = "abcdefghijklmnopqrstuvwxyz" * 2
+    assert len(language.word_features(word, {})) == 7 + len(word) + len(word) + 1
+    for n in (1, 24, 25, 26, 46, 47, 500):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = language.words_of(f"{run} one")
+        assert parts[-1] == "one" and max(map(len, parts)) <= language.RUN and (n > language.RUN or parts[0] == run)
+        assert {run[i : i + 3] for i in range(n - 2)} == {w[i : i + 3] for w in parts[:-1] for i in range(len(w) - 2)}
+    rng = random.Random(6)
+    low = {"zh": 0x4E00, "ja": 0x3041}
+    run = lambda lang, n: "".join(chr(low[lang] + rng.randrange(60)) for _ in range(n))
+    docs = [(i, run(lang, rng.randint(5, 200)), lang, "s", 1) for i in range(120) for lang in [("zh", "ja")[i % 2]]]
+    model = language.fit(frame(spark, docs))
+    r = language.identify(frame(spark, [(1, run("zh", 60) + run("ja", 300), None, "s", 1)]), model).first()
+    assert r.lang_pred == "ja" and r.switches == 1
