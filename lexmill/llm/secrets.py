@@ -30,7 +30,8 @@ _assign, _access, _hex = re.compile(ASSIGN), re.compile(ACCESS), re.compile(r"[0
 _words = ("password", "passwd", "secret", "token", "api")
 _ident = re.compile(r"""(?a:\b(?i:user(?:_?name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,}))""")
 _endpoint = re.compile(r"""(?a:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>|]{4,}|(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d{1,5})?(?![\d.]))""")
-_weak = re.compile(r"(?a:(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-]))")
+# "=" is padding behind a token only: before it, it parts a name from an unquoted value.
+_weak = re.compile(r"(?a:(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-]))")
 _break = re.compile(r"\n[ \t]*\n")
 
 

@@ -35,6 +35,18 @@ def test_links_need_a_complement():
         assert [k for _, _, k in sorted(got)] == kinds, text
 
 
+def test_unquoted_values_behind_an_equals_sign():
+    weak, key = "Zk39fjQx81LmPq7Ra", "Zk39fjQx81LmPq7RaTv5sWb2=="
+    for text, value in [
+        (f"export DB_PASS={weak}\nexport DB_URL=postgres://db.example.org/x\n", weak), (f"username=alice pwd={weak} https://db.example.org/x", weak), (f"pwd={weak}&login=alice", weak),
+        (f"AccountName=foo;AccountKey={key};user=bob;BlobEndpoint=https://foo.example.net", key), (f"A_LONG_NAME_OF_1_SETTING={key} at 10.1.2.3", key),
+    ]:
+        base = secrets.base_spans(text)
+        got = secrets.link(text, base, secrets.weak_parts(text, base))
+        assert base == [] and [text[a:b] for a, b, k in got if k == "weak"] == [value], text
+        assert {k for _, _, k in got} & {"ident", "endpoint"}, text
+
+
 def test_interval_link_against_all_pairs():
     rng = random.Random(2)
     for _ in range(300):
