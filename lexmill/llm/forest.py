@@ -162,6 +162,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, t
         x = np.frombuffer(b"".join(left["raw"]), dtype=kind_).reshape(len(left), d).astype(np.float64)
         q = np.frombuffer(b"".join(right["raw"]), dtype=kind_).reshape(len(right), d).astype(np.float64)
         names = right["id"].to_numpy()
+        slack = 4 * d * np.finfo(np.float64).eps * np.sqrt((x**2).sum(axis=1).max())
         first = np.searchsorted(codes, right["low"].to_numpy(), side="left")
         last = np.searchsorted(codes, right["high"].to_numpy(), side="right")
         got: list[tuple] = []
@@ -176,11 +177,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, t
                 s = q[piece] @ x[a:b].T
                 s[ids[None, a:b] == names[piece][:, None]] = -np.inf
                 k = min(nearest + 8, b - a)
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                for i, row in zip(piece.tolist(), top, strict=True):
+                # All rows that tie at the bound, less what rounding may differ by, are ranked exactly before the cut.
+                bound = np.partition(s, b - a - k, axis=1)[:, b - a - k] - slack * np.sqrt((q[piece] ** 2).sum(axis=1))
+                for i, own, least in zip(piece.tolist(), s, bound, strict=True):
+                    row = np.flatnonzero(own >= least)
+                    row = row[ids[a + row] != names[i]]
                     exact = (x[a + row] * q[i]).sum(axis=1)
-                    other = ids[a + row] != names[i]
-                    got.append((np.full(other.sum(), names[i]), ids[a + row][other], exact[other]))
+                    top = np.lexsort((ids[a + row], -exact))[:k]
+                    got.append((np.full(len(top), names[i]), ids[a + row[top]], exact[top]))
         cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 

@@ -43,3 +43,17 @@ def test_odd_rows(spark):
     none = table(spark, [])
     assert forest.neighbours(none, none).collect() == []
     assert forest.neighbours(df.filter("vec_id = 0"), df.filter("vec_id = 0")).collect() == []
+
+
+def test_ties_at_the_bound_go_to_the_smaller_id(spark):
+    """Groups of copies, the second cut by the bound, and coarse vectors of few scores; every range holds all rows."""
+    rng = np.random.default_rng(8)
+    first, second = [2.0, 1.0, 0.0], [1.0, 2.0, 0.0]
+    vectors = [first] * 15 + [second] * 40 + rng.uniform(-1, 0.2, size=(60, 3)).tolist()
+    for rows in (vectors, rng.integers(0, 2, size=(400, 6)).tolist()):
+        rows = [[float(c) for c in v] for v in rows]
+        ids = [int(i) for i in rng.permutation(len(rows)) + 1]
+        df = table(spark, [(i, v, 0) for i, v in zip(ids, rows, strict=True) if any(v)] + [(0, [3.0] + [0.0] * (len(rows[0]) - 1), 0)])
+        data = {r.vec_id: list(r.embedding) for r in df.collect()}
+        got = forest.neighbours(df, df.filter("vec_id = 0"), trees=2).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == exact(list(data), np.array(list(data.values())), [0])[0]
