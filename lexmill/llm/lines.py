@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -10,29 +12,34 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import Bitmap, Scratch, read, tune
 from lexmill.llm.suffixes import _merged, _texts
 
-#: Least words of a line, and of a sentence inside a line, that is looked for elsewhere. Shorter ones recur by chance.
-LINE_WORDS, SENTENCE_WORDS = 5, 8
+#: Least words of a sentence inside a line that is looked for elsewhere; shorter ones recur by chance. One of fewer words
+#: counts if it has so many characters, as in scripts without spaces. Lines are looked for whatever their length.
+SENTENCE_WORDS, SENTENCE_CHARS = 8, 40
+
+_stop = re.compile("\\. |\u3002".encode())
 
 
 def units(raw: bytes) -> list[tuple[int, int, bytes]]:
-    """(start, end, normal form) of each unit that is long enough, in bytes; the end lies behind the separator.
+    """(start, end, normal form) of each line that is not blank and each sentence that is long enough, in bytes.
 
-    Lines end at a line feed, sentences at a full stop and a space. The normal form has A-Z in lower case and single
-    spaces; lines and sentences are told apart by its first byte.
+    The end lies behind the separator. Lines end at a line feed, sentences at a full stop and a space or at an
+    ideographic full stop. The normal form has A-Z in lower case and single spaces; lines and sentences are told apart
+    by its first byte.
     """
     found, at = [], 0
     for line in raw.split(b"\n"):
         end = min(at + len(line) + 1, len(raw))
         words = line.lower().split()
-        if len(words) >= LINE_WORDS:
+        if words:
             found.append((at, end, b"L" + b" ".join(words)))
-        if len(words) > SENTENCE_WORDS and b". " in line:
-            start = at
-            for part in line.split(b". "):
-                stop = min(start + len(part) + 2, at + len(line))
-                own = part.lower().rstrip(b".").split()
-                if len(own) >= SENTENCE_WORDS:
-                    found.append((start, stop, b"S" + b" ".join(own)))
+        stops = list(_stop.finditer(line))
+        if stops:
+            start = 0
+            for last, stop in [*((m.start(), m.end()) for m in stops), (len(line), len(line))]:
+                own = line[start:last].lower().rstrip(b".").split()
+                form = b" ".join(own)
+                if len(own) >= SENTENCE_WORDS or len(form) >= SENTENCE_CHARS <= len(form.decode("utf-8", "surrogatepass")):
+                    found.append((at + start, at + stop, b"S" + form))
                 start = stop
         at = end
     return found

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 from lexmill.llm import lines, suffixes
-from tests.llm.helpers import frame, odd_rows, prose
+from tests.llm.helpers import WORDS, frame, odd_rows, prose
 
 
 def covered(rows, span=200):
@@ -97,3 +97,16 @@ def test_lines_against_brute_force(spark):
         got = lines.remove_lines(frame(spark, data, extra=True)).collect()
         assert sorted(((r.doc_id, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_lines(data)
     assert lines.remove_lines(frame(spark, [])).collect() == []
+
+
+def test_short_and_unspaced_lines_are_looked_up(spark):
+    menu, rights = "Home\nAbout us\nContact\n", "All rights reserved."
+    wrapped = "".join(" ".join(WORDS[i : i + 4]) + "\n" for i in range(0, 24, 4)) * 3
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(300))
+    sentence = han[:45] + "\u3002"
+    shared = [menu, rights, wrapped, han, sentence]
+    rows = [(10 * i + j, f"own{i}x{j} text\n" + (chr(0x6E00 + 10 * i + j) + "\u3002" + s + chr(0x6F00 + 10 * i + j) if s == sentence else s), "en", "s", 1) for i, s in enumerate(shared) for j in range(2)]
+    got = {r.doc_id: r.n_removed for r in lines.remove_lines(frame(spark, rows)).collect()}
+    for i, s in enumerate(shared):
+        assert got[10 * i + 1] == len(s.encode()), s
+        assert got[10 * i] == (len(wrapped) * 2 // 3 if s == wrapped else 0), s
