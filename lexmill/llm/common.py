@@ -47,6 +47,7 @@ class Scratch:
     """
 
     _left: list[tuple[SparkSession, str]] = []
+    _tables: list[tuple[SparkSession, str]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/lexmill-{name}-{uuid.uuid4().hex[:12]}", 0
@@ -60,6 +61,14 @@ class Scratch:
         out._lexmill_path = path
         return out
 
+    def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """As keep, dealt into buckets by a column, so that a join on it leaves the rows where they are."""
+        self.n += 1
+        name, path = f"lexmill_{uuid.uuid4().hex}", f"{self.root}/t{self.n}"
+        df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+        Scratch._tables.append((self.spark, name))
+        return self.spark.table(name)
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             _delete(self.spark, df._lexmill_path)
@@ -73,6 +82,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
+    for spark, name in Scratch._tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001
+            pass
     for spark, root in Scratch._left:
         try:
             _delete(spark, root)
