@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,19 +23,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small in the Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches of whole texts small in the Python workers.
+
+    Results are evaluated lazily, so the setting stays; a session that asks for smaller batches keeps its own.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset, as in tests, a local one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; on a
+    cluster, whose executors could not see that, it is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = sc._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
-        if not current.isDefined():
-            sc.setCheckpointDir(path)
+        if current.isDefined():
+            return current.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -94,6 +104,29 @@ def _sweep() -> None:
             pass
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a table as one struct, so that columns worked out beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def numbered(scratch: Scratch, rows: DataFrame, *order: Column, place: str = "place") -> DataFrame:
+    """rows with their places in that order, from 0, in a column of type long.
+
+    The order is dealt out in ranges, so that no task holds more than its share, however few the keys; a place is the
+    number of rows in the ranges before plus the place in its own. One number a range reaches the driver, that is, as
+    many as there are shuffle partitions.
+    """
+    at = scratch.keep(rows.orderBy(*order).withColumn(place, F.monotonically_increasing_id()))
+    held = at.groupBy(F.shiftright(place, 33).cast("int").alias("k")).count().collect()
+    before, total = [], 0
+    for r in sorted(held, key=lambda r: r["k"]):
+        before.append((r["k"], total))
+        total += r["count"]
+    starts = rows.sparkSession.createDataFrame(before, "lexmill_range int, lexmill_before long")
+    joined = at.join(F.broadcast(starts), F.shiftright(place, 33).cast("int") == F.col("lexmill_range"))
+    return joined.select(*rows.columns, (F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("lexmill_before")).alias(place))
+
+
 def either(df: DataFrame, column: str, kind: str) -> Column:
     """The column, or a null of that kind where the table lacks it."""
     return F.col(column).cast(kind) if column in df.columns else F.lit(None).cast(kind)

@@ -2,39 +2,43 @@
 
 from __future__ import annotations
 
-from fractions import Fraction
-from itertools import cycle, islice
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from lexmill.llm.common import Scratch, either, read, tune
+from lexmill.llm.common import Scratch, either, numbered, read, tune, whole_row
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
 #: The mix holds SHARE[0] / SHARE[1] of all words, and no source more than CAP times its own.
 SHARE, CAP = (3, 2), 2
-#: Rows of one source and size are ranked in blocks of so many consecutive ids.
-BLOCK = 256
 SEED = "lexmill-mix-1"
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP) -> list[float]:
-    """Each source's target: its weighted part of share times all sizes, stopped at cap times its size.
+def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP) -> DataFrame:
+    """(source, source_size, target) from (source, source_size): weighted parts of share times all sizes, stopped at
+    cap times the size.
 
-    What a stopped source leaves goes to the others by weight, again and again until none is above its stop.
+    What a stopped source leaves goes to the others by weight, again and again until none is above its stop. Every
+    open source gets the same number of words for one unit of weight; it is a fraction that only rises from round to
+    round, so a round is one sum over the sources, and its numbers are all that reaches the driver. They are whole
+    numbers throughout, so no rounding decides who is stopped.
     """
-    w = list(islice(cycle(weights), len(sizes)))
-    fixed: dict[int, int] = {}
+    whole = lambda x: F.lit(x).cast("decimal(38,0)") if isinstance(x, int) else x.cast("decimal(38,0)")
+    order = F.col("source").asc_nulls_last()
+    at = numbered(scratch, sizes, order)
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights)).cast("int") + 1)
+    rows = scratch.keep(at.select("source", "source_size", weight.cast("long").alias("w")))
+    stopped, rate, before = F.lit(False), (0, 1), -1
     while True:
-        open_ = [i for i in range(len(sizes)) if i not in fixed]
-        rest = Fraction(share[0] * sum(sizes), share[1]) - sum(fixed.values())
-        parts = {i: rest * w[i] / sum(w[j] for j in open_) for i in open_}
-        over = [i for i in open_ if parts[i] > cap * sizes[i]]
-        if not over:
-            return [float(fixed[i] if i in fixed else parts[i]) for i in range(len(sizes))]
-        fixed |= {i: cap * sizes[i] for i in over}
+        open_weight = F.sum(F.when(stopped, F.lit(0)).otherwise(F.col("w")))
+        held = F.sum(F.when(stopped, F.col("source_size")).otherwise(F.lit(0)))
+        r = rows.agg(F.sum("source_size").alias("all"), open_weight.alias("open"), held.alias("held"), F.count_if(stopped).alias("n")).first()
+        if not r["open"] or r["n"] == before:
+            break
+        before, rate = r["n"], (share[0] * r["all"] - share[1] * cap * r["held"], share[1] * r["open"])
+        stopped = whole(F.col("w")) * whole(rate[0]) > whole(F.col("source_size")) * whole(cap * rate[1])
+    part = (F.col("w") * F.lit(rate[0])).cast("double") / F.lit(float(rate[1]))
+    return rows.select("source", "source_size", F.when(stopped, (F.col("source_size") * cap).cast("double")).otherwise(part).alias("target"))
 
 
 def word_count(text):
@@ -47,58 +51,50 @@ def mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     Within a source every document expects target / source_size copies. Documents are ordered by (size, doc_id), so
     that the draw is spread evenly over small and large ones; one offset per source, drawn from SEED, is added to the
-    running sum of expected copies, and a document is emitted once for each integer its interval crosses. No document
-    therefore appears more often than the ceiling of that expectation, CAP times at most, and reruns agree.
+    running sum of expected copies, and a document is emitted once for each integer its interval crosses. The sum is
+    the place in the source times the expectation, and places come from one order of all documents by source, size and
+    id, dealt out in ranges, so that neither a large source nor a common size is one task's. No document appears more
+    often than the ceiling of that expectation, CAP times at most, and reruns agree.
 
     Null texts have size 0. Rows of one doc_id, source and size count as one in the order and each get its copies. A
-    null source is a source of its own, null ids come first in their size. An empty table gives an empty result.
-    The list of sources with their sizes (a few rows) is all that reaches the driver.
+    null source is a source of its own, null ids come first in their size. A text of any length is counted as a whole.
+    An empty table gives an empty result; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = scratch or Scratch(spark, "mix")
     rows = docs.select(either(docs, "doc_id", "long").alias("doc_id"), either(docs, "source", "string").alias("source"), word_count(either(docs, "text", "string")).alias("size"))
     slim = scratch.keep(rows)
-    by_source = sorted(((r["source"], r["n"]) for r in slim.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    goals = targets([n for _, n in by_source])
-    table = spark.createDataFrame([(s, n, g) for (s, n), g in zip(by_source, goals, strict=True)], "source string, source_size long, target double").coalesce(1)
-    block = F.floor(F.coalesce(F.col("doc_id"), F.lit(0)) / BLOCK).alias("block")
-    keyed = slim.distinct().select("*", block)
-    # Rank of a row in its source by (size, doc_id), from three counts: of smaller sizes, of earlier blocks, in the block.
-    per_block = keyed.groupBy("source", "size", "block").agg(F.count("*").alias("n"))
-    per_size = per_block.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    size_at = per_size.select("source", "size", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("smaller"))
-    block_at = per_block.select("source", "size", "block", F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    starts = block_at.join(_safe(size_at), (block_at["source"].eqNullSafe(F.col("s_source"))) & (block_at["size"] == F.col("s_size"))).select("source", "size", "block", (F.col("earlier") + F.col("smaller")).alias("start"))
-    inside = keyed.withColumn("k", F.row_number().over(W.partitionBy("source", "size", "block").orderBy("doc_id")).cast("long"))
-    a, b, t = inside.alias("a"), starts.alias("b"), table.alias("t")
-    ranked = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.block") == F.col("b.block")))
-    ranked = ranked.select("a.doc_id", "a.source", "a.size", (F.col("b.start") + F.col("a.k")).cast("double").alias("rank"))
-    r = ranked.alias("r")
-    joined = r.join(t, F.col("r.source").eqNullSafe(F.col("t.source")))
-    rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("r.source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    out = joined.select("r.doc_id", "r.source", "r.size", "t.source_size", "t.target", "r.rank", rate.alias("rate"), offset.alias("offset"))
-    copies = F.floor(F.col("offset") + F.col("rank") * F.col("rate")) - F.floor(F.col("offset") + (F.col("rank") - 1) * F.col("rate"))
+    sizes = scratch.keep(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
+    distinct = slim.distinct()
+    at = scratch.keep(numbered(scratch, distinct, F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first()))
+    first = at.groupBy("source").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    t, f = targets(scratch, sizes).alias("t"), first.alias("f")
+    goals = scratch.keep(t.join(f, F.col("t.source").eqNullSafe(F.col("f.source"))).select("t.*", "f.first", "f.n"))
+    a, g = at.alias("a"), goals.alias("g")
+    joined = a.join(g, F.col("a.source").eqNullSafe(F.col("g.source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("a.source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    k = (F.col("place") - F.col("first") + 1).cast("double")
+    out = joined.select("a.doc_id", "a.source", "a.size", "source_size", "target", k.alias("k"), rate.alias("rate"), offset.alias("offset"))
+    copies = F.floor(F.col("offset") + F.col("k") * F.col("rate")) - F.floor(F.col("offset") + (F.col("k") - 1) * F.col("rate"))
     per_key = out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
-    if slim.count() == keyed.count():
+    if slim.count() == at.count():
         return per_key
     p, s = per_key.alias("p"), slim.alias("s")
     same = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.size") == F.col("s.size"))
     return s.join(p, same).select("p.*")
 
 
-def _safe(size_at: DataFrame) -> DataFrame:
-    return size_at.withColumnsRenamed({"source": "s_source", "size": "s_size"})
-
-
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix themselves, each as often as it was drawn, with the columns of docs."""
+    """The documents of the mix themselves, each as often as it was drawn, with the columns of docs and no others,
+    whatever their names; nulls, repeated rows and empty tables as in mix()."""
     plan = mix(docs).filter("copies > 0").select("doc_id", "source", "size", "copies").distinct()
-    d, p = docs.withColumn("__size", word_count(either(docs, "text", "string"))).alias("d"), plan.alias("p")
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.__size") == F.col("p.size"))
-    rows = d.join(p, same).select("d.*", F.col("p.copies").cast("int").alias("__copies")).drop("__size")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
+    d = docs.select(whole_row(docs).alias("row"), either(docs, "doc_id", "long").alias("doc_id"), either(docs, "source", "string").alias("source"), word_count(either(docs, "text", "string")).alias("size")).alias("d")
+    p = plan.alias("p")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size"))
+    drawn = d.join(p, same).select("d.row", F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int"))).alias("copy"))
+    return drawn.select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,26 @@ def odd_rows():
 
 def frame(spark, rows=None, extra=False):
     df = spark.createDataFrame(odd_rows() if rows is None else rows, DOCS)
-    if extra:  # names that the operators use inside
-        for name in ("id", "row", "n", "size", "gid", "key", "h", "spans", "score", "copies", "target", "uid"):
+    if extra:  # names that the operators use inside, or might
+        for name in ("id", "row", "n", "size", "gid", "key", "h", "spans", "score", "copies", "target", "uid", "place", "node", "__text", "__size", "__copies", "__copy", "_at", "d", "p"):
             df = df.selectExpr("*", f"cast(7 as int) as `{name}`")
     return df
 
 
 def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
+    """Targets by sources in order of their names, worked out one round after the other in exact fractions."""
+    from fractions import Fraction
+
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    left, open_ = Fraction(share) * sum(sizes), set(range(len(sizes)))
+    while open_:
+        over = {i for i in open_ if left * w[i] > cap * sizes[i] * sum(w[j] for j in open_)}
+        if not over:
+            break
+        left -= cap * sum(sizes[i] for i in over)
+        open_ -= over
+    return [float(left * w[i] / sum(w[j] for j in open_)) if i in open_ else float(cap * sizes[i]) for i in range(len(sizes))]

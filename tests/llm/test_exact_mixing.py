@@ -3,8 +3,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from lexmill.llm import exact, mixing
-from tests.llm.helpers import frame, odd_rows, prose
+from lexmill.llm.common import Scratch, numbered
+from tests.llm.helpers import frame, odd_rows, prose, targets
 
 
 def brute(rows):
@@ -39,10 +42,22 @@ def test_exact_carries_rows(spark):
     assert Counter(re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in kept.collect()) == Counter({re.sub(r"[\x20\x09-\x0D]", "", t or ""): 1 for _, t, *_ in odd_rows()})
 
 
-def test_targets_share_out():
-    assert mixing.targets([100, 100, 100]) == [200.0, 500 / 3, 250 / 3]
-    assert sum(mixing.targets([5, 1000, 70, 0])) == 1.5 * 1075
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+def test_targets_share_out(spark):
+    assert targets([100, 100, 100]) == [200.0, 500 / 3, 250 / 3]
+    rng = random.Random(7)
+    for sizes in ([100, 100, 100], [5, 1000, 70, 0], [], [0, 0], [3], [rng.choice([0, 1, 9, 500, 10**6]) for _ in range(300)]):
+        names = [*(f"s{i:03d}" for i in range(len(sizes) - 1)), None][: len(sizes)]
+        df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, source_size long").repartition(3)
+        got = {r.source: r.target for r in mixing.targets(Scratch(spark, "goals"), df).collect()}
+        assert got == dict(zip(names, targets(sizes), strict=True))
+
+
+def test_places_in_order(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i) for i in range(500)]
+    got = numbered(Scratch(spark, "places"), spark.createDataFrame(rows, "a int, b int").repartition(7), F.col("a").asc_nulls_last(), F.col("b")).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
+    assert sorted(r.place for r in got) == list(range(500))
 
 
 def test_mixing_near_targets(spark):
