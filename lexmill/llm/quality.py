@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Scratch, either, read, tune
+from lexmill.llm.common import Scratch, either, read, tune, whole_row
 
 #: Rows whose crc32(doc_id as text) leaves remainder 0 by FOLDS are held out.
 FOLDS = 5
@@ -77,9 +77,11 @@ class Discriminant:
         """Per class (0, 1): number of rows, sum of x, sum of outer products of x."""
         d = sums.shape[1]
         self.usable = bool((counts >= 2).all())
-        total = max(counts.sum(), 1)
+        total = counts.sum()
         self.prior = float((counts[1] + 1) / (total + 2))
         self.mean, self.factor, self.log_det = np.zeros((2, d)), np.zeros((2, d, d)), np.zeros(2)
+        #: Inverses of the factors: x - mean times this has the identity for its covariance.
+        self.whiten = np.zeros((2, d, d))
         if not self.usable:
             return
         means = sums / counts[:, None]
@@ -92,6 +94,7 @@ class Discriminant:
             cov = (1 - TO_SPHERE) * cov + TO_SPHERE * sphere
             self.mean[c], self.factor[c] = means[c], np.linalg.cholesky(cov)
             self.log_det[c] = 2 * np.log(np.diag(self.factor[c])).sum()
+            self.whiten[c] = np.linalg.inv(self.factor[c]).T
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 for each row of x; the class share where one class has no two rows."""
@@ -99,8 +102,8 @@ class Discriminant:
             return np.full(len(x), self.prior)
         density = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factor[c], (x - self.mean[c]).T)
-            density.append(-0.5 * ((z**2).sum(axis=0) + self.log_det[c]))
+            z = (x - self.mean[c]) @ self.whiten[c]
+            density.append(-0.5 * ((z**2).sum(axis=1) + self.log_det[c]))
         gap = (density[1] - density[0]) / TEMPER + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
 
@@ -109,7 +112,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
     """Class moments over all labelled rows that are not held out, summed where the rows are.
 
     Labels other than 0 and 1 and null ids are passed over; an id labelled more than once counts once for each label
-    it has. Only counts, sums and outer products (a few hundred numbers a task) reach the driver.
+    it has. Counts, sums and outer products are added up as decimals, whose sum does not depend on the order, and two
+    rows of them reach the driver.
     """
     d = len(FEATURES)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").distinct()
@@ -129,18 +133,20 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
                 acc[c, 1 + d :] += (own.T @ own).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(acc.tolist(), pa.list_(pa.float64()))], names=["y", "m"])
 
-    got = rows.mapInArrow(moments, "y int, m array<double>").collect()
+    each = rows.mapInArrow(moments, "y int, m array<double>").select("y", F.posexplode("m").alias("k", "v"))
     acc = np.zeros((2, 1 + d + d * d))
-    for r in sorted(got, key=lambda r: (r["y"], tuple(r["m"]))):  # in a fixed order, so that reruns add up alike
-        acc[r["y"]] += np.array(r["m"])
+    for r in each.groupBy("y", "k").agg(F.sum(F.col("v").cast("decimal(34,14)")).alias("v")).collect():
+        acc[r["y"], r["k"]] = float(r["v"])
     return Discriminant(acc[:, 0], acc[:, 1 : 1 + d], acc[:, 1 + d :].reshape(2, d, d))
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
-    Scores come from the text alone. Null and empty texts are scored as the empty text; repeated rows get equal scores;
-    without two rows of each class the score is the smoothed share of class 1.
+    Scores come from the text alone, read as a whole whatever its length. Null and empty texts are scored as the empty
+    text; repeated rows get equal scores; a null id is not held out. Without two rows of each class the score is the
+    smoothed share of class 1, a half without labels. An empty table gives an empty result; other columns are not
+    read, whatever their names.
     """
     tune(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "quality")
@@ -159,18 +165,22 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify() predicts as 1, with all their columns and no others."""
+    """The rows of docs that classify() predicts as 1, with all their columns and no others, whatever their names.
+
+    Rows keep their multiplicity; null and empty texts are judged as the empty text. An empty table gives an empty one.
+    """
     tune(docs.sparkSession)
-    model = fit(Scratch(docs.sparkSession, "quality").keep(features(docs)), labels)
+    model, names = fit(Scratch(docs.sparkSession, "quality").keep(features(docs)), labels), docs.columns
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = np.stack([statistics(t) for t in batch.column("__text").to_pylist()]) if len(batch) else np.zeros((0, len(FEATURES)))
-            yield batch.filter(pa.array(model.score(x) >= THRESHOLD)).drop_columns(["__text"])
+            x = np.stack([statistics(t) for t in batch.column("text").to_pylist()]) if len(batch) else np.zeros((0, len(FEATURES)))
+            rows = batch.column("row").filter(pa.array(model.score(x) >= THRESHOLD))
+            yield pa.RecordBatch.from_arrays(rows.flatten(), names=names)
 
-    return docs.withColumn("__text", either(docs, "text", "string")).mapInArrow(work, docs.schema)
+    return docs.select(whole_row(docs).alias("row"), either(docs, "text", "string").alias("text")).mapInArrow(work, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
