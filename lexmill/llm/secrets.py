@@ -54,12 +54,17 @@ def _bits(token: str) -> float:
 
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Identifiers, secret-like tokens and endpoints that mean nothing alone and do not overlap a base span."""
-    starts = sorted(base)
-    ends = [e for _, e, _ in starts]
+    starts, ends = [], []  # base spans of different kinds may overlap: as runs that do not
+    for a, b, _ in sorted(base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
 
     def free(a: int, b: int) -> bool:
         i = bisect_right(ends, a)
-        return all(s >= b for s, _, _ in starts[i:]) if i < len(starts) else True
+        return i == len(starts) or starts[i] >= b
 
     parts = []
     if "://" in text or "." in text:
@@ -126,7 +131,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per document: numbers of base spans, a digest of their list, all spans, and how many were added by linking.
 
     A null text counts as empty and has no spans; rows keep their multiplicity; other columns are not read. A document
-    is scanned as one text, so no scope ever spans two tasks and nothing is shuffled.
+    is scanned as one text, whatever its length, so no scope ever spans two tasks and nothing is shuffled. An empty
+    table gives an empty result.
     """
     tune(docs.sparkSession)
     rows = docs.select(either(docs, "doc_id", "long").alias("doc_id"), F.coalesce(either(docs, "text", "string"), F.lit("")).alias("text"))
