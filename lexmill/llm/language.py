@@ -17,6 +17,8 @@ from lexmill.llm.quality import held_out
 FOLDS, HELD = 3, 1
 #: Bound of the training sample: documents of each language, the first by a hash of their id.
 SAMPLE_DOCS = 250
+#: Shares of a language that are ranked apart before they are ranked together.
+SHARES = 64
 #: Slots of the feature table, words of a training chain, share of chains spliced from two documents, gradient steps.
 SLOTS, CHAIN, SPLICED, STEPS = 1 << 15, 48, 0.3, 30
 #: A word is in a language's lexicon if it makes up so much of that language's words and of no other's half as much.
@@ -28,7 +30,19 @@ MEMORY, TOGETHER = 400_000, 1_500_000
 RUN, OVERLAP = 24, 2
 UNKNOWN = "und"
 
-_letters = re.compile(r"[^\W\d_]+")
+def _letter_pattern() -> str:
+    """A class of all letters: word characters but for the underscore and those that are numerals of any kind."""
+    other = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
+    runs: list[list[int]] = []
+    for c in other:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[^\\W_" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]+"
+
+
+_letters = re.compile(_letter_pattern())
 
 
 def words_of(text: str | None) -> list[str]:
@@ -172,8 +186,10 @@ def fit(docs: DataFrame) -> Chain:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD))
     # Only ids pass through the ranking; the few that are chosen fetch their texts.
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_DOCS).select("doc_id", "lang")
+    # First within shares of a language, so that one of a third of all rows is no single task's.
+    ranked = lambda df, *by: df.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("k") <= SAMPLE_DOCS)
+    hashed = rows.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("share", F.pmod("h", F.lit(SHARES)))
+    chosen = ranked(ranked(hashed, "lang", "share"), "lang").select("doc_id", "lang")
     got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang").collect()
     return Chain.train([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], r["text"]))])
 
@@ -181,10 +197,13 @@ def fit(docs: DataFrame) -> Chain:
 def identify(docs: DataFrame, model: Chain) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_words, switches) for every row, from its whole text.
 
+    Rows keep their multiplicity and equal texts get equal answers. An empty table gives an empty result; other columns
+    are not read, whatever their names.
+
     lang_pred is the language with the largest sum of word marginals (ties: the first by code point), score the mean
     marginal of it; `und` with score 0 where the text is null or has no letter or nothing was learned. n_words counts what
-    words_of yields, the parts of a long run each. switches counts
-    neighbouring words whose likeliest languages differ.
+    words_of yields, the parts of a long run each. switches counts neighbouring words
+    whose likeliest languages differ.
     """
     tune(docs.sparkSession)
     rows = docs.select(either(docs, "doc_id", "long").alias("doc_id"), either(docs, "text", "string").alias("text"))
