@@ -88,7 +88,7 @@ def _lists(arrays: list[np.ndarray]):
 
 
 def fingerprints(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, h1, h2, bands): set size, a 128-bit digest of the set and its band keys (null for the empty set)."""
+    """(doc, twin, n, h1, h2, bands): set size, a 128-bit digest of the set and its band keys (null for the empty set)."""
 
     def work(batches):
         import pyarrow as pa
@@ -102,9 +102,9 @@ def fingerprints(rows: DataFrame, k: int) -> DataFrame:
             own = [next(keys) if len(s) else none for s in sets]
             low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digest], dtype=np.uint64).view(np.int64)
             high = np.array([d >> 64 for d in digest], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), _lists(own)], names=["id", "n", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("twin"), pa.array([len(s) for s in sets], pa.int64()), pa.array(low), pa.array(high), _lists(own)], names=["doc", "twin", "n", "h1", "h2", "bands"])
 
-    return rows.mapInArrow(work, "id long, n long, h1 long, h2 long, bands array<long>")
+    return rows.mapInArrow(work, "doc long, twin long, n long, h1 long, h2 long, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -120,21 +120,20 @@ def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
 
 
 class _Verifier:
-    """Exact similarity of candidate pairs; a document's text is read for the pairs it is in, and no more."""
+    """Exact similarity of candidate pairs of nodes; a text is read for the pairs it is in, and no more."""
 
-    def __init__(self, scratch: Scratch, rows: DataFrame, k: int):
-        self.scratch, self.rows, self.k = scratch, rows, k
+    def __init__(self, scratch: Scratch, rows: DataFrame, nodes: DataFrame, k: int):
+        self.scratch, self.rows, self.nodes, self.k = scratch, rows, nodes.select("id", "doc", "twin"), k
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """The shingle sets of those documents."""
-        thin = self.rows.filter(Bitmap(ids, "id").maybe("id"))
-        wanted = thin.join(ids, "id", "left_semi")
-        return self.scratch.keep(shingle_sets(wanted, self.k).dropDuplicates(["id"]))
+        """The shingle sets of those nodes, from the text of the row that stands for each."""
+        wanted = self.scratch.keep(self.nodes.join(ids, "id", "left_semi"))
+        thin = self.rows.filter(Bitmap(wanted, "doc").maybe("doc"))
+        return self.scratch.keep(shingle_sets(thin.join(wanted, ["doc", "twin"]).select("id", "text"), self.k).dropDuplicates(["id"]))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links. Either side may be hot; the joins are left to split it."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        ids = self.scratch.keep(ids)
         sets = self.sets(ids)
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -142,39 +141,52 @@ class _Verifier:
         total = F.size("sa") + F.size("sb") - F.col("shared")
         found = both.select("a", "b", "sa", "sb", shared.alias("shared")).filter(PERCENT[0] * F.col("shared") >= PERCENT[1] * total)
         out = self.scratch.keep(found.select("a", "b"))
-        self.scratch.drop(ids, sets)
+        self.scratch.drop(sets)
         return out
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
-    Rows of one shingle set collapse to the smallest id first, so that large groups of copies cost one row. In every
-    bucket of a band all members are compared with its smallest id; buckets that the links found leave in more than
-    one component are compared with their largest id too. Members of buckets that are still apart are joined on their
-    rarest shingles, which misses no link, so that no bucket ever spends the square of its size.
-
-    Null and empty texts have no shingles and are linked with nothing. Repeated doc_ids are one node of the graph: the
-    component of a doc_id is that of any of its rows, and each row is returned. A null doc_id stays alone with a null
-    component and is kept. An empty table gives an empty result; other columns are not read.
+    A node of the graph is a distinct shingle set, so that large groups of copies cost one row; the row of the smallest
+    doc_id stands for it. In every bucket of a band all members are compared with its smallest node; buckets that the
+    links found leave in more than one component are compared with their largest node too. Members of buckets that are
+    still apart are joined on their rarest shingles, which misses no link, so that no bucket ever spends the square of
+    its size. Sets are compared whole, as 64-bit hashes of their shingles: that two different shingles of a pair with n
+    of them meet in one hash, and so could move its similarity at all, has a chance of n**2 / 2**65.
+
+    Null and empty texts have no shingles and are linked with nothing. Repeated doc_ids, with equal or different texts,
+    tie the sets of all their rows together: the component of a doc_id is that of any of its rows, and each row is
+    returned. A null doc_id stays alone with a null component and is kept. An empty table gives an empty result; a text
+    of any length is read as a whole; other columns are not read, whatever their names.
     """
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "neardup")
-    rows = docs.select(either(docs, "doc_id", "long").alias("id"), either(docs, "text", "string").alias("text"))
+    text = either(docs, "text", "string")
+    rows = docs.select(either(docs, "doc_id", "long").alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
     prints = scratch.keep(fingerprints(rows, k))
-    named = prints.filter("n > 0 and id is not null")
-    by_set = scratch.keep(named.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    # A copy is linked to the smallest id of its set; only sets of more than one row are looked up.
-    copied = named.select("id", "n", "h1", "h2").join(by_set.filter("copies > 1"), ["n", "h1", "h2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    distinct = named.join(by_set.filter("copies > 1").select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").filter("rep is null or rep = id").select("id", "n", "bands").dropDuplicates(["id", "n"])
-    keyed = scratch.keep(distinct.select("id", "n", F.explode("bands").alias("key")))
-    buckets = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("m")).filter("m > 1 and low <> high"))
+    named, whole = prints.filter("n > 0 and doc is not null"), ["n", "h1", "h2"]
+    # By doc_id, so that the smallest node of a component has its smallest doc_id.
+    by_set = named.groupBy(*whole).agg(F.min(F.struct("doc", "twin")).alias("one"), F.first("bands").alias("bands")).select(*whole, "one.*", "bands")
+    nodes = scratch.keep(by_set.select(F.monotonically_increasing_id().alias("id"), *whole, "doc", "twin", "bands"))
+    placed = scratch.keep(prints.drop("bands", "twin").join(nodes.select("id", *whole, F.col("doc").alias("low")), whole, "left").withColumn("id", F.expr("if(doc is null, null, id)")))
+    # Rows of one doc_id that are not of one node.
+    least, empty = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "low"))).alias("a"), F.count_if(F.col("id").isNull()).alias("e")
+    spread = scratch.keep(placed.filter("doc is not null").groupBy("doc").agg(least, F.max("id").alias("z"), empty).filter("a.id <> z or a is not null and e > 0").select("doc", "a"))
+    tied = None
+    if not spread.isEmpty():
+        tied = scratch.keep(placed.join(spread, "doc").filter("id <> a.id").select(F.col("a.id").alias("a"), F.col("id").alias("b")).distinct())
+        placed = scratch.keep(placed.join(spread, "doc", "left").select("doc", "n", F.coalesce("id", "a.id").alias("id"), F.coalesce("low", "a.low").alias("low")))
+    keyed = scratch.keep(nodes.select("id", "n", F.explode("bands").alias("key")))
+    buckets = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("m")).filter("m > 1"))
     members = scratch.keep(keyed.join(buckets.select("key", "low", "high"), "key"))
     scratch.drop(keyed, buckets)
-    check = _Verifier(scratch, rows, k)
+    check = _Verifier(scratch, rows, nodes, k)
     # Sizes alone rule a pair out if the smaller set is under 80 % of the larger.
     first = members.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = check.links(scratch.keep(first))
+    first = scratch.keep(first)
+    links = check.links(first)
+    links = links.union(tied) if tied else links
     parts = components(scratch, links)
     open_ = _open(scratch, members, parts)
     top = open_.filter("id = high").select("key", F.col("part").alias("other"), F.col("n").alias("n2"))
@@ -189,8 +201,10 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     if not last.isEmpty():
         links = links.union(check.links(last))
         parts = components(scratch, links)
-    final = components(scratch, links.union(copied)) if not copied.isEmpty() else parts
-    out = prints.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    least = nodes.select("id", "doc").join(parts, "id").groupBy("component").agg(F.min("doc").alias("first"))
+    linked = scratch.keep(parts.join(least, "component").select("id", "first"))
+    out = placed.join(linked, "id", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("first", "low", "doc").alias("component_id"))
+    out = out.withColumn("component_id", F.expr("if(doc_id is null, null, component_id)"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

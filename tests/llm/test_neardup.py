@@ -51,6 +51,15 @@ def test_odd_rows(spark):
     assert [r.kept for r in neardup.near_duplicates(frame(spark, [(1, None, None, None, None)])).collect()] == [True]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(10)
+    a, b = prose(rng, 40), prose(rng, 40)
+    rows = [(5, a), (5, b), (7, a + " word"), (8, b + " word"), (3, ""), (3, b), (9, prose(rng, 30)), (9, ""), (11, None), (12, a), (12, a), (-4, prose(rng, 20)), (-4, prose(rng, 25)), (None, a)]
+    rows = [(d, t, "en", "s", 1) for d, t in rows]
+    got = neardup.near_duplicates(frame(spark, rows), 4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=repr) == brute(rows, 4)
+
+
 def test_sketches_fill_and_concentrate():
     rng = np.random.default_rng(2)
     one = [rng.integers(0, 1 << 63, size=n, dtype=np.uint64) for n in (1, 2, 7, 500)]
