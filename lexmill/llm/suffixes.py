@@ -11,8 +11,10 @@ then tell how far to the left each occurrence still agrees with another one.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from lexmill.llm.common import Bitmap, Scratch, either, mix64, read, tune
 
 #: Bytes of a string that must occur twice, and bytes of an anchor's hash.
 SPAN, K = 200, 64
-#: Contexts of one anchor string that one task sorts; the windows of larger groups are counted by their hashes instead.
+#: Contexts that one task sorts together; larger groups are split by the bytes around their anchor first.
 GROUP = 8192
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -141,14 +143,14 @@ def agreements(left: list[bytes], right: list[bytes], span: int = SPAN) -> list[
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
-    """(id, twin, a, lo, hi, h, c): anchors with the hash of their string and of their whole context."""
+    """(id, twin, a, lo, hi, h, c, c2): anchors with the hash of their string and two of their whole context."""
 
     def work(batches):
         import pyarrow as pa
 
         powers = Powers()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             counts = []
             for text in batch.column("text").to_pylist():
                 raw = text.encode("utf-8", "surrogatepass")
@@ -159,14 +161,15 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
                 a, lo, hi = anchors(raw, powers, sums)
                 with np.errstate(over="ignore"):
                     c = mix64(hash_of(sums, lo, hi + SPAN, powers) + (a - lo).astype(np.uint64) * np.uint64(_BASE))
-                for p, v in zip(parts, (a, lo, hi, hash_of(sums, a, a + K, powers).view(np.int64), c.view(np.int64)), strict=True):
+                c2 = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(lo.tolist(), (hi + SPAN).tolist(), strict=True)], dtype=np.uint64)
+                for p, v in zip(parts, (a, lo, hi, hash_of(sums, a, a + K, powers).view(np.int64), c.view(np.int64), c2.view(np.int64)), strict=True):
                     p.append(v)
                 counts.append(len(a))
             take = pa.array(np.repeat(np.arange(len(counts)), counts))
-            a, lo, hi, h, c = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("twin").take(take), *(pa.array(x.astype(np.int32)) for x in (a, lo, hi)), pa.array(h), pa.array(c)], names=["id", "twin", "a", "lo", "hi", "h", "c"])
+            a, lo, hi, h, c, c2 = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("twin").take(take), *(pa.array(x.astype(np.int32)) for x in (a, lo, hi)), pa.array(h), pa.array(c), pa.array(c2)], names=["id", "twin", "a", "lo", "hi", "h", "c", "c2"])
 
-    return rows.mapInArrow(work, "id long, twin long, a int, lo int, hi int, h long, c long")
+    return rows.mapInArrow(work, "id long, twin long, a int, lo int, hi int, h long, c long, c2 long")
 
 
 def _contexts(joined: DataFrame) -> DataFrame:
@@ -190,7 +193,7 @@ def _contexts(joined: DataFrame) -> DataFrame:
 
 
 def _scanned(contexts: DataFrame) -> DataFrame:
-    """(id, twin, start, end) of what single contexts share with others, by the interval trees of their groups."""
+    """(id, twin, start, end) of what single contexts share with others of their group g, by its interval tree."""
 
     def work(batches):
         import pyarrow as pa
@@ -220,35 +223,35 @@ def _scanned(contexts: DataFrame) -> DataFrame:
                 yield table(found)
         yield table(list(solve(held)))
 
-    sorted_ = contexts.repartition("h").sortWithinPartitions("h")
+    sorted_ = contexts.select("g", "single", "id", "twin", "a", "lo", "hi", "left", "right").repartition("g").sortWithinPartitions("g")
     return sorted_.mapInArrow(work, "id long, twin long, start int, end int")
 
 
-def _counted(contexts: DataFrame) -> DataFrame:
-    """As _scanned, for groups of any size: windows are counted by 128 bits of their hash, each a row of its own."""
+def _shared(scratch: Scratch, contexts: DataFrame) -> DataFrame:
+    """(id, twin, start, end) of what single contexts share with others of their anchor string, however many there are.
 
-    def work(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            powers = Powers()
-            for _, single, doc, twin, a, lo, hi, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = left[::-1] + right
-                del a
-                at = np.arange(hi - lo + 1)
-                sums = prefix_sums(raw, powers)
-                one = hash_of(sums, at, at + SPAN, powers)
-                other = np.array([int.from_bytes(hashlib.blake2b(raw[i : i + SPAN], digest_size=8).digest(), "little", signed=True) for i in at.tolist()])
-                for col, v in zip(cols, ([doc] * len(at), [twin] * len(at), (lo + at).astype(np.int32), one.view(np.int64), other, [single] * len(at)), strict=True):
-                    col.append(np.asarray(v))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0), k) for v, k in zip(cols, kinds, strict=True)], names=["id", "twin", "start", "w1", "w2", "single"])
-
-    rows = contexts.mapInArrow(work, "id long, twin long, start int, w1 long, w2 long, single boolean")
-    # Contexts of n > 1 rows stand for several occurrences, but those are removed whole already.
-    often = rows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.bool_or("single").alias("some")).filter("n > 1 and some").select("w1", "w2")
-    return rows.filter("single").join(often, ["w1", "w2"]).select("id", "twin", "start", (F.col("start") + SPAN).alias("end"))
+    All of a group share r bytes from the anchor on and l before it. Two that share SPAN bytes around it either share
+    mid > r bytes to the right, or fewer and so SPAN - mid + 1 to the left: a group too large for one task becomes two
+    sets of groups, of equal bytes to the right and to the left, and what is missing to SPAN is half of what it was.
+    Once nothing is missing all of a group have one string of SPAN bytes in common, which needs no tree.
+    """
+    found, rest = [], ["single", "id", "twin", "a", "lo", "hi", "left", "right"]
+    state = contexts.select(F.col("h").cast("string").alias("g"), F.lit(K).alias("r"), F.lit(0).alias("l"), *rest)
+    while True:
+        big = scratch.keep(state.groupBy("g").agg(F.count("*").alias("n"), F.bool_or("single").alias("some")).filter((F.col("n") > GROUP) & F.col("some")).select("g"))
+        if big.isEmpty():
+            found.append(_scanned(state))
+            return reduce(DataFrame.union, found)
+        found.append(_scanned(state.join(big, "g", "left_anti")))
+        hot = state.join(big, "g").withColumn("lacks", F.lit(SPAN) - F.col("r") - F.col("l"))
+        found.append(hot.filter("lacks <= 0 and single").select("id", "twin", (F.col("a") - F.col("l")).alias("start"), (F.col("a") + F.col("r")).alias("end")))
+        mid = (F.col("r") + F.floor((F.col("lacks") + 1) / 2)).cast("int")
+        sides = []
+        for r, l in ((mid, F.col("l")), (F.col("r"), F.lit(SPAN + 1) - mid)):
+            side = hot.filter("lacks > 0").withColumns({"r2": r, "l2": l}).filter("octet_length(right) >= r2 and octet_length(left) >= l2")
+            own = F.sha2(F.concat(F.expr("substring(left, 1, l2)"), F.expr("substring(right, 1, r2)")), 256)
+            sides.append(side.select(F.concat_ws("|", own, "r2", "l2").alias("g"), F.col("r2").alias("r"), F.col("l2").alias("l"), *rest))
+        state = scratch.keep(sides[0].union(sides[1]))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -294,27 +297,25 @@ def repeated_spans(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     found = scratch.keep(all_.filter(Bitmap(twice, "h", 1 << 24).maybe("h")).join(twice, "h"))
     scratch.drop(all_, twice)
     place = F.struct("id", "twin", "a", "lo", "hi")
-    kinds = scratch.keep(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("one")))
-    # A context that occurs twice as a whole is repeated in all its windows.
-    whole = found.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"]).select("id", "twin", F.col("lo").alias("start"), (F.col("hi") + SPAN).alias("end"))
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("least = 1 and m > 1").select("h", "m")
-    todo = scratch.keep(kinds.join(mixed, "h").select("h", "n", "m", "one.*"))
-    per_doc = todo.groupBy("id", "twin").agg(F.collect_list(F.struct("h", "n", "m", "a", "lo", "hi")).alias("at"))
+    kinds = scratch.keep(found.groupBy("h", "c", "c2").agg(F.count("*").alias("n"), F.min(place).alias("one")))
+    # A context that occurs twice as a whole is repeated in all its windows; three hashes of 64 bits tell that.
+    whole = found.join(kinds.filter("n > 1").select("h", "c", "c2"), ["h", "c", "c2"]).select("id", "twin", F.col("lo").alias("start"), (F.col("hi") + SPAN).alias("end"))
+    mixed = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("least = 1 and m > 1").select("h")
+    todo = scratch.keep(kinds.join(mixed, "h").select("h", "n", "one.*"))
+    per_doc = todo.groupBy("id", "twin").agg(F.collect_list(F.struct("h", "n", "a", "lo", "hi")).alias("at"))
     thin = rows.filter(Bitmap(todo, "id").maybe("id"))
-    big = scratch.keep(todo.filter(F.col("m") > GROUP).select("h").distinct())
     texts = thin.join(per_doc, ["id", "twin"])
     contexts = scratch.keep(_contexts(texts))
-    parts = _scanned(contexts.join(big, "h", "left_anti") if not big.isEmpty() else contexts)
-    if not big.isEmpty():
-        parts = parts.union(_counted(contexts.join(big, "h", "left_semi")))
-    parts = scratch.keep(parts)
+    parts = scratch.keep(_shared(scratch, contexts))
     scratch.drop(contexts)
     return scratch.keep(whole.union(parts).groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(either(docs, "text", "string"), F.lit(""))
-    return docs.select(F.coalesce(either(docs, "doc_id", "long"), F.lit(-1).cast("long")).alias("id"), F.xxhash64(text).alias("twin"), text.alias("text"), either(docs, "doc_id", "long").alias("doc_id"))
+    doc = either(docs, "doc_id", "long")
+    # A null id is told from the number that stands for it by the twin.
+    return docs.select(F.coalesce(doc, F.lit(-1).cast("long")).alias("id"), F.xxhash64(text, doc.isNull()).alias("twin"), text.alias("text"), doc.alias("doc_id"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
