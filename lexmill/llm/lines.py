@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines and the sentences in them: the earliest occurrence stays, all others go."""
+"""Substring dedup by hashing runs of lines and sentences: the earliest occurrence stays, all others go."""
 
 from __future__ import annotations
 
@@ -9,44 +9,57 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Bitmap, Scratch, read, tune
-from lexmill.llm.suffixes import _merged, _texts
+from lexmill.llm.common import Bitmap, Scratch, either, read, tune
+from lexmill.llm.suffixes import _merged
 
-#: Least words of a sentence inside a line that is looked for elsewhere; shorter ones recur by chance. One of fewer words
-#: counts if it has so many characters, as in scripts without spaces. Lines are looked for whatever their length.
-SENTENCE_WORDS, SENTENCE_CHARS = 8, 40
+#: A unit has so many words or so many characters at least, the latter for scripts without spaces. Shorter passages
+#: recur by chance and in clean documents; with 1 and 1 every line and sentence is a unit of its own.
+LEAST_WORDS, LEAST_CHARS = 20, 120
 
 _stop = re.compile("\\. |\u3002".encode())
 
 
-def units(raw: bytes) -> list[tuple[int, int, bytes]]:
-    """(start, end, normal form) of each line that is not blank and each sentence that is long enough, in bytes.
+def segments(raw: bytes) -> list[tuple[int, int, list[bytes]]]:
+    """(start, end, words) of each sentence that is not blank, in bytes; the end lies behind the separator.
 
-    The end lies behind the separator. Lines end at a line feed, sentences at a full stop and a space or at an
-    ideographic full stop. The normal form has A-Z in lower case and single spaces; lines and sentences are told apart
-    by its first byte.
+    Lines end at a line feed, sentences at the end of a line, at a full stop and a space or at an ideographic full
+    stop. Words are in lower case (A-Z), the last without its full stop.
     """
     found, at = [], 0
     for line in raw.split(b"\n"):
-        end = min(at + len(line) + 1, len(raw))
-        words = line.lower().split()
-        if words:
-            found.append((at, end, b"L" + b" ".join(words)))
-        stops = list(_stop.finditer(line))
-        if stops:
-            start = 0
-            for last, stop in [*((m.start(), m.end()) for m in stops), (len(line), len(line))]:
-                own = line[start:last].lower().rstrip(b".").split()
-                form = b" ".join(own)
-                if len(own) >= SENTENCE_WORDS or len(form) >= SENTENCE_CHARS <= len(form.decode("utf-8", "surrogatepass")):
-                    found.append((at + start, at + stop, b"S" + form))
-                start = stop
-        at = end
+        start, last = 0, len(line)
+        for m in [*_stop.finditer(line), None]:
+            stop, after = (m.start(), m.end()) if m else (last, last + 1)
+            words = line[start:stop].lower().rstrip(b".").split()
+            if words:
+                found.append((at + start, min(at + after, len(raw)), words))
+            start = after
+        at += last + 1
     return found
 
 
-def _unit_rows(rows: DataFrame) -> DataFrame:
-    """(id, twin, start, end, d1, d2): the digests of all units."""
+def units(raw: bytes, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> list[tuple[int, int, bytes]]:
+    """(start, end, normal form) of the run of sentences that begins with each sentence and is just long enough.
+
+    The normal form is the words with single spaces. Runs overlap, so that a repeated passage is covered whole by its
+    runs however its surroundings differ; a passage that is too short from some sentence on has no run from there.
+    """
+    own = segments(raw)
+    forms = [b" ".join(words) for _, _, words in own]
+    chars = [len(f.decode("utf-8", "surrogatepass")) for f in forms]
+    found, last, n, size = [], 0, 0, 0
+    for i in range(len(own)):
+        while last < len(own) and (last <= i or n < least_words and size < least_chars):
+            n, size, last = n + len(own[last][2]), size + chars[last], last + 1
+        if n < least_words and size < least_chars:
+            break
+        found.append((own[i][0], own[last - 1][1], b" ".join(forms[i:last])))
+        n, size = n - len(own[i][2]), size - chars[i]
+    return found
+
+
+def _unit_rows(rows: DataFrame, least_words: int, least_chars: int) -> DataFrame:
+    """(id, uid, start, end, d1, d2): the digests of all units."""
 
     def work(batches):
         import pyarrow as pa
@@ -54,7 +67,7 @@ def _unit_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             who, starts, ends, low, high = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for start, end, form in units(text.encode("utf-8", "surrogatepass")):
+                for start, end, form in units(text.encode("utf-8", "surrogatepass"), least_words, least_chars):
                     d = xxhash.xxh3_128_intdigest(form)
                     who.append(i)
                     starts.append(start)
@@ -63,37 +76,41 @@ def _unit_rows(rows: DataFrame) -> DataFrame:
                     high.append(d >> 64)
             take = pa.array(who, pa.int64())
             sides = [pa.array(np.array(d, dtype=np.uint64).view(np.int64)) for d in (low, high)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("twin").take(take), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), *sides], names=["id", "twin", "start", "end", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("uid").take(take), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), *sides], names=["id", "uid", "start", "end", "d1", "d2"])
 
-    return rows.mapInArrow(work, "id long, twin long, start int, end int, d1 long, d2 long")
+    return rows.mapInArrow(work, "id long, uid long, start int, end int, d1 long, d2 long")
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
+def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of docs.
 
     Units of equal normal form are grouped by a 128-bit digest over the whole table. In each group the occurrence with
-    the smallest (doc_id, offset) stays and the rest are removed, whichever document they stand in; spans lists the
-    removed runs of the original text as start:end in bytes. The earliest occurrence is found by a partial minimum, so
-    that a line of a third of all documents moves one row a task, and only units that occur twice are joined back.
-
-    Null texts count as empty. Rows that share doc_id and text are one occurrence and have the same outcome. Null ids
-    rank before all others. An empty table gives an empty result; other columns are not read.
+    the smallest (doc_id, row, offset) stays and the rest are removed, whichever document they stand in; spans lists
+    the removed runs of the original text as start:end in bytes. A sentence goes only where it stands in a unit that
+    occurred earlier, so that its own earliest occurrence never goes. The earliest occurrence is found by a partial
+    minimum, so that a line of a third of all documents moves one row a task, and only units that occur twice are
+    joined back.
+
+    Null texts count as empty. Every row is a document of its own, whether or not another has its doc_id and text: the
+    texts are written once with a number for each row, which decides among rows of one doc_id. Null ids rank before
+    all others. A text of any length is read as a whole. An empty table gives an empty result; other columns are not
+    read, whatever their names.
     """
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
-    rows = _texts(docs)
-    all_ = scratch.keep(_unit_rows(rows))
-    first = F.min(F.struct("id", "twin", "start")).alias("first")
-    last = F.max(F.struct("id", "twin", "start")).alias("last")
-    often = all_.groupBy("d1", "d2").agg(first, last).filter("first <> last").select("d1", "d2", "first")
+    text = F.coalesce(either(docs, "text", "string"), F.lit(""))
+    rows = scratch.keep(docs.select(either(docs, "doc_id", "long").alias("id"), F.monotonically_increasing_id().alias("uid"), text.alias("text")))
+    all_ = scratch.keep(_unit_rows(rows, least_words, least_chars))
+    place = F.struct("id", "uid", "start")
+    often = all_.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("d1", "d2", "first")
     often = scratch.keep(often)
-    gone = all_.join(often, ["d1", "d2"]).filter(F.struct("id", "twin", "start") != F.col("first"))
-    spans = scratch.keep(gone.groupBy("id", "twin").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    gone = all_.join(often, ["d1", "d2"]).filter((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
+    spans = scratch.keep(gone.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     scratch.drop(all_, often)
-    hit = Bitmap(spans, "id")
-    touched = rows.filter(hit.maybe("id")).join(spans, ["id", "twin"], "left").select(F.col("doc_id").alias("id"), "text", "spans")
+    hit = Bitmap(spans, "uid")
+    touched = rows.filter(hit.maybe("uid")).join(spans, "uid", "left").select("id", "text", "spans")
     zero = F.lit(0).cast("long")
-    intact = rows.filter(~hit.maybe("id")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.lit("").alias("spans"))
+    intact = rows.filter(~hit.maybe("uid")).select(F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.lit("").alias("spans"))
     return intact.unionByName(_merged(touched))
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from lexmill.llm import lines, suffixes
 from tests.llm.helpers import WORDS, frame, odd_rows, prose
@@ -45,8 +46,9 @@ def removed(df):
 def test_suffixes_against_brute_force(spark, monkeypatch):
     for rows in (passages(), odd_rows()):
         assert removed(suffixes.remove_repeats(frame(spark, rows))) == covered(rows)
-    monkeypatch.setattr(suffixes, "GROUP", 1)  # all groups go by the hashes of their windows
-    assert removed(suffixes.remove_repeats(frame(spark, passages()))) == covered(passages())
+    for group in (1, 3):  # groups are split by their bytes, to the last round or some of the way
+        monkeypatch.setattr(suffixes, "GROUP", group)
+        assert removed(suffixes.remove_repeats(frame(spark, passages()))) == covered(passages())
     assert removed(suffixes.remove_repeats(frame(spark, odd_rows(), extra=True))) == covered(odd_rows())
     assert suffixes.remove_repeats(frame(spark, [])).collect() == []
 
@@ -71,34 +73,85 @@ def test_intervals_and_agreements():
             assert windows == want, (left, right, i)
 
 
-def brute_lines(rows):
-    first, out = {}, []
-    raws = {(d if d is not None else -1, t or ""): (d, (t or "").encode()) for d, t, *_ in rows}
-    order = sorted(raws, key=lambda k: k[0])
-    for key in order:
-        for start, _, form in sorted(lines.units(raws[key][1]), key=lambda u: u[0]):
-            first.setdefault(form, (key, start))
+def test_null_ids_are_not_other_ids(spark):
+    rng = random.Random(17)
+    text = prose(rng, 60)
+    rows = [(d, t, "en", "s", 1) for d, t in ((None, text), (None, text), (-1, text), (-5, text), (3, prose(rng, 50)), (None, "short"), (-1, "short"))]
+    assert removed(suffixes.remove_repeats(frame(spark, rows))) == covered(rows)
+    got = [(r.doc_id, r.n_removed) for r in lines.remove_lines(frame(spark, rows)).collect()]
+    assert sorted(n for d, n in got if d is None) == [0, 0, len(text.encode())]
+    assert all(n == len(text.encode()) for d, n in got if d in (-1, -5) and n) and sum(n > 0 for d, n in got if d in (-1, -5)) == 2
+
+
+def split_sentences(b):
+    """(start, end, words) by reading one byte after the other."""
+    found, start, i = [], 0, 0
+
+    def put(stop, after):
+        words = re.sub(rb"[.]+\Z", b"", bytes(c + 32 if 65 <= c <= 90 else c for c in b[start:stop])).split()
+        if words:
+            found.append((start, min(after, len(b)), words))
+
+    while i < len(b):
+        wide = 1 if b[i : i + 1] == b"\n" else 2 if b[i : i + 2] == b". " else 3 if b[i : i + 3] == "\u3002".encode() else 0
+        if wide:
+            put(i, i + wide)
+            start = i = i + wide
+        else:
+            i += 1
+    put(len(b), len(b))
+    return found
+
+
+def brute_lines(rows, words=20, chars=120):
+    """rows in the order in which their occurrences count; the outcome of each in that order."""
+    seen, out = set(), []
     for d, t, *_ in rows:
-        key, b = (d if d is not None else -1, t or ""), (t or "").encode()
+        b = (t or "").encode()
+        own = split_sentences(b)
         gone = bytearray(len(b))
-        for start, end, form in lines.units(b):
-            if first[form] != (key, start):
-                gone[start:end] = b"\1" * (end - start)
-        rest = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out.append((d, len(b) - len(rest), hashlib.sha256(rest).hexdigest()))
+        fresh = []
+        for i in range(len(own)):
+            for j in range(i, len(own)):
+                form = b" ".join(w for s in own[i : j + 1] for w in s[2])
+                if sum(len(s[2]) for s in own[i : j + 1]) >= words or sum(len(b" ".join(s[2]).decode()) for s in own[i : j + 1]) >= chars:
+                    if form in seen:
+                        gone[own[i][0] : own[j][1]] = b"\1" * (own[j][1] - own[i][0])
+                    seen.add(form)
+                    break
+        out.append((d, len(b) - sum(not g for g in gone), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return sorted(out, key=repr)
 
 
 def test_lines_against_brute_force(spark):
     rng = random.Random(13)
-    pool = [prose(rng, rng.randint(1, 25)).capitalize() + "." for _ in range(40)]
+    pool = [prose(rng, rng.randint(1, 25)).capitalize() + rng.choice([".", "", "...", "\u3002"]) for _ in range(40)]
     rows = [(i, "".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", "\n\n"]) for _ in range(rng.randint(0, 9))), "en", "s", 1) for i in range(120)]
-    for data in (rows, odd_rows()):
-        got = lines.remove_lines(frame(spark, data, extra=True)).collect()
-        assert sorted(((r.doc_id, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_lines(data)
+    odd = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0))
+    for data in (rows, odd):
+        for least in ((20, 120), (1, 1), (6, 40)):
+            got = lines.remove_lines(frame(spark, data, extra=True), *least).collect()
+            assert sorted(((r.doc_id, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_lines(data, *least)
     assert lines.remove_lines(frame(spark, [])).collect() == []
 
 
+def test_a_sentence_stays_once(spark):
+    """What is left of all documents together still holds every sentence there was."""
+    rng = random.Random(18)
+    pool = [prose(rng, rng.randint(3, 12)) for _ in range(12)]
+    rows = [(i, ". ".join(rng.choice(pool) for _ in range(rng.randint(1, 14))), "en", "s", 1) for i in range(60)]
+    by = {r.doc_id: r.spans for r in lines.remove_lines(frame(spark, rows)).collect()}
+    left, had = set(), set()
+    for d, t, *_ in rows:
+        b = t.encode()
+        runs = [tuple(map(int, s.split(":"))) for s in by[d].split(",") if s]
+        for start, end, words in lines.segments(b):
+            had.add(tuple(words))
+            if not any(x <= start and end <= y for x, y in runs):
+                left.add(tuple(words))
+    assert left == had
+
+
 def test_short_and_unspaced_lines_are_looked_up(spark):
     menu, rights = "Home\nAbout us\nContact\n", "All rights reserved."
     wrapped = "".join(" ".join(WORDS[i : i + 4]) + "\n" for i in range(0, 24, 4)) * 3
@@ -106,7 +159,10 @@ def test_short_and_unspaced_lines_are_looked_up(spark):
     sentence = han[:45] + "\u3002"
     shared = [menu, rights, wrapped, han, sentence]
     rows = [(10 * i + j, f"own{i}x{j} text\n" + (chr(0x6E00 + 10 * i + j) + "\u3002" + s + chr(0x6F00 + 10 * i + j) if s == sentence else s), "en", "s", 1) for i, s in enumerate(shared) for j in range(2)]
-    got = {r.doc_id: r.n_removed for r in lines.remove_lines(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.n_removed for r in lines.remove_lines(frame(spark, rows), 1, 1).collect()}
     for i, s in enumerate(shared):
         assert got[10 * i + 1] == len(s.encode()), s
         assert got[10 * i] == (len(wrapped) * 2 // 3 if s == wrapped else 0), s
+    # Lines of four words make units together; one of 300 characters is a unit of its own.
+    got = {r.doc_id: r.n_removed for r in lines.remove_lines(frame(spark, rows)).collect()}
+    assert [got[10 * i + 1] for i in range(5)] == [0, 0, len(wrapped), len(han.encode()), 0]
