@@ -13,50 +13,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexmill.llm.common import Scratch, read, tune
+from lexmill.llm.common import Scratch, mix64, read, tune
 
-#: Trees, bits of a hash string, rows of a block.
+#: Trees, bits of a hash string, rows of a block and queries that one task holds against them.
 TREES, BITS, BLOCK = 24, 40, 16384
-#: Rows that all ranges of a query hold together, as a share of all rows. Vectors without any structure, as in the test
-#: tables, need this much for a recall of 0.9; clustered ones need far less.
-REACH = 1.0
-#: Bound of the sample that sets the mean, the blocks and the estimates of how many rows share a prefix.
+#: Bound of the sample that sets the mean, the blocks, the estimates of how many rows share a prefix, and the reach.
 SAMPLE = 8192
+#: The reach is the number of rows that all ranges of a query hold together, as a share of all rows. The least of these
+#: whose recall over the sample, for TRIALS of its rows, is RECALL; in a larger table the nearest rows are nearer and
+#: are found more surely. Vectors without any structure need about as many rows as there are, clustered ones far fewer.
+REACHES, TRIALS, RECALL = tuple(2.0 ** (k / 2) for k in range(-14, 7)), 256, 0.95
 NEAREST, EVERY = 20, 20
 
 
 class Forest:
     """Hash functions, block bounds and sorted sample codes; a few MB whatever the size of the table."""
 
-    def __init__(self, sample: np.ndarray, total: int, largest: float, trees: int, reach: float, nearest: int, seed: int = 11):
+    def __init__(self, sample: np.ndarray, mean: np.ndarray, norm: float, total: int, asked: int, trees: int, reach: float | None, nearest: int, seed: int = 11):
+        """norm: the greatest distance of a row from mean; total and asked: numbers of rows and of queries."""
         d = sample.shape[1]
-        self.trees, self.total = trees, total
-        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(d)
-        # Rows of unequal length get one more coordinate that makes all lengths equal: the largest inner product is
-        # then the smallest angle.
-        self.norm = largest + np.linalg.norm(self.mean)
+        self.trees, self.mean, self.norm = trees, mean, norm
         self.planes = np.random.default_rng(seed).standard_normal((d + 1, trees * BITS))
-        codes = np.sort(self.codes(sample, False), axis=0) if len(sample) else np.zeros((0, trees), dtype=np.int64)
+        own = self.codes(sample, False)
+        codes = np.sort(own, axis=0)
         self.sorted = [np.ascontiguousarray(codes[:, t]) for t in range(trees)]
-        self.enough = min(1.0 * len(sample) * trees, max(reach * len(sample), 4.0 * nearest * len(sample) / max(total, 1)))
+        least = 4.0 * nearest * len(sample) / max(total, 1)
+        self.reach = self.tuned(sample, own, nearest) if reach is None else reach
+        self.enough = min(1.0 * len(sample) * trees, max(self.reach * len(sample), least))
         blocks = max(1, -(-total // BLOCK))
-        self.bounds, self.parts = [], []
-        for s in self.sorted:
+        self.bounds, self.parts, self.asked = [], [], []
+        low, high = self.ranges(self.codes(sample, True))
+        for t, s in enumerate(self.sorted):
             cuts = np.unique(s[(np.arange(1, blocks) * len(s)) // blocks]) if len(s) else np.zeros(0, np.int64)
             self.bounds.append(cuts)
             held = np.bincount(np.searchsorted(cuts, s, side="right"), minlength=len(cuts) + 1) * (total / max(len(s), 1))
             # Where very many rows share a code, no bound can part them; such blocks are dealt out by id.
             self.parts.append(np.maximum(1, np.ceil(held / (2 * BLOCK)).astype(np.int64)))
+            # Likewise the queries: the sample's rows stand for them.
+            a, b = np.searchsorted(cuts, low[:, t], side="right"), np.searchsorted(cuts, high[:, t], side="right")
+            met = np.cumsum(np.bincount(a, minlength=len(cuts) + 2) - np.bincount(b + 1, minlength=len(cuts) + 2))[: len(cuts) + 1]
+            self.asked.append(np.maximum(1, np.ceil(met * (asked / max(len(s), 1)) / (2 * BLOCK)).astype(np.int64)))
+
+    def tuned(self, sample: np.ndarray, codes: np.ndarray, nearest: int) -> float:
+        """The least reach that finds RECALL of the nearest rows of TRIALS rows of the sample among all of it."""
+        picked = np.arange(0, len(sample), max(1, len(sample) // TRIALS))[:TRIALS]
+        if len(sample) <= nearest + 1:
+            return REACHES[-1]
+        s = sample[picked] @ sample.T
+        s[np.arange(len(picked)), picked] = -np.inf
+        best = np.argpartition(-s, nearest, axis=1)[:, :nearest]
+        asked = self.codes(sample[picked], True)
+        for reach in REACHES:
+            self.enough = min(1.0 * len(sample) * self.trees, reach * len(sample))
+            low, high = self.ranges(asked)
+            found = np.zeros(best.shape, dtype=bool)
+            for t in range(self.trees):
+                c = codes[:, t][best]
+                found |= (c >= low[:, t, None]) & (c <= high[:, t, None])
+            if found.mean() >= RECALL:
+                return reach
+        return REACHES[-1]
 
     def codes(self, x: np.ndarray, queries: bool) -> np.ndarray:
         """The hash strings of rows as integers, first bit highest; one column a tree."""
-        if queries:
-            x = np.hstack([x, np.zeros((len(x), 1))])
-        else:
-            y = x - self.mean
-            rest = np.sqrt(np.maximum(self.norm**2 - (y**2).sum(axis=1), 0))
-            x = np.hstack([y, rest[:, None] * (0 if np.ptp(np.linalg.norm(x, axis=1)) < 1e-6 * self.norm else 1)]) if len(x) else np.zeros((0, x.shape[1] + 1))
-        bits = (x @ self.planes > 0).reshape(len(x), self.trees, BITS)
+        last = np.zeros((len(x), 1))
+        if not queries:
+            # One more coordinate makes all lengths equal: the largest inner product is then the smallest angle.
+            x = x - self.mean
+            last = np.sqrt(np.maximum(self.norm**2 - (x**2).sum(axis=1, keepdims=True), 0))
+        bits = (np.hstack([x, last]) @ self.planes > 0).reshape(len(x), self.trees, BITS)
         return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
     def ranges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +99,15 @@ class Forest:
 
 
 def _vectors(column) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.zeros((0, 0))
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
 def _placed(rows: DataFrame, forest, queries: bool) -> DataFrame:
-    """A row for each tree and block: the block's number, codes (first and last), id and vector bytes."""
+    """A row for each tree and block: the block's number, codes (first and last), id and vector bytes.
+
+    Where very many rows share a block, or very many queries meet it, it is dealt out in parts by id, and every part of
+    its rows meets every part of its queries in a task of its own.
+    """
 
     def work(batches):
         import pyarrow as pa
@@ -87,7 +116,7 @@ def _placed(rows: DataFrame, forest, queries: bool) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            x = _vectors(batch.column("v")).astype(np.float64)
+            x = _vectors(batch.column("v"))
             ids = batch.column("vec_id").to_numpy()
             codes = f.codes(x, queries)
             low, high = f.ranges(codes) if queries else (codes, codes)
@@ -98,13 +127,12 @@ def _placed(rows: DataFrame, forest, queries: bool) -> DataFrame:
                 n = b - a + 1
                 who = np.repeat(np.arange(len(ids)), n)
                 block = np.repeat(a, n) + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                if queries:  # to every part of a block that is dealt out
-                    m = f.parts[t][block]
-                    who, block = np.repeat(who, m), np.repeat(block, m)
-                    part = np.arange(len(who)) - np.repeat(np.cumsum(m) - m, m)
-                else:
-                    part = ids[who] % f.parts[t][block]
-                for col, v in zip(out, (np.full(len(who), t), block * 65536 + part, low[who, t], high[who, t], ids[who], raw[who]), strict=True):
+                own, other = (f.asked[t], f.parts[t]) if queries else (f.parts[t], f.asked[t])
+                m = other[block]
+                who, block = np.repeat(who, m), np.repeat(block, m)
+                part, all_ = mix64(ids[who].astype(np.uint64)) % own[block].astype(np.uint64), np.arange(len(who)) - np.repeat(np.cumsum(m) - m, m)
+                cell = part.astype(np.int64) * other[block] + all_ if queries else all_ * own[block] + part.astype(np.int64)
+                for col, v in zip(out, (np.full(len(who), t), block << 32 | cell, low[who, t], high[who, t], ids[who], raw[who]), strict=True):
                     col.append(v)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             for i in range(f.trees):
@@ -113,10 +141,10 @@ def _placed(rows: DataFrame, forest, queries: bool) -> DataFrame:
     return rows.mapInArrow(work, "tree int, block long, low long, high long, id long, raw binary")
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, trees: int = TREES, reach: float = REACH) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, trees: int = TREES, reach: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its nearest other rows of vectors that were found.
 
-    Both tables have vec_id and embedding. Nearness is the inner product in double precision of the vectors as they
+    Both tables have vec_id and embedding. Without a reach the one is taken that a sample asks for. Nearness is the inner product in double precision of the vectors as they
     are; ties go to the smaller vec_id. A query is never its own neighbour. Vectors that are null, zero, or hold null
     or non-finite components take no part, nor do those of another length than most; rows of a null vec_id neither.
     Of rows with the very same vector, only the smallest nearest + 1 ids can be among a query's nearest, and only they
@@ -143,13 +171,16 @@ def neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, t
     same = W.partitionBy("v").orderBy("vec_id")
     rows = sized.filter(F.size("v") == d).distinct().withColumn("k", F.row_number().over(same)).filter(F.col("k") <= nearest + 1).drop("k")
     rows = scratch.keep(rows)
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
-    whole = rows.agg(F.count("*").alias("n"), F.max(length).alias("largest")).first()
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    forest = Forest(_vectors(picked.column("v").combine_chunks()).astype(np.float64), whole["n"], whole["largest"], trees, reach, nearest)
+    sample = _vectors(picked.column("v").combine_chunks())
+    mean = sample.mean(axis=0)
+    # Over all rows, so that every batch of them is hashed alike.
+    apart = F.zip_with("v", F.lit(mean.tolist()), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+    whole = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate(apart, F.lit(0.0), lambda a, c: a + c))).alias("norm")).first()
+    asking = scratch.keep(usable(queries).filter(F.size("v") == d).distinct())
+    forest = Forest(sample, mean, whole["norm"], whole["n"], asking.count(), trees, reach, nearest)
     forest.wide = wide
-    index = _placed(rows, forest, False)
-    asked = _placed(usable(queries).filter(F.size("v") == d).distinct(), forest, True)
+    index, asked = _placed(rows, forest, False), _placed(asking, forest, True)
     kind_ = np.dtype("<f8" if wide else "<f4")
 
     def search(left, right):
@@ -166,14 +197,14 @@ def neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, t
         first = np.searchsorted(codes, right["low"].to_numpy(), side="left")
         last = np.searchsorted(codes, right["high"].to_numpy(), side="right")
         got: list[tuple] = []
-        # Queries with the same range are scored together.
+        # Queries with the same range are scored together, in pieces whose scores take a bounded space.
         order = np.lexsort((last, first))
         cut = np.flatnonzero(np.diff(first[order]) | np.diff(last[order])) + 1
         for some in np.split(order, cut):
             a, b = first[some[0]], last[some[0]]
             if b <= a:
                 continue
-            for piece in np.array_split(some, -(-len(some) * (b - a) // 4_000_000)):
+            for piece in np.array_split(some, -(-(len(some) * (b - a)) // 4_000_000)):
                 s = q[piece] @ x[a:b].T
                 s[ids[None, a:b] == names[piece][:, None]] = -np.inf
                 k = min(nearest + 8, b - a)

@@ -34,6 +34,35 @@ def test_recall_and_scores(spark):
     assert hot == want[700]
 
 
+def test_codes_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    for scale in (np.ones((2000, 1)), rng.uniform(0.2, 3, size=(2000, 1))):
+        x = rng.normal(size=(2000, 12))
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) * scale
+        f = forest.Forest(x[:500], x[:500].mean(axis=0), 4.0, 2000, 100, 24, None, 20)
+        together = f.codes(x, False)
+        assert np.array_equal(together, np.vstack([f.codes(r[None], False) for r in x]))
+        assert np.array_equal(f.ranges(together)[0], np.vstack([f.ranges(c[None])[0] for c in together]))
+
+
+def test_recall_of_unequal_lengths_and_parts_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(1200, 24)) * rng.uniform(0.3, 2, size=(1200, 1))).astype(np.float32)
+    df = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]).repartition(5)
+    want = exact(list(range(1200)), x.astype(float), range(0, 1200, 20))
+
+    def recall(**how):
+        found = {}
+        for r in forest.neighbours(df, df.filter("vec_id % 20 = 0"), **how).collect():
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        return sum(len(set(found[q]) & set(want[q])) for q in want) / (20 * len(want))
+
+    least = [recall(reach=r) for r in (0.25, 1.0, 24.0)]
+    assert least == sorted(least) and least[-1] == 1.0 and recall() >= 0.9
+    monkeypatch.setattr(forest, "BLOCK", 16)  # blocks of many rows and many queries, dealt out in parts
+    assert recall(reach=24.0) == 1.0 and recall() >= 0.9
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.5, 0.5], None), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 2.0, 3.0], 1), (None, [1.0, 1.0], 1), (20, [-1.0, 0.0], 1), (20, [-1.0, 0.0], 1), (40, None, 0)]
