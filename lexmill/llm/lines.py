@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import Bitmap, Scratch, either, read, tune
-from lexmill.llm.suffixes import _merged
+from lexmill.llm.suffixes import REMOVED_SQL, _merged
 
 #: A unit has so many words or so many characters at least, the latter for scripts without spaces. Shorter passages
 #: recur by chance and in clean documents; with 1 and 1 every line and sentence is a unit of its own.
@@ -117,3 +117,33 @@ def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS, least_chars: i
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans for every document."""
     return remove_lines(read(spark, sf_dir, "documents"))
+
+
+ORACLE_OP7 = rf"""
+WITH i AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_split_to_array(coalesce(text, ''), '\. |\n|\x{{3002}}') AS pieces, regexp_extract_all(coalesce(text, ''), '\. |\n|\x{{3002}}') AS stops FROM documents
+), d AS (
+  SELECT doc_id, hex(encode(text)) AS h FROM i
+), u AS (
+  SELECT doc_id, unnest(pieces) AS piece, unnest(list_concat(stops, [''])) AS stop, unnest(range(len(pieces))) AS k FROM i
+), v AS (
+  SELECT doc_id, k, strlen(piece) + strlen(stop) AS bytes,
+         regexp_extract_all(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.]+$', ''), '[^\x20\x09-\x0D]+') AS words
+  FROM u
+), p AS (
+  SELECT *, CAST(sum(bytes) OVER (PARTITION BY doc_id ORDER BY k) - bytes AS BIGINT) AS a FROM v
+), n AS (  -- sentences that are not blank, with what they add
+  SELECT doc_id, a, a + bytes AS b, array_to_string(words, ' ') AS form, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS j,
+         sum(len(words)) OVER (PARTITION BY doc_id ORDER BY k) AS so_many, sum(length(array_to_string(words, ' '))) OVER (PARTITION BY doc_id ORDER BY k) AS so_long, len(words) AS own, length(array_to_string(words, ' ')) AS size
+  FROM p WHERE len(words) > 0
+), f AS (  -- the last sentence of the run that begins with each
+  SELECT x.doc_id, x.j, min(y.j) AS last
+  FROM n x JOIN n y ON y.doc_id = x.doc_id AND y.j BETWEEN x.j AND x.j + {LEAST_WORDS - 1}
+  WHERE y.so_many - x.so_many + x.own >= {LEAST_WORDS} OR y.so_long - x.so_long + x.size >= {LEAST_CHARS}
+  GROUP BY x.doc_id, x.j
+), units AS (
+  SELECT f.doc_id, min(n.a) AS a, max(n.b) AS b, md5(string_agg(n.form, ' ' ORDER BY n.j)) AS digest
+  FROM f JOIN n ON n.doc_id = f.doc_id AND n.j BETWEEN f.j AND f.last GROUP BY f.doc_id, f.j
+), s AS (
+  SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id, a) AS place FROM units) WHERE place > 1
+), {REMOVED_SQL}"""

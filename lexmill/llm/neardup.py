@@ -249,3 +249,26 @@ def _sizes(a: str, b: str):
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document, at four-word shingles and similarity 0.8."""
     return near_duplicates(read(spark, sf_dir, "documents"), CONTRACT_WORDS)
+
+
+ORACLE_OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s
+  FROM w
+), k AS (  -- equal sets go by their smallest id
+  SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS rep FROM s
+), x AS (
+  SELECT k.rep, k.n, unnest(s.s) AS g FROM k JOIN s ON s.doc_id = k.doc_id WHERE k.rep = k.doc_id
+), l AS (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r(a, b) AS (
+  SELECT DISTINCT rep, rep FROM k UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+), c AS (
+  SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM k JOIN c USING (rep)
+"""

@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLE = {
     "op5_mixing": mixing.ORACLE_OP5,
+    "op6_minhash_neardup": neardup.ORACLE_OP6,
+    "op7_line_dedup": lines.ORACLE_OP7,
+    "op8_suffix_dedup": suffixes.ORACLE_OP8,
     "op10_exact_dedup": exact.ORACLE_OP10,
 }

@@ -52,34 +52,40 @@ def _bits(token: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in Counter(token).values())
 
 
+class _Covered:
+    """What spans cover together: spans of different kinds may overlap, so they are kept as runs that do not."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for a, b, _ in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Identifiers, secret-like tokens and endpoints that mean nothing alone and do not overlap a base span."""
-    starts, ends = [], []  # base spans of different kinds may overlap: as runs that do not
-    for a, b, _ in sorted(base):
-        if ends and a < ends[-1]:
-            ends[-1] = max(ends[-1], b)
-        else:
-            starts.append(a)
-            ends.append(b)
-
-    def free(a: int, b: int) -> bool:
-        i = bisect_right(ends, a)
-        return i == len(starts) or starts[i] >= b
+    """Identifiers, secret-like tokens and endpoints that mean nothing alone and do not overlap a base span.
 
+    A token that begins inside an identifier or endpoint is part of that and none of its own.
+    """
     parts = []
     if "://" in text or "." in text:
         parts += [(m.start(), m.end(), "endpoint") for m in _endpoint.finditer(text)]
     if "=" in text or ":" in text:
         parts += [(m.start(), m.end(), "ident") for m in _ident.finditer(text)]
-    taken = sorted((a, b) for a, b, _ in parts)
-    at = [a for a, _ in taken]
+    named = _Covered(parts)
     for m in _weak.finditer(text):
         t = m[0]
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and _bits(t) >= ENTROPY:
-            i = bisect_right(at, m.start()) - 1
-            if not (i >= 0 and taken[i][1] > m.start()):
-                parts.append((m.start(), m.end(), "weak"))
-    return [p for p in parts if free(p[0], p[1])]
+        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and _bits(t) >= ENTROPY and not named.meets(m.start(), m.start() + 1):
+            parts.append((m.start(), m.end(), "weak"))
+    taken = _Covered(base)
+    return [p for p in parts if not taken.meets(p[0], p[1])]
 
 
 #: What completes a part: a secret needs whom it is for or where it goes, an identifier or endpoint needs a secret.

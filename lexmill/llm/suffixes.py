@@ -340,3 +340,41 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every document; spans is added."""
     return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+#: From byte ranges s (doc_id, a, b) of texts d (doc_id, h in hexadecimal) to the columns of the result.
+REMOVED_SQL = """o AS (
+  SELECT doc_id, a, b, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s
+), m AS (
+  SELECT doc_id, a, b, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM o
+), r AS (
+  SELECT doc_id, run, min(a) AS a, max(b) AS b FROM m GROUP BY doc_id, run
+), g AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r
+), t AS (
+  SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS runs,
+         string_agg(a || ':' || b, ',' ORDER BY a) AS spans
+  FROM g JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+#: Windows are cut from blocks of 1,000 bytes, since a place far in a long text is slow to reach.
+ORACLE_OP8 = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), e AS (
+  SELECT doc_id, h, unnest(range(0, length(h) // 2, 1000)) AS o FROM d
+), c AS (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 2 * {1000 + SPAN - 1}) AS part FROM e
+), q AS (
+  SELECT doc_id, o, part, unnest(range(0, length(part) // 2 - {SPAN - 1})) AS p FROM c
+), w AS (
+  SELECT doc_id, o + p AS p, md5(substr(part, 2 * p + 1, {2 * SPAN})) AS x FROM q
+), z AS (
+  SELECT x FROM w GROUP BY x HAVING count(*) > 1
+), s AS (
+  SELECT doc_id, p AS a, p + {SPAN} AS b FROM w JOIN z USING (x)
+), {REMOVED_SQL}"""

@@ -1,9 +1,18 @@
+import hashlib
+import math
+import os
 import random
+import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from lexmill.llm import mixing, neardup, pieces, quality
-from tests.llm.helpers import prose
+from tests.llm.helpers import prose, targets
+
+sentencepiece = pytest.importorskip("sentencepiece")
+pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no public model file")
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -34,14 +43,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     sizes = Counter()
     for _, t, _, s, _ in left:
         sizes[s] += len(t.split())
-    goals = dict(zip(sorted(sizes), mixing.targets([sizes[s] for s in sorted(sizes)]), strict=True))
+    goals = dict(zip(sorted(sizes), targets([sizes[s] for s in sorted(sizes)]), strict=True))
+    want = Counter()
+    for s in sizes:  # copies by the running sum of expectations, one offset a source
+        offset = int(hashlib.md5(f"{mixing.SEED}|{s}".encode()).hexdigest()[:8], 16) / 2**32
+        rate = goals[s] / sizes[s]
+        for k, r in enumerate(sorted((len(t.split()), d) for d, t, _, own, _ in left if own == s)):
+            want[r[1]] += math.floor(offset + (k + 1) * rate) - math.floor(offset + k * rate)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    taken, by = Counter(), {r[0]: r for r in left}
+    by = {r[0]: r[1] for r in left}
+    assert Counter(r.doc_id for r in got) == +want
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     for r in got:
-        taken[by[r.doc_id][3]] += len(by[r.doc_id][1].split())
-    assert all(abs(taken[s] - goals[s]) <= 2 * 90 for s in goals)
-    assert max(Counter(r.doc_id for r in got).values()) <= 2
-    table = pieces.load()
-    for r in got[:40]:
-        assert r.n_units == len(table.units(by[r.doc_id][1]))
+        ids = library.encode(by[r.doc_id])
+        assert r.n_pieces == len(ids) and r.n_units == len(re.findall(" +[^ ]*", " " + by[r.doc_id]))
+        assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(by[r.doc_id].encode()).hexdigest()
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
