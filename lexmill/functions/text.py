@@ -48,6 +48,17 @@ def contains_phrase(body: Column, phrase: str) -> Column:
     return body.contains(p) & body.rlike(phrase_pattern(p)) if p else F.lit(False)
 
 
+def words(body: Column) -> Column:
+    """The words of a normalized body."""
+    return F.split(body, f"[^{WORD[1:-1]}]+")
+
+
+def holds_phrase(body: Column, its_words: Column, phrase: str) -> Column:
+    """As contains_phrase, for a body whose words are at hand: a phrase of one word is looked up among them."""
+    p = fold(phrase)
+    return F.array_contains(its_words, p) if re.fullmatch(r"\w+", p) else contains_phrase(body, p)
+
+
 def any_phrase(body: Column, phrases) -> Column:
     found = F.lit(False)
     for p in phrases:
@@ -55,15 +66,8 @@ def any_phrase(body: Column, phrases) -> Column:
     return found
 
 
-def all_phrases(body: Column, phrases) -> Column:
-    """Whether all are held; an empty group never is."""
-    found = F.lit(bool(phrases))
-    for p in phrases:
-        found = found & contains_phrase(body, p)
-    return found
-
-
-#: Ways in which a line states its number: number first (a title must begin with a capital), then two worded forms.
+#: The ways in which a line states its number. Number first (a title must begin with a capital), then two
+#: worded forms.
 NUMBERED = r"^(\d+(?:\.\d+)*)\.?\s+([A-Z][^\n]{0,120})?"
 SECTION = r"^(?:Section|SECTION|Clause|CLAUSE)\s+(\d+(?:\.\d+)*)\.?\s*([^\n]{0,120})"
 ARTICLE = r"^(?:Article|ARTICLE)\s+([IVXLC]+|\d+)\.?\s*([^\n]{0,120})"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import all_phrases, contains_phrase, normalize
+from lexmill.functions.text import holds_phrase, normalize, words
 from lexmill.functions.vocab import DEFAULT_WEIGHTS
 
 SIGNAL = "struct<kind:string,matched:string,delta:int>"
@@ -50,31 +51,43 @@ class Rules:
             "weights": DEFAULT_WEIGHTS | self.weights, "confirm_threshold": self.confirm_threshold,
         }
 
-    def tests(self, body: Column, heading: Column) -> list[tuple[str, str, Column]]:
+    def tests(self, body: Column, body_words: Column, heading: Column, heading_words: Column) -> list[tuple[str, str, Column]]:
         """(kind, matched, condition) of every signal, in the order in which they are explained."""
-        found = [("exact_phrase", p, contains_phrase(body, p)) for p in self.exact_phrases]
-        found += [("alias", p, contains_phrase(body, p)) for p in self.aliases]
-        found += [("keyword_group", " + ".join(g), all_phrases(body, g)) for g in self.keyword_groups if g]
-        found += [("section_heading", p, contains_phrase(heading, p)) for p in self.section_heading_terms]
-        return found + [("negative_pattern", p, contains_phrase(body, p)) for p in self.negative_patterns]
+        found = [("exact_phrase", p, holds_phrase(body, body_words, p)) for p in self.exact_phrases]
+        found += [("alias", p, holds_phrase(body, body_words, p)) for p in self.aliases]
+        found += [("keyword_group", " + ".join(g), reduce(Column.__and__, [holds_phrase(body, body_words, p) for p in g])) for g in self.keyword_groups if g]
+        found += [("section_heading", p, holds_phrase(heading, heading_words, p)) for p in self.section_heading_terms]
+        return found + [("negative_pattern", p, holds_phrase(body, body_words, p)) for p in self.negative_patterns]
 
-    def signals(self, body: Column, heading: Column) -> Column:
+    def signals(self, *clause: Column) -> Column:
         """array of struct(kind, matched, delta) for a normalized clause."""
         w = DEFAULT_WEIGHTS | self.weights
-        made = [F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(matched).alias("matched"), F.lit(w[kind]).alias("delta"))) for kind, matched, test in self.tests(body, heading)]
+        made = [F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(matched).alias("matched"), F.lit(w[kind]).alias("delta"))) for kind, matched, test in self.tests(*clause)]
         return F.array_compact(F.array(*made)).cast(f"array<{SIGNAL}>") if made else F.array().cast(f"array<{SIGNAL}>")
 
+    def total(self, *clause: Column) -> Column:
+        """The sum of the weights of all signals, which are not listed for it."""
+        w = DEFAULT_WEIGHTS | self.weights
+        return reduce(Column.__add__, [F.when(test, w[kind]).otherwise(0) for kind, _, test in self.tests(*clause)], F.lit(0))
+
 
-def score(clauses: DataFrame, rules: Sequence[Rules], content: str = "content", heading: str | None = None) -> DataFrame:
-    """clauses with one row for each rule set: requirement, threshold, signals and score.
+def score(clauses: DataFrame, rules: Sequence[Rules], content: str = "content", heading: str | None = None, signals: bool = True, only: Sequence[Column] | None = None) -> DataFrame:
+    """clauses with one row for each rule set: requirement, threshold, score and, if wanted, signals.
 
-    Each clause is normalized once and meets all rule sets in its own row: the cross product needs no join.
+    Each clause is normalized and split into words once and meets all rule sets in its own row: the cross product needs
+    no join. only, a condition for each rule set, leaves out clauses that it does not concern before they are tested.
     """
-    names = clauses.columns
+    names, taken = clauses.columns, {"body": "__body", "words": "__words", "heading": "__heading", "heading_words": "__heading_words"}
     body = clauses.withColumn("__body", normalize(F.col(content))).withColumn("__heading", normalize(F.col(heading)) if heading else F.lit(""))
-    per = [F.struct(F.lit(r.code).alias("requirement"), F.lit(r.confirm_threshold).alias("threshold"), r.signals(F.col("__body"), F.col("__heading")).alias("signals")) for r in rules]
-    rows = body.select(*names, F.explode(F.array(*per)).alias("__r")).select(*names, "__r.*")
-    return rows.withColumn("score", F.aggregate("signals", F.lit(0), lambda a, s: a + s["delta"]))
+    body = body.withColumn("__words", words(F.col("__body"))).withColumn("__heading_words", words(F.col("__heading")))
+    clause = [F.col(c) for c in taken.values()]
+    per = []
+    for i, r in enumerate(rules):
+        made = r.signals(*clause).alias("signals") if signals else r.total(*clause).alias("score")
+        row = F.struct(F.lit(r.code).alias("requirement"), F.lit(r.confirm_threshold).alias("threshold"), made)
+        per.append(F.when(only[i], row) if only else row)
+    rows = body.select(*names, F.explode(F.array_compact(F.array(*per)) if only else F.array(*per)).alias("__r")).select(*names, "__r.*")
+    return rows.withColumn("score", F.aggregate("signals", F.lit(0), lambda a, s: a + s["delta"])) if signals else rows
 
 
 def explanation(signals: Column) -> Column:

@@ -10,9 +10,15 @@ from lexmill.functions.vocab import TIER_1
 from lexmill.operators.evaluate import rank
 
 
-def finding_classification(evaluations: DataFrame, keys: list[str]) -> DataFrame:
-    """The first classification in roll-up order of each finding, and how many evaluations it has."""
-    return evaluations.groupBy(*keys).agg(F.min_by("classification", rank(F.col("classification"))).alias("classification"), F.count("*").alias("evaluations"))
+def finding_classification(evaluations: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """The first classification in roll-up order of each finding, how many evaluations it has, and more aggregates."""
+    first = F.min_by("classification", rank(F.col("classification"))).alias("classification")
+    return evaluations.groupBy(*keys).agg(first, F.count("*").alias("evaluations"), *more)
+
+
+def nothing_to_roll_up(findings: DataFrame, evaluations: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings without evaluations, which have no classification and are an error, with the reason."""
+    return findings.join(evaluations.select(*keys), keys, "left_anti").select(*keys, F.lit("no evaluations to roll up").alias("failure"))
 
 
 def tier(classification: Column) -> Column:

@@ -145,9 +145,9 @@ def redact_exception(spark, d):
     return spark.createDataFrame(_MESSAGES, "id long, m string").select("id", maps.operator_message(F.col("m")).alias("message"))
 
 
-@query("omit_legal_position", "SELECT l_orderkey, l_linenumber, l_returnflag AS classification FROM lineitem WHERE l_linenumber = 1")
+@query("omit_legal_position", "SELECT l_orderkey, l_linenumber, l_returnflag AS classification FROM lineitem")
 def omit_legal_position(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("classification"), *[F.col("l_tax").alias(c) for c in LEGAL_POSITION_FIELDS])
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("classification"), *[F.col("l_tax").alias(c) for c in LEGAL_POSITION_FIELDS])
     return access.omit_position(rows, permitted=False)
 
 
@@ -163,10 +163,10 @@ def page_with_total(spark, d):
     return report.page_with_total(rows, 0, 25, F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).select("o_orderkey", "o_custkey", "total")
 
 
-@query("review_list_scoped", f"WITH {_SCOPED} SELECT review_id FROM sc WHERE owner_id % 10 = 3 AND (in_legal_scope OR owner_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")
+@query("review_list_scoped", f"WITH {_SCOPED} SELECT review_id FROM sc WHERE (in_legal_scope OR owner_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")
 def review_list_scoped(spark, d):
     c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("owner_id"), F.lit(True).alias("mine"))
-    rows = scoped(spark, d).filter("owner_id % 10 = 3").join(c, "owner_id", "left")
+    rows = scoped(spark, d).join(c, "owner_id", "left")
     return rows.filter(F.col("in_legal_scope") | F.coalesce("mine", F.lit(False))).select("review_id")
 
 

@@ -17,8 +17,8 @@ def clauses(spark, d):
     return docs.select("doc_id", "heading", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "content"))
 
 
-def scored(spark, d, rules=CORPUS_RULES):
-    return mapping.score(clauses(spark, d), rules, "content", "heading")
+def scored(spark, d, rules=CORPUS_RULES, signals=False):
+    return mapping.score(clauses(spark, d), rules, "content", "heading", signals)
 
 
 LINES = f"""
@@ -51,19 +51,19 @@ def map_score(spark, d):
     f"WITH {LINES}, s AS (" + " UNION ALL ".join(f"SELECT '{r.code}' AS requirement, '{kind}' AS kind, '{m.replace(chr(39), '')}' AS matched, {(DEFAULT_WEIGHTS | r.weights)[kind]} AS delta, count(*) FILTER (WHERE {test}) AS clauses FROM body" for r in CORPUS_RULES for kind, m, test in tests_sql(r)) + ") SELECT requirement, kind, matched, CAST(delta AS INTEGER) AS delta, clauses FROM s WHERE clauses > 0",
 )
 def map_signals(spark, d):
-    rows = scored(spark, d).select("requirement", F.explode("signals").alias("s")).select("requirement", "s.*")
+    rows = scored(spark, d, signals=True).select("requirement", F.explode("signals").alias("s")).select("requirement", "s.*")
     return rows.groupBy("requirement", "kind", "matched", "delta").agg(F.count("*").alias("clauses"))
 
 
 def _kind(name: str, kind: str) -> None:
-    code = {"keyword_group": "COMMON", "negative_pattern": "RIGHTS", "section_heading": "COMMON"}[kind]
-    rule = next(r for r in CORPUS_RULES if r.code == code)
+    """What the signals of one kind add to each clause, for every rule set."""
+    per = " UNION ALL ".join(f"SELECT doc_id, line_no, '{r.code}' AS requirement, {score_sql(r, (kind,))} AS delta FROM body" for r in CORPUS_RULES)
 
-    @query(name, f"WITH {LINES} SELECT doc_id, line_no, CAST({score_sql(rule, (kind,))} AS INTEGER) AS delta FROM body WHERE {score_sql(rule, (kind,))} <> 0")
+    @query(name, f"WITH {LINES}, per AS ({per}) SELECT doc_id, line_no, requirement, CAST(delta AS INTEGER) AS delta FROM per WHERE delta <> 0")
     def run(spark, d):
-        rows = scored(spark, d, (rule,))
+        rows = scored(spark, d, signals=True)
         delta = F.aggregate(F.filter("signals", lambda s: s["kind"] == kind), F.lit(0), lambda a, s: a + s["delta"])
-        return rows.select("doc_id", "line_no", delta.alias("delta")).filter("delta <> 0")
+        return rows.select("doc_id", "line_no", "requirement", delta.alias("delta")).filter("delta <> 0")
 
 
 _kind("map_keyword_group", "keyword_group")
@@ -96,13 +96,16 @@ def map_many_to_many(spark, d):
     return hits.agg(F.count("*").alias("requirements"), F.array_join(F.sort_array(F.collect_list("requirement")), ",").alias("codes")).filter("requirements > 1")
 
 
-@query(
-    "map_explanation",
-    f"WITH {LINES} SELECT doc_id, line_no, concat_ws('; ', " + ", ".join(f"CASE WHEN {t} THEN '{k}: ''{m}'' ({(DEFAULT_WEIGHTS | CORPUS_RULES[0].weights)[k]:+d})' END" for k, m, t in tests_sql(CORPUS_RULES[0])) + f") AS explanation FROM body WHERE {score_sql(CORPUS_RULES[0])} > 0",
-)
+def explained_sql(r: mapping.Rules) -> str:
+    w = DEFAULT_WEIGHTS | r.weights
+    parts = ", ".join(f"CASE WHEN {t} THEN '{k}: ''{m}'' ({w[k]:+d})' END" for k, m, t in tests_sql(r))
+    return f"SELECT doc_id, line_no, '{r.code}' AS requirement, concat_ws('; ', {parts}) AS explanation FROM body WHERE {score_sql(r)} > 0"
+
+
+@query("map_explanation", f"WITH {LINES} " + " UNION ALL ".join(map(explained_sql, CORPUS_RULES)))
 def map_explanation(spark, d):
-    rows = scored(spark, d, CORPUS_RULES[:1]).filter("score > 0")
-    return rows.select("doc_id", "line_no", F.array_join(mapping.explanation(F.col("signals")), "; ").alias("explanation"))
+    rows = scored(spark, d, signals=True).filter("score > 0")
+    return rows.select("doc_id", "line_no", "requirement", F.array_join(mapping.explanation(F.col("signals")), "; ").alias("explanation"))
 
 
 @query(
@@ -115,8 +118,10 @@ def map_negative_population(spark, d):
     return mapping.precision_check(mapping.score(table(spark, d, "benchmark"), CORPUS_RULES, "text"))
 
 
-@query("segment_evidence_ids", r"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_split_to_array(text, '\n\s*\n')[1], '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content FROM documents)
-SELECT doc_id, sha256(concat_ws(':', CAST(doc_id AS VARCHAR), '0', content)) AS evidence_id FROM f WHERE content <> ''""")
+@query("segment_evidence_ids", r"""WITH f AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS raw, unnest(range(len(regexp_split_to_array(text, '\n\s*\n')))) AS k FROM documents),
+c AS (SELECT doc_id, k, regexp_replace(regexp_replace(raw, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content FROM f),
+n AS (SELECT *, k AS ordinal FROM c WHERE content <> '')
+SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, sha256(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(ordinal AS VARCHAR), content)) AS evidence_id FROM n""")
 def segment_evidence_ids(spark, d):
     rows = segment.evidence_ids(segment.segments(table(spark, d, "documents"), ["doc_id"]), ["doc_id"])
-    return rows.filter("ordinal = 0").select("doc_id", "evidence_id")
+    return rows.select("doc_id", F.col("ordinal").cast("int").alias("ordinal"), "evidence_id")

@@ -156,7 +156,7 @@ SELECT review_id, items, coalesce(evaluated, 0) AS evaluated, coalesce(matched,
 def report_review(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("review_id"))
     w = work(spark, d)
-    f = rollup.finding_classification(w, ["finding_id"]).join(rollup.finding_status(w, ["finding_id"]).select("finding_id", "requires_decision"), "finding_id")
+    f = rollup.finding_classification(w, ["finding_id"], F.bool_or("requires").alias("requires_decision"))
     items = o.groupBy("review_id").agg(F.count("*").alias("items"))
     return report.review_report(f.join(o, f["finding_id"] == o["o_orderkey"]), items, "review_id")
 

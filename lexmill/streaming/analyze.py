@@ -14,7 +14,7 @@ from lexmill.sources.sinks import append_new
 
 def map_batch(documents: DataFrame, rules: Sequence[mapping.Rules]) -> DataFrame:
     """(doc_id, requirement, state, best, qualifying) of a batch of documents."""
-    scored = mapping.score(lines(documents), rules)
+    scored = mapping.score(lines(documents), rules, signals=False)
     found = mapping.state(scored, ["doc_id"], F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_no").cast("string")))
     return found.select("doc_id", "requirement", "state", "best", "qualifying")
 
