@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators import evaluate, extract, mapping, rollup
+from lexmill.functions.text import normalize
+from lexmill.operators import evaluate, extract, mapping, rollup, workflow
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -53,44 +54,88 @@ def settings(spark, snapshot: Sequence[Requirement]) -> DataFrame:
     )
 
 
+def refusals(clauses: DataFrame, snapshot: Sequence[Requirement]) -> DataFrame:
+    """(review_id, refusal) of the reviews whose analysis may not begin: no clauses, a document type that is not
+    declared, or a snapshot with an item of no known type."""
+    untyped = sum(not r.document_type for r in snapshot)
+    per = clauses.groupBy("review_id").agg(F.count("content").alias("n"), F.bool_and(F.col("document_type").isNotNull()).alias("declared"))
+    return per.select("review_id", workflow.analysis_refusal(F.col("n"), F.col("declared"), F.lit(untyped)).alias("refusal")).filter("refusal is not null")
+
+
+def _by_requirement(snapshot: Sequence[Requirement], make: Callable[[Requirement], Column], kind: str) -> Column:
+    """An expression that depends on the row's requirement."""
+    found = F.lit(None).cast(kind)
+    for r in snapshot:
+        found = F.when(F.col("requirement") == r.code, make(r)).otherwise(found)
+    return found
+
+
+def numeric_evaluations(states: DataFrame, clauses: DataFrame, snapshot: Sequence[Requirement], keys: list[str], held: list[DataFrame]) -> DataFrame:
+    """Evaluations of all numeric requirements at once: each confirmed clause is fetched once for each requirement that
+    it confirms, and read by the terminology of that requirement. What was read is kept, and put into held."""
+    numeric = [r for r in snapshot if r.evaluator_type == "NUMERIC_COMPARISON"]
+    own = states.filter(F.col("requirement").isin([r.code for r in numeric]))
+    confirmed = own.filter("mapping_state = 'CONFIRMED'").select(*keys, F.explode("evidence").alias("evidence_id"))
+    read = confirmed.join(clauses.select("review_id", "evidence_id", "content"), ["review_id", "evidence_id"]).withColumn("body", normalize(F.col("content")))
+    usable = F.col("requirement").isin([r.code for r in numeric if r.terms.usable])
+    found = read.select(*keys, "evidence_id", (F.col("body") == "").alias("blank"), _by_requirement(numeric, lambda r: extract.caps(F.col("body"), r.terms), f"array<{extract.CAP}>").alias("caps")).persist()
+    held.append(found)
+    facts = extract.status_of(found, keys, usable).select(*keys, F.col("status").alias("facts_status"))
+    caps = found.select(*keys, "evidence_id", F.explode("caps").alias("cap")).select(*keys, "evidence_id", "cap.*")
+    return evaluate.REGISTRY["NUMERIC_COMPARISON"](own.join(facts, keys, "left"), caps, keys)
+
+
 def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[str, DataFrame]:
     """Relations of an analysis of clauses (review_id, document_type, evidence_id, content, section_title).
 
     evaluations and findings are what is stored; skipped lists optional requirements that nothing maps to; failures
-    lists requirements that could not be evaluated as configured, so that one never stops the others. A numeric
-    requirement with no mapped clause has no facts and no evidence: it is a failure and leaves no finding.
+    lists requirements that could not be evaluated as configured, so that one never stops the others: their rules and
+    terms are data of one plan, and what is wrong with one of them is a row of its own. refused lists reviews whose
+    analysis does not begin; nothing else has rows of them. A numeric requirement with no mapped clause has no facts
+    and no evidence: it is a failure and leaves no finding.
     """
     spark = clauses.sparkSession
     table = F.broadcast(settings(spark, snapshot))
     keys = ["review_id", "requirement"]
-    scored = mapping.score(clauses, [r.rules for r in snapshot], "content", "section_title")
-    typed = scored.join(table.select("requirement", F.col("document_type").alias("__type")), "requirement").filter(F.col("document_type") == F.col("__type")).drop("__type")
-    states = mapping.state(typed, ["review_id"], F.col("evidence_id")).join(table, "requirement")
+    refused = refusals(clauses, snapshot)
+    # What refusals() names has no clause of a declared type, or the snapshot stops all. Only clauses of the
+    # requirement's kind of document are tested.
+    admitted = clauses.filter(F.col("document_type").isNotNull() & F.col("content").isNotNull() & F.lit(all(r.document_type for r in snapshot)))
+    scored = mapping.score(admitted, [r.rules for r in snapshot], "content", "section_title", signals=False, only=[F.col("document_type") == r.document_type for r in snapshot])
+    states = mapping.state(scored, ["review_id"], F.col("evidence_id")).join(table, "requirement")
     states = states.withColumn("mapping_state", F.col("state")).withColumn("candidates", F.col("evidence"))
-    # Read by every evaluator and by the result: kept, so that it is worked out once. Lost parts are worked out again.
+    # What several relations read is kept, so that it is worked out once, and lost parts are worked out again; release()
+    # lets go of it once the relations are written.
     states = states.persist()
-    kinds = {r.code: r.evaluator_type for r in snapshot}
-    presence = [c for c, k in kinds.items() if k == "PRESENCE"]
-    present = states.filter(F.col("requirement").isin(presence)) if presence else states.limit(0)
-    found = evaluate.evaluate_presence(present, keys)
+    held = [states]
+    present = states.filter(F.col("requirement").isin([r.code for r in snapshot if r.evaluator_type == "PRESENCE"]))
+    found = evaluate.REGISTRY["PRESENCE"](present, keys)
     skipped = present.filter("mapping_state = 'NONE' and expected_presence = 'PRESENT' and not required").select(*keys)
     failures = evaluate.misconfigured(present).select(*keys, "failure")
-    for r in snapshot:
-        if r.evaluator_type != "NUMERIC_COMPARISON":
-            continue
-        own = states.filter(F.col("requirement") == r.code)
-        confirmed = own.filter("mapping_state = 'CONFIRMED'").select(*keys, F.explode("evidence").alias("evidence_id")).join(clauses.select("review_id", "evidence_id", "content"), ["review_id", "evidence_id"])
-        facts = extract.fact_status(confirmed, keys, r.terms).select(*keys, F.col("status").alias("facts_status"))
-        subjects = own.join(facts, keys, "left").persist()
-        rows = evaluate.evaluate_numeric(subjects, extract.extract(confirmed, keys, r.terms).persist(), keys).persist()
-        bad = rows.filter(evaluate.evidence_violation(F.col("classification"), F.col("evidence"))).select(*keys)
-        failures = failures.unionByName(bad.withColumn("failure", F.lit("evaluation without evidence")))
-        found = found.unionByName(rows.join(bad, keys, "left_anti"))
+    known = set(evaluate.REGISTRY)
+    if odd := [r.code for r in snapshot if r.evaluator_type not in known]:
+        failures = failures.unionByName(states.filter(F.col("requirement").isin(odd)).select(*keys, F.lit("unknown evaluator_type").alias("failure")))
+    if any(r.evaluator_type == "NUMERIC_COMPARISON" for r in snapshot):
+        rows = numeric_evaluations(states, clauses, snapshot, keys, held).persist()
+        held.append(rows)
+        lacks = evaluate.evidence_violation(F.col("classification"), F.col("evidence"))
+        # A requirement with an evaluation that lacks its evidence leaves none.
+        bad = rows.groupBy(*keys).agg(F.bool_or(lacks).alias("bad"))
+        rows = rows.join(bad, keys)
+        failures = failures.unionByName(bad.filter("bad").select(*keys, F.lit("evaluation without evidence").alias("failure")))
+        found = found.unionByName(rows.filter("not bad").drop("bad"))
     found = found.join(states.select(*keys, "mapping_state", "required"), keys)
     evaluations = found.withColumn("requires", rollup.requires_decision(F.col("classification"), F.col("rule_outcome"), F.col("required"), F.lit(False)))
     evaluations = evaluations.persist()
-    needed = evaluations.groupBy(*keys).agg(F.bool_or("requires").alias("requires_decision"))
-    findings = rollup.finding_classification(evaluations, keys).join(needed, keys)
-    reviews = clauses.select("review_id").distinct()
+    held.append(evaluations)
+    findings = rollup.finding_classification(evaluations, keys, F.bool_or("requires").alias("requires_decision"))
+    reviews = admitted.select("review_id").distinct()
     review = rollup.review_outcome(findings.withColumn("resolved", ~F.col("requires_decision")), reviews, "review_id")
-    return {"states": states, "evaluations": evaluations, "findings": findings, "skipped": skipped, "failures": failures, "reviews": review}
+    findings.held = held
+    return {"states": states, "evaluations": evaluations, "findings": findings, "skipped": skipped, "failures": failures, "refused": refused, "reviews": review}
+
+
+def release(relations: dict[str, DataFrame]) -> None:
+    """Let go of what an analysis has kept; its relations would be worked out anew after that."""
+    for kept in relations["findings"].held:
+        kept.unpersist()
