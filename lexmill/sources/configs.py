@@ -31,8 +31,11 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rules_of(standards: DataFrame, limit: int = 10_000) -> list:
-    """Mapping rules of a bounded set of standards, ready to be built into a plan."""
+    """Mapping rules of all standards, ready to be built into a plan; more than limit of them are refused, since a plan
+    could not hold them."""
     from lexmill.operators.mapping import Rules
 
-    rows = standards.select("requirement_code", "mapping_rules").orderBy("requirement_code").limit(limit).collect()
+    rows = standards.select("requirement_code", "mapping_rules").orderBy("requirement_code").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} standards")
     return [Rules.parse(r["requirement_code"], json.loads(r["mapping_rules"] or "{}")) for r in rows]

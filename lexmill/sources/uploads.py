@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zipfile
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from lexmill.functions.text import normalize_text
 PDF = "application/pdf"
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 MAX_BYTES = 100 * 1024 * 1024
+#: What a container that is broken, encrypted or packed in an unknown way raises when it is opened.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, ValueError, OSError)
 SEGMENT = "ordinal int, content string, original_content string, source_type string, page_number int, style string, start_offset long, end_offset long, error string"
 
 
@@ -23,7 +28,6 @@ def sniff(files: DataFrame, content: str = "content") -> DataFrame:
 
     def members(batches):
         import io
-        import zipfile
 
         for batch in batches:
             found = []
@@ -31,7 +35,7 @@ def sniff(files: DataFrame, content: str = "content") -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
                         found.append("word/document.xml" in z.namelist())
-                except zipfile.BadZipFile:
+                except UNREADABLE:
                     found.append(False)
             batch["__docx"] = found
             yield batch
@@ -68,7 +72,6 @@ def docx_segments(files: DataFrame, key: str, content: str = "content") -> DataF
     def parse(batches):
         import io
         import xml.etree.ElementTree as ET
-        import zipfile
 
         import pandas as pd
 
@@ -83,8 +86,11 @@ def docx_segments(files: DataFrame, key: str, content: str = "content") -> DataF
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
                         body = ET.fromstring(z.read("word/document.xml")).find(f"{w}body")
-                except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
-                    rows.append((name, 0, None, None, None, None, None, None, None, type(e).__name__))
+                    problem = "no body" if body is None else None
+                except (KeyError, ET.ParseError, *UNREADABLE) as e:
+                    problem = type(e).__name__
+                if problem:
+                    rows.append((name, 0, None, None, None, None, None, None, None, problem))
                     continue
                 at = n = 0
                 for p in body.findall(f"{w}p"):
@@ -115,10 +121,21 @@ def page_segments(pages: DataFrame, document: str, page: str, text: str) -> Data
     return segments(placed, [document, page], text, F.col("base_offset"))
 
 
-def parse(files: DataFrame, key: str) -> DataFrame:
-    """Segments of validated files by format. PDF files need a parser that is not part of the library: their pages
-    come in through page_segments; here each is a row with an error."""
+def parse(files: DataFrame, key: str, pages: DataFrame | None = None) -> DataFrame:
+    """Segments of validated files by format.
+
+    PDF files need a parser that is not part of the library: pages (key, page_number, text) are what it read of them,
+    with a null text for a page that it could not read. A PDF without pages, and any file of another format, is a row
+    with an error, as is one that cannot be opened.
+    """
     docx = docx_segments(files.filter(F.col("actual_mime") == DOCX), key)
     other = files.filter(~F.coalesce(F.col("actual_mime") == DOCX, F.lit(False)))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in docx.schema.fields if f.name not in (key, "error", "ordinal")]
-    return docx.unionByName(other.select(key, F.lit(0).alias("ordinal"), *empty, F.lit("pages needed").alias("error")))
+    out = docx
+    if pages is not None:
+        read = page_segments(pages.join(other.filter(F.col("actual_mime") == PDF).select(key), key, "left_semi"), key, "page_number", "text")
+        made = {"source_type": F.lit("NATIVE_TEXT"), "style": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}
+        out = out.unionByName(read.select(*[made[c].alias(c) if c in made else F.col(c).cast(docx.schema[c].dataType).alias(c) for c in docx.columns]))
+        other = other.join(read.select(key), key, "left_anti")
+    why = F.when(F.col("actual_mime") == PDF, "pages needed").otherwise("unsupported format")
+    return out.unionByName(other.select(key, F.lit(0).alias("ordinal"), *empty, why.alias("error")))

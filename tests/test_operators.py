@@ -146,10 +146,42 @@ def test_uploads(spark, tmp_path):
     seg = [(r.content, r.source_type, r.start_offset, r.end_offset) for r in uploads.parse(sniffed.filter("name = 'a'"), "name").orderBy("ordinal").collect()]
     assert seg == [("First", "NATIVE_TEXT", 0, 5), ("Second one", "NATIVE_TEXT", 7, 18), ("x\ty\n1\t2", "TABLE", 19, 26)]
     assert {r.error for r in uploads.parse(sniffed.filter("name in ('b')"), "name").collect()} == {"pages needed"}
-    sinks.put_objects(df.filter("name < 'd'"), f"{tmp_path}/objects")
-    assert spark.read.parquet(f"{tmp_path}/objects").count() == 3
-    with pytest.raises(Exception, match="exist"):
-        sinks.put_objects(df, f"{tmp_path}/objects")
+    pages = spark.createDataFrame([("b", 1, "First page with its own text.\n\nA second paragraph."), ("b", 2, None), ("b", 3, "Third page, again with text."), ("x", 1, "of another file, passed over")], "name string, page_number int, text string")
+    got = [(r.name, r.page_number, r.content, r.start_offset, r.error) for r in uploads.parse(sniffed.filter("name in ('b', 'f')"), "name", pages).orderBy("name", "page_number", "start_offset").collect()]
+    assert got == [("b", 1, "First page with its own text.", 0, None), ("b", 1, "A second paragraph.", 31, None), ("b", 3, "Third page, again with text.", 50, None), ("f", None, None, None, "pages needed")]
+
+
+def test_unreadable_documents_are_rows(spark):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    made = []
+    for xml, flags in ((f"<w:document {w}/>", 0), ("<broken", 0), (f"<w:document {w}><w:body/></w:document>", 1)):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", xml)
+        raw = bytearray(out.getvalue())
+        for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):  # the flag of an encrypted part
+            raw[raw.index(mark) + at] |= flags
+        made.append(bytes(raw))
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate([*made, b"PK\x03\x04broken"])], "name string, content binary")
+    got = {r.name: r.error for r in uploads.docx_segments(df, "name").collect()}
+    assert got == {"0": "no body", "1": "ParseError", "2": "RuntimeError", "3": "BadZipFile"}
+    assert {r.name: r.actual_mime for r in uploads.sniff(df).collect()} == {"0": uploads.DOCX, "1": uploads.DOCX, "2": uploads.DOCX, "3": None}
+
+
+def test_objects_are_stored_once(spark, tmp_path):
+    df = spark.createDataFrame([("a.pdf", b"one"), ("b.pdf", b"two"), ("c.pdf", b"one"), ("d.docx", b"three")], "name string, content binary")
+    path = f"{tmp_path}/objects"
+    sinks.put_objects(df.limit(3), path)
+    files = sorted(str(f) for f in tmp_path.rglob("*.parquet"))
+    sinks.put_objects(df, path)  # only what is new is written, and nothing that was there is touched
+    sinks.put_objects(df, path)
+    assert spark.read.parquet(path).count() == 3 and set(files) <= {str(f) for f in tmp_path.rglob("*.parquet")}
+    keys = df.select(sinks.object_key(F.col("content"), F.col("name")).alias("storage_key")).filter("storage_key like '%docx'").union(spark.createDataFrame([("ab/none.pdf",)], "storage_key string"))
+    assert [bytes(r.content) for r in sinks.stored_objects(spark, path, keys).collect()] == [b"three"]
+    rows = spark.createDataFrame([(i % 7, i) for i in range(20)], "k int, v int")
+    for part in (rows.filter("v < 9"), rows, rows):
+        sinks.append_new(part, f"{tmp_path}/rows", ["k"])
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == list(range(7))
 
 
 def test_analysis_of_contracts(spark, tmp_path):
@@ -167,9 +199,30 @@ def test_analysis_of_contracts(spark, tmp_path):
     assert {(r.review_id, r.requirement, r.failure) for r in out["failures"].collect()} == {("r3", "CAP", "evaluation without evidence")}
     assert {r.review_id: r.next_status for r in out["reviews"].collect()} == {"r1": "RESOLVED", "r2": "LEGAL_REVIEW", "r3": "RESOLVED", "r4": "RESOLVED"}
     key = F.concat_ws(":", "review_id", "requirement").alias("finding_id")
-    sinks.publish_analysis(out["findings"].select(key, "classification"), out["evaluations"].select(key, "classification", "rule_outcome", "evidence"), f"{tmp_path}/a")
+    findings, evaluations = out["findings"].select(key, "classification"), out["evaluations"].select(key, "classification", "rule_outcome", "evidence")
+    for _ in range(2):  # a run that is written again replaces itself
+        sinks.publish_analysis(findings, evaluations, f"{tmp_path}/a", "1")
+    assert sinks.published_evaluations(spark, f"{tmp_path}/a").count() == evaluations.count() == 3
+    evaluations.write.parquet(f"{tmp_path}/a/evaluations/run=9")  # a run that broke off is not seen
+    assert sinks.published_evaluations(spark, f"{tmp_path}/a").count() == 3
+    with pytest.raises(invariants.InvariantBroken, match="finding_stored"):
+        sinks.publish_analysis(findings, evaluations, f"{tmp_path}/a", "2")
     with pytest.raises(invariants.InvariantBroken, match="finding_without_evaluation"):
-        sinks.publish_analysis(out["findings"].select(key, "classification"), out["evaluations"].select(key, "classification", "rule_outcome", "evidence").limit(0), f"{tmp_path}/b")
+        sinks.publish_analysis(findings, evaluations.limit(0), f"{tmp_path}/b", "1")
+
+
+def test_one_requirement_never_stops_another(spark):
+    rules = lambda code: mapping.Rules(code=code, confirm_threshold=5, exact_phrases=("liability",))
+    snapshot = [
+        analysis.Requirement(rules=rules("ODD"), evaluator_type="GUESS"), analysis.Requirement(rules=rules("BARE"), evaluator_type="PRESENCE"), analysis.Requirement(rules=rules("DEAF"), preferred=1.0, unit="MONTHS", basis="FEES_PAID", scope_key="GENERAL"),
+        analysis.Requirement(rules=rules("CAP"), preferred=12.0, unit="MONTHS", basis="FEES_PAID", scope_key="GENERAL", terms=fixtures.TERMS),
+    ]
+    rows = [("r1", "MSA", "1", fixtures.CLAUSES[0][1], None), ("r2", None, "1", fixtures.CLAUSES[0][1], None)]
+    out = analysis.run_analysis(spark.createDataFrame(rows, "review_id string, document_type string, evidence_id string, content string, section_title string"), snapshot)
+    assert {(r.requirement, r.classification) for r in out["findings"].collect()} == {("CAP", "MATCH"), ("DEAF", "UNABLE_TO_EVALUATE")}
+    assert {(r.requirement, r.failure) for r in out["failures"].collect()} == {("ODD", "unknown evaluator_type"), ("BARE", "no expected_presence")}
+    assert [(r.review_id, r.refusal) for r in out["refused"].collect()] == [("r2", "document type not declared")]
+    assert {r.refusal for r in analysis.refusals(spark.createDataFrame(rows[:1], "review_id string, document_type string, evidence_id string, content string, section_title string"), [analysis.Requirement(rules=rules("X"), document_type="")]).collect()} == {"untyped snapshot"}
 
 
 def test_status_and_report_edges(spark):
