@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,22 @@ def new_snapshots(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return candidates.join(stored.select("snapshot_hash"), "snapshot_hash", "left_anti")
 
 
+def missing_parts(items: DataFrame, key: str, parts: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """(key, part) of items that pin something that is not there: each part is a column of ids with its name and the
+    stored ids. A snapshot with such an item is broken; a null pins nothing."""
+    found = [items.filter(F.col(c).isNotNull()).join(ids.select(F.col("id").alias(c)), c, "left_anti").select(key, F.lit(name).alias("part")) for c, (name, ids) in parts.items()]
+    return reduce(DataFrame.union, found)
+
+
+#: Fields of stored mapping rules.
+RULES = "struct<confirm_threshold:int,exact_phrases:array<string>,aliases:array<string>,keyword_groups:array<array<string>>,negative_patterns:array<string>,section_heading_terms:array<string>,weights:map<string,int>>"
+
+
+def snapshot_rules(items: DataFrame, stored: DataFrame) -> DataFrame:
+    """(snapshot_id, code, rules) of the mapping rules that each snapshot pins, read from their JSON."""
+    return items.join(stored, "mapping_rule_version_id").select("snapshot_id", "code", F.from_json("rules", RULES).alias("rules"))
+
+
 def carry_forward(current: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """A new version of each changed row: given values replace, all others are carried along."""
     c, n = current.alias("c"), changes.alias("n")

@@ -65,16 +65,20 @@ def ladder() -> Column:
     )
 
 
-def same_scope(caps: DataFrame, keys: list[str], evidence: str = "evidence_id") -> DataFrame:
+def same_scope(caps: DataFrame, keys: list[str], evidence: str = "evidence_id", order: str | None = None) -> DataFrame:
     """One row per key, kind, scope and label: the position it states, how many differ, and all evidence.
 
     Restatements of one position merge; several positions are a conflict. Positions are compared as structs, so that
-    nulls are values like any other.
+    nulls are values like any other. Evidence is listed once each, in the order in which it was first seen if a column
+    tells that, else by id.
     """
     grouped = caps.withColumn("__label", F.coalesce("scope_label", F.lit("")))
     position = F.struct("status", "value", "unit", "basis")
+    listed = F.sort_array(F.collect_set(evidence))
+    if order:
+        listed = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(order, evidence))), lambda x: x[evidence]))
     per = grouped.groupBy(*keys, "kind", "scope", "__label").agg(
-        F.collect_set(position).alias("__positions"), F.first("scope_label", ignorenulls=True).alias("scope_label"), F.sort_array(F.collect_set(evidence)).alias("evidence")
+        F.collect_set(position).alias("__positions"), F.first("scope_label", ignorenulls=True).alias("scope_label"), listed.alias("evidence")
     )
     return per.select(*keys, "kind", "scope", "scope_label", F.size("__positions").alias("positions"), "evidence", F.col("__positions")[0].alias("p")).select(*keys, "kind", "scope", "scope_label", "positions", "evidence", "p.*")
 

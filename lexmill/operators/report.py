@@ -27,6 +27,17 @@ def envelope(rows: Column, number: int, size: int, total: Column) -> Column:
     return F.to_json(F.struct(rows.alias("data"), F.struct(F.lit(number).alias("page"), F.lit(size).alias("page_size"), total.alias("total")).alias("pagination")))
 
 
+def error_envelope(outcome: Column) -> Column:
+    """What a caller is told about a request that was turned away, as JSON; null where it was not. All that is out of
+    sight has one and the same body."""
+    told = {"NOT_FOUND": "not found", "FORBIDDEN": "forbidden", "CONFLICT": "conflict", "REJECTED": "rejected"}
+    body = F.lit(None).cast("string")
+    for code, message in told.items():
+        error = F.struct(F.struct(F.lit(code).alias("code"), F.lit(message).alias("message")).alias("error"))
+        body = F.when(outcome == code, F.to_json(error)).otherwise(body)
+    return body
+
+
 def review_report(findings: DataFrame, items: DataFrame, review: str) -> DataFrame:
     """Per review: coverage, counts by classification, alignment, and how many findings need a decision.
 

@@ -95,10 +95,10 @@ def config_file_validation(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), r.alias("rejection"))
 
 
-@query("snapshot_items", "SELECT o_orderkey, c_name, n_name, r_name, s_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey LEFT JOIN supplier ON s_suppkey = o_orderkey % 300 WHERE o_orderpriority LIKE '1%'")
+@query("snapshot_items", "SELECT o_orderkey, c_name, n_name, r_name, s_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey LEFT JOIN supplier ON s_suppkey = o_orderkey % 300")
 def snapshot_items(spark, d):
     t = lambda n: table(spark, d, n)
-    o = t("orders").filter("o_orderpriority like '1%'").select("o_orderkey", "o_custkey")
+    o = t("orders").select("o_orderkey", "o_custkey")
     rows = o.join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
     return rows.join(t("supplier"), F.col("s_suppkey") == F.col("o_orderkey") % 300, "left").select("o_orderkey", "c_name", "n_name", "r_name", "s_name")
 
