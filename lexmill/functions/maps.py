@@ -48,3 +48,13 @@ def operator_message(message: Column) -> Column:
     head = strip(F.regexp_replace(message, f"(?s)({quoted}).*$", ""))
     cut = message.rlike(quoted)
     return redact_value(F.when(~cut, strip(message)).otherwise(strip(F.concat(head, F.lit(" [payload omitted]")))))
+
+
+def traceback_tail(lines: Column) -> Column:
+    """The last lines of a traceback, as many as are logged."""
+    return F.slice(lines, F.greatest(F.size(lines) - vocab.TRACEBACK_LINES, F.lit(0)) + 1, F.lit(vocab.TRACEBACK_LINES))
+
+
+def cause_chain(causes: Column) -> Column:
+    """The nearest causes of an error, each cut at the first payload marker and redacted."""
+    return F.transform(F.slice(causes, 1, vocab.CAUSES), operator_message)

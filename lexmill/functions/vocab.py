@@ -42,6 +42,8 @@ FORBIDDEN_KEYS = (*SECRET_KEYS, *CONTENT_KEYS, *ENUMERATION_KEYS, *POSITION_KEYS
 SECRET_WORDS = ("password", "secret", "credential", "token", "apikey", "passphrase")
 EXACT_ONLY_KEYS = ("state", "code", "nonce")
 MAX_LOGGED = 200
+#: Lines of a traceback and causes of an error that are logged.
+TRACEBACK_LINES, CAUSES = 25, 3
 PAYLOAD_MARKERS = ("DETAIL:", "[SQL:", "[parameters:", "Failing row contains")
 #: Requests of one key within a window, in seconds.
 RATE_LIMITS = {"LOGIN": (10, 300), "ANALYSIS": (30, 3600), "EXPORT": (20, 3600)}

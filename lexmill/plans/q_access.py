@@ -145,6 +145,14 @@ def redact_exception(spark, d):
     return spark.createDataFrame(_MESSAGES, "id long, m string").select("id", maps.operator_message(F.col("m")).alias("message"))
 
 
+@query("log_traceback", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, sha256(array_to_string(l[greatest(len(l) - 24, 1):], chr(10))) AS tail, CAST(least(len(l), 25) AS INTEGER) AS lines, CAST(least(len(l), 3) AS INTEGER) AS causes FROM l""", ids="T9")
+def log_traceback(spark, d):
+    lines = F.split("text", "\n", -1)
+    rows = table(spark, d, "documents").select("doc_id", maps.traceback_tail(lines).alias("tail"), maps.cause_chain(lines).alias("causes"))
+    return rows.select("doc_id", T.fingerprint(F.array_join("tail", "\n")).alias("tail"), F.size("tail").alias("lines"), F.size("causes").alias("causes"))
+
+
 @query("omit_legal_position", "SELECT l_orderkey, l_linenumber, l_returnflag AS classification FROM lineitem")
 def omit_legal_position(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("classification"), *[F.col("l_tax").alias(c) for c in LEGAL_POSITION_FIELDS])

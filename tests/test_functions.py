@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import maps
@@ -45,3 +46,19 @@ def test_wait_and_ratio(spark):
         T.wait_seconds(F.col("a"), F.col("b")).alias("w"), T.wait_seconds(F.col("a"), F.col("c")).alias("n"), T.ratio(F.lit(1), F.lit(3)).alias("r"), T.ratio(F.lit(1), F.lit(0)).alias("z")
     ).first()
     assert (r.w, r.n, r.r, r.z) == (90.123, None, 0.3333, None)
+
+
+def test_settings(spark):
+    from lexmill.sources.settings import DEFAULTS, setting
+
+    assert setting(spark, "rate.login.most") == 10 and setting(spark, "rate.login.seconds") == 300 and all(setting(spark, n) == v for n, v in DEFAULTS.items())
+    spark.conf.set("spark.lexmill.page.size", "40")
+    try:
+        assert setting(spark, "page.size") == 40
+        spark.conf.set("spark.lexmill.page.size", "0")
+        with pytest.raises(ValueError, match="positive"):
+            setting(spark, "page.size")
+        with pytest.raises(KeyError):
+            setting(spark, "page.colour")
+    finally:
+        spark.conf.unset("spark.lexmill.page.size")
