@@ -26,14 +26,10 @@ def legal_scope(reviews: DataFrame, findings: DataFrame, escalations: DataFrame)
 
 
 def grounds(scoped: DataFrame, users: DataFrame, assignments: DataFrame) -> DataFrame:
-    """(user_id, review_id, in_legal_scope, own) of reviews that a user owns or has a live assignment to, each once.
-
-    Every review is there as its owner's, with a null user_id where that is no user.
-    """
-    own = scoped.join(users, scoped["owner_id"] == users["user_id"], "left").select("user_id", "review_id", "in_legal_scope", F.lit(True).alias("own"))
+    """(user_id, review_id, in_legal_scope) of reviews that a user owns or has a live assignment to, each once."""
+    own = scoped.join(users, scoped["owner_id"] == users["user_id"]).select("user_id", "review_id", "in_legal_scope")
     live = assignments.filter(F.col("revoked_at").isNull()).select("user_id", "review_id")
-    given = live.join(scoped.select("review_id", "in_legal_scope"), "review_id").select("user_id", "review_id", "in_legal_scope", F.lit(False).alias("own"))
-    return own.union(given).groupBy("user_id", "review_id", "in_legal_scope").agg(F.bool_or("own").alias("own"))
+    return own.union(live.join(scoped, "review_id").select("user_id", "review_id", "in_legal_scope")).distinct()
 
 
 def visible_reviews(scoped: DataFrame, user_id: int, assignments: DataFrame, sees_legal: bool) -> DataFrame:
@@ -49,10 +45,9 @@ def visible_counts(scoped: DataFrame, users: DataFrame, assignments: DataFrame,
     Whoever sees legal reviews sees all of them, so those are counted once and not paired with every such user.
     """
     legal = permissions.filter(F.col("permission") == see_legal).select("user_id").distinct().withColumn("__legal", F.lit(True))
-    scope = F.col("in_legal_scope")
-    per = grounds(scoped, users, assignments).groupBy("user_id").agg(F.count("*").alias("__all"), F.count_if(~scope).alias("__other"), F.count_if(scope & F.col("own")).alias("__owned"))
-    all_legal = per.agg(F.sum("__owned").alias("n"))
-    rows = per.filter(F.col("user_id").isNotNull()).join(legal, "user_id", "full_outer")
+    all_legal = scoped.filter("in_legal_scope").agg(F.count("*").alias("n"))
+    per = grounds(scoped, users, assignments).groupBy("user_id").agg(F.count("*").alias("__all"), F.count_if(~F.col("in_legal_scope")).alias("__other"))
+    rows = per.join(legal, "user_id", "full_outer")
     n = F.when(F.col("__legal"), F.coalesce("__other", F.lit(0)) + all_legal.scalar()).otherwise(F.col("__all"))
     return rows.select("user_id", n.cast("long").alias("reviews")).filter("reviews > 0")
 
