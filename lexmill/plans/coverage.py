@@ -39,11 +39,16 @@ EARLIER = {
     "dup_first_version": "J16 W7",
     "escalation_requests": "O9 H14 Y6",
     "escalation_withdraw": "O9 Y6",
+    "eval_absent": "V12",
     "eval_applicability": "V15",
     "eval_misconfigured": "V5",
+    "eval_numeric_ladder": "V6 V7 V8 V13 V14 Z21",
     "eval_optional_suppressed": "V4",
     "eval_presence": "Z29 V2 V3 V4",
+    "eval_rule_outcome": "V9",
+    "eval_same_scope_merge": "A4 A5 V11 Z24",
     "eval_scope_conflict": "A4 A5 V11",
+    "eval_unlimited": "V10",
     "extract_basis": "W10 E5",
     "extract_carveouts": "U4 E6 E7",
     "extract_fact_status": "A25 E1 E8",
@@ -59,6 +64,7 @@ EARLIER = {
     "ingest_next_version": "A13",
     "inv_closed_sets": "F7 I7",
     "inv_composite_fk": "I5",
+    "inv_dangling": "I5",
     "inv_ev_min": "I1",
     "inv_evidence_cardinality": "V18 I4",
     "inv_unique": "I3",
@@ -70,12 +76,14 @@ EARLIER = {
     "map_heading": "Z8 M5",
     "map_keyword_group": "Z23 M4",
     "map_many_to_many": "M7",
+    "map_negative": "M3",
     "map_negative_population": "J20 A29 O24",
     "map_score": "J1 J2 A1 A2",
     "map_signals": "J1 J2 M2 M3",
     "map_state": "F8 F9 M6",
     "omit_legal_position": "F13",
     "page_with_total": "A14 T5",
+    "rate_limit_sliding": "W13 R5",
     "redact_event_values": "F16 Z14",
     "redact_exception": "F17",
     "redact_fields": "F16",
@@ -87,7 +95,9 @@ EARLIER = {
     "rollup_tier": "V17",
     "run_summary": "A21 A22 Y11",
     "segment_clause_number": "Z4",
+    "segment_evidence_ids": "Z17",
     "segment_html_pages": "S3",
+    "segment_lines": "Z6",
     "segment_offsets": "Z5 Z6 Z7",
     "segment_page_offsets": "W11",
     "segment_paragraphs": "Z5 Z6 Z7",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.operators import admin, ingest, invariants, report
+from lexmill.operators import admin, ingest, invariants, report, rollup
 from lexmill.operators.evaluate import same_scope
 from lexmill.plans.registry import query, table
+from lexmill.sources import sinks
+from lexmill.sources import uploads as uploads_of
 
 #: Finished orders are stored versions, the others uploads; the priority stands for the bytes.
 _STORED = """stored AS (SELECT o_custkey AS contract_id, o_orderpriority AS file_hash, o_orderkey AS version_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version_number
@@ -159,3 +161,46 @@ def draft_bundles(spark, d):
     c = F.col
     drafts = table(spark, d, "part").select(c("p_partkey").alias("requirement_id"), c("p_type").alias("evaluator_type"), F.when(c("p_size") % 7 > 0, c("p_name")).alias("company_standard"), c("p_brand").alias("mapping_rules"), F.when(c("p_size") % 5 > 0, c("p_type")).alias("evaluation_rules"), F.when(c("p_size") % 2 > 0, c("p_brand")).alias("legal_rule"))
     return admin.draft_bundles(drafts, table(spark, d, "lineitem").select(c("l_partkey").alias("requirement_id"), c("l_linenumber").alias("version_number")))
+
+
+@query("upload_rejections", f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS text, CASE lang WHEN 'en' THEN '{uploads_of.PDF}' WHEN 'fr' THEN '{uploads_of.DOCX}' WHEN 'de' THEN 'text/plain' END AS declared, CASE doc_id % 3 WHEN 0 THEN '{uploads_of.PDF}' WHEN 1 THEN '{uploads_of.DOCX}' END AS actual FROM documents)
+SELECT doc_id, CASE WHEN text = '' THEN 'EMPTY_FILE' WHEN strlen(text) > 3000 THEN 'FILE_TOO_LARGE' WHEN declared IS NULL OR declared = 'text/plain' THEN 'UNSUPPORTED_TYPE' WHEN actual IS NULL THEN 'UNRECOGNISED_CONTENT' WHEN actual <> declared THEN 'CONTENT_TYPE_MISMATCH' END AS rejection FROM u""", ids="S10")
+def upload_rejections(spark, d):
+    lang, k = F.col("lang"), F.col("doc_id") % 3
+    declared = F.when(lang == "en", uploads_of.PDF).when(lang == "fr", uploads_of.DOCX).when(lang == "de", "text/plain")
+    actual = F.when(k == 0, uploads_of.PDF).when(k == 1, uploads_of.DOCX)
+    return table(spark, d, "documents").select("doc_id", uploads_of.rejection(F.col("text").cast("binary"), declared, actual, 3000).alias("rejection"))
+
+
+@query("object_keys", "SELECT doc_id, sha256(text)[1:2] || '/' || sha256(text) || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '' END AS storage_key FROM documents WHERE text IS NOT NULL", ids="K1 Z16")
+def object_keys(spark, d):
+    name = F.when(F.col("doc_id") % 2 == 0, "a file.PDF").otherwise("a file")
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", sinks.object_key(F.col("text").cast("binary"), name).alias("storage_key"))
+
+
+@query("log_lines", "SELECT event_id, event_type AS note, true AS without_token FROM events", ids="K8")
+def log_lines(spark, d):
+    e = table(spark, d, "events").select("event_id", F.create_map(F.lit("note"), F.col("event_type"), F.lit("api_token"), F.lit("x")).alias("fields"))
+    line = sinks.log_lines(e, "fields")
+    at = lambda path: F.get_json_object("value", path)
+    return line.select(at("$.event_id").cast("long").alias("event_id"), at("$.fields.note").alias("note"), at("$.fields.api_token").isNull().alias("without_token"))
+
+
+@query("inv_null_outcome", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'A'", ids="I6")
+def inv_null_outcome(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") != "A", "ACCEPTABLE").alias("rule_outcome"))
+    return invariants.nulls(rows, "rule_outcome").drop("rule_outcome")
+
+
+@query("operational_failures", "SELECT o_orderkey, o_orderstatus = 'P' AS alert FROM orders", ids="O16")
+def operational_failures(spark, d):
+    status = F.when(F.col("o_orderstatus") == "P", "ANALYSIS_FAILED").when(F.col("o_orderstatus") == "F", "RESOLVED")
+    return table(spark, d, "orders").select("o_orderkey", rollup.operational_failure(status).alias("alert"))
+
+
+@query("requirement_order", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part ORDER BY p_name, p_partkey LIMIT 100", ids="T8")
+def requirement_order(spark, d):
+    from pyspark.sql.window import Window as W
+
+    first = report.page(table(spark, d, "part").select("p_partkey", "p_name"), 1, 100, F.col("p_name"), F.col("p_partkey"))
+    return first.withColumn("place", F.row_number().over(W.orderBy("p_name", "p_partkey")).cast("long"))

@@ -22,3 +22,9 @@ def test_entry_imports():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_coverage_names_queries_that_exist():
+    from lexmill.plans.coverage import by_id
+
+    assert {q for names in by_id().values() for q in names} <= set(QUERIES)
