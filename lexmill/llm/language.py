@@ -30,24 +30,14 @@ MEMORY, TOGETHER = 400_000, 1_500_000
 RUN, OVERLAP = 24, 2
 UNKNOWN = "und"
 
-def _letter_pattern() -> str:
-    """A class of all letters: word characters but for the underscore and those that are numerals of any kind."""
-    other = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
-    runs: list[list[int]] = []
-    for c in other:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[^\\W_" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]+"
-
-
-_letters = re.compile(_letter_pattern())
+_runs = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case; a run of over RUN letters is several words, one after the other."""
-    found = _letters.findall((text or "").lower())
+    found = _runs.findall((text or "").lower())
+    if not all(map(str.isalpha, found)):  # numerals other than digits are no letters
+        found = [part for w in found for part in "".join(c if c.isalpha() else " " for c in w).split()]
     if all(len(w) <= RUN for w in found):
         return found
     return [w[i : i + RUN] for w in found for i in range(0, max(len(w) - OVERLAP, 1), RUN - OVERLAP)]

@@ -70,3 +70,10 @@ def test_long_runs_are_read_to_their_end(spark):
     model = language.fit(frame(spark, docs))
     r = language.identify(frame(spark, [(1, run("zh", 60) + run("ja", 300), None, "s", 1)]), model).first()
     assert r.lang_pred == "ja" and r.switches == 1
+
+
+def test_numerals_are_no_letters(spark):
+    assert language.words_of("naïve ² ½① x² a_b 日本語 12 Ⅳ Ünï9co\u00b2de \u0661") == ["naïve", "x", "a", "b", "日本語", "ünï", "co", "de"]
+    model = language.fit(frame(spark, [(i, "the river" if i % 2 else "la rivière", "en" if i % 2 else "fr", "s", 1) for i in range(60)]))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame(spark, [(1, "² ½ ①", None, None, 0), (2, "the river ²", None, None, 0)]), model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en"
