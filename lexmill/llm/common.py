@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to a Python worker; texts are long, so batches are kept short.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch sent to a Python worker; texts are long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+#: A key that holds more than this share of a join's rows is hot; there are fewer than its inverse of them.
+HOT_SHARE = 1 / 500
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,9 +29,10 @@ def tune(spark: SparkSession) -> None:
 
     Results are evaluated lazily, so the setting stays; a session that asks for smaller batches keeps its own.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "0")) <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -127,6 +130,24 @@ def numbered(scratch: Scratch, rows: DataFrame, *order: Column, place: str = "pl
     return joined.select(*rows.columns, (F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("lexmill_before")).alias(place))
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """many left-joined to one on a column of that name, nulls equal; a key stands at most once in one.
+
+    Keys that hold more than HOT_SHARE of many are fewer than 1 / HOT_SHARE, so their rows of one are broadcast and
+    their rows of many stay where they are; all others are shuffled, and none of them can fill a task.
+    """
+    rows, rest = scratch.keep(many), [c for c in one.columns if c != key]
+    counts = rows.groupBy(key).count()
+    least = rows.count() * HOT_SHARE
+    hot = counts.filter(F.col("count") > least).select(F.col(key).alias("_hot"), F.lit(True).alias("_is_hot"))
+    o = one.withColumnRenamed(key, "_one")
+    few = scratch.keep(hot.join(o, F.col("_hot").eqNullSafe(F.col("_one")), "left").drop("_one"))
+    marked = rows.join(F.broadcast(few), F.col(key).eqNullSafe(F.col("_hot")), "left")
+    near = marked.filter("_is_hot").select(*many.columns, *rest)
+    far = marked.filter("_is_hot is null").select(*many.columns)
+    return near.unionByName(far.join(o, F.col(key).eqNullSafe(F.col("_one")), "left").select(*many.columns, *rest))
+
+
 def either(df: DataFrame, column: str, kind: str) -> Column:
     """The column, or a null of that kind where the table lacks it."""
     return F.col(column).cast(kind) if column in df.columns else F.lit(None).cast(kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import exact, forest, language, lines, mixing, neardup, pieces, quality, secrets, suffixes
+from lexmill.llm import codes, exact, forest, language, lines, mixing, neardup, pieces, quality, secrets, suffixes, toxicity, trie
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_language": language.op9_language,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_vector_codes": codes.op12_vector_codes,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE = {
@@ -23,4 +26,6 @@ ORACLE = {
     "op7_line_dedup": lines.ORACLE_OP7,
     "op8_suffix_dedup": suffixes.ORACLE_OP8,
     "op10_exact_dedup": exact.ORACLE_OP10,
+    "op11_prefix_trie": trie.ORACLE_OP11,
+    "op12_vector_codes": codes.ORACLE_OP12,
 }

@@ -49,3 +49,18 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
         left -= cap * sum(sizes[i] for i in over)
         open_ -= over
     return [float(left * w[i] / sum(w[j] for j in open_)) if i in open_ else float(cap * sizes[i]) for i in range(len(sizes))]
+
+
+def against_sql(df, sql, sf_dir):
+    """The first rows that a query and its SQL do not share, column by column in order of their names."""
+    from collections import Counter
+
+    from tests.oracle import connect
+
+    names = sorted(df.columns)
+    rel = connect(sf_dir).sql(sql)
+    assert sorted(rel.columns) == names
+    at = [rel.columns.index(n) for n in names]
+    a = Counter(tuple(r[n] for n in names) for r in df.collect())
+    b = Counter(tuple(r[i] for i in at) for r in rel.fetchall())
+    return list(((a - b) + (b - a)).items())[:5]
