@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lexmill.functions.maps import redact
 from lexmill.functions.text import fingerprint, suffix
 from lexmill.operators import invariants as inv
 from lexmill.operators.invariants import require_empty
+from lexmill.sources.manifest import Store
 
 
 def object_key(content: Column, name: Column) -> Column:
@@ -17,81 +20,60 @@ def object_key(content: Column, name: Column) -> Column:
     return F.concat(F.substring(digest, 1, 2), F.lit("/"), digest, suffix(name))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def put_objects(files: DataFrame, path: str) -> None:
-    """Store objects under their keys, each once: what is stored is never written again, and nothing is overwritten.
+def put_objects(files: DataFrame, path: str) -> int:
+    """Store objects under their keys, each once, whoever else is storing them; the number of the commit.
 
-    Keys are spread over folders by their first two digits; only the folders that a batch needs are looked through.
+    What is stored is never written again, and nothing is overwritten. Of an upload only the objects whose keys the
+    store lacks are left; keys are looked for in the folders whose range of keys meets that of the upload.
     """
-    keyed = files.withColumn("storage_key", object_key(F.col("content"), F.col("name"))).dropDuplicates(["storage_key"])
-    keyed = keyed.withColumn("bucket", F.substring("storage_key", 1, 2))
-    if _exists(files.sparkSession, path):
-        keyed = keyed.join(stored_objects(files.sparkSession, path).select("bucket", "storage_key"), ["bucket", "storage_key"], "left_anti")
-    keyed.write.mode("append").partitionBy("bucket").parquet(path)
+    keyed = files.withColumn("storage_key", object_key(F.col("content"), F.col("name")))
+    return Store(files.sparkSession, path).publish(uuid.uuid4().hex, {"": keyed}, {"": ["storage_key"]}, stored="skip")
 
 
 def stored_objects(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
     """What is stored below path, or the objects of those storage keys; a key without an object has no row."""
-    rows = spark.read.schema("name string, content binary, storage_key string, bucket string").parquet(path)
-    if keys is None:
-        return rows
-    wanted = keys.select("storage_key", F.substring("storage_key", 1, 2).alias("bucket")).distinct()
-    return rows.join(wanted, ["bucket", "storage_key"])
+    rows = Store(spark, path).table("")
+    return rows if keys is None else rows.join(keys.select("storage_key").distinct(), "storage_key")
 
 
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-#: Folders that append_new spreads keys over.
-FOLDERS = 64
+def append_new(rows: DataFrame, path: str, keys: list[str], run: str | None = None) -> int:
+    """Append the rows whose keys are not stored; rows of one key are stored once. The number of the commit.
+
+    A run that was appended before is not written again, and nothing is read for it but the log. Otherwise keys are
+    looked for in the folders whose range of the first key meets that of the rows: a batch of keys beyond those stored
+    reads none of them, however much is stored.
+    """
+    return Store(rows.sparkSession, path).publish(run or uuid.uuid4().hex, {"": rows}, {"": keys}, stored="skip")
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys are not stored; rows of one key are stored once.
+def publish_analysis(findings: DataFrame, evaluations: DataFrame, path: str, run: str) -> int:
+    """Findings with their evaluations as one commit, after the checks that a database would make; its number.
 
-    Keys are spread over folders by their hash, and a batch is held against the folders of its own keys only.
+    A run that is published is not written again, one that broke off was never there, and findings that another run has
+    stored are refused, also where that run is published at the same time.
     """
-    spark = rows.sparkSession
-    fresh = rows.dropDuplicates(keys).withColumn("folder", F.pmod(F.xxhash64(*keys), F.lit(FOLDERS)).cast("int")).persist()
+
+    def check(staged: dict[str, DataFrame]) -> None:
+        f, e = staged["findings"], staged["evaluations"]
+        require_empty(
+            finding_without_evaluation=inv.without_evaluation(f, e, "finding_id"), duplicate_finding=inv.duplicates(f, ["finding_id"]),
+            evaluation_without_finding=inv.dangling(e, "finding_id", f, "finding_id"), evidence=inv.lacking_evidence(e), outcome=inv.nulls(e, "rule_outcome"),
+        )
+
+    named = {"findings": findings.withColumn("run", F.lit(run)), "evaluations": evaluations.withColumn("run", F.lit(run))}
     try:
-        left = fresh
-        if _exists(spark, path):
-            # At most FOLDERS numbers.
-            touched = [r["folder"] for r in fresh.select("folder").distinct().collect()]
-            stored = spark.read.schema(fresh.schema).parquet(path).filter(F.col("folder").isin(touched)).select("folder", *keys)
-            left = fresh.join(stored, ["folder", *keys], "left_anti")
-        left.write.mode("append").partitionBy("folder").parquet(path)
-    finally:
-        fresh.unpersist()
-
-
-def publish_analysis(findings: DataFrame, evaluations: DataFrame, path: str, run: str) -> None:
-    """Findings with their evaluations as one run, after the checks that a database would make when it commits.
-
-    A run has a folder of its own in either table. Its evaluations are written first, its findings last: a run is there
-    once its findings are, published_evaluations() shows no others, and a run that broke off is written again as if it
-    had never begun. Findings that another run has stored are refused.
-    """
-    spark, at = findings.sparkSession, f"{path}/findings"
-    stored = spark.read.schema("finding_id string, run string").parquet(at).filter(F.col("run") != run).select("finding_id") if _exists(spark, at) else findings.select(F.col("finding_id").cast("string").alias("finding_id")).limit(0)
-    require_empty(
-        finding_without_evaluation=inv.without_evaluation(findings, evaluations, "finding_id"), duplicate_finding=inv.duplicates(findings, ["finding_id"]),
-        evaluation_without_finding=inv.dangling(evaluations, "finding_id", findings, "finding_id"), finding_stored=findings.join(stored, "finding_id", "left_semi"),
-        evidence=inv.lacking_evidence(evaluations), outcome=inv.nulls(evaluations, "rule_outcome"),
-    )
-    for rows, name in ((evaluations, "evaluations"), (findings, "findings")):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
-
-
-def published_evaluations(spark: SparkSession, path: str) -> DataFrame:
-    """The evaluations of all runs that are complete."""
-    done = spark.read.parquet(f"{path}/findings").select("run").distinct()
-    return spark.read.parquet(f"{path}/evaluations").join(done, "run", "left_semi")
+        return Store(findings.sparkSession, path).publish(run, named, {"findings": ["finding_id"]}, check=check)
+    except inv.InvariantBroken as broken:
+        raise inv.InvariantBroken(str(broken).replace("findings: stored already", "finding_stored")) from broken
+
+
+def published_evaluations(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The evaluations of all runs that are published, or were as of a commit."""
+    return Store(spark, path).table("evaluations", version)
 
 
 def log_lines(events: DataFrame, fields: str) -> DataFrame:
