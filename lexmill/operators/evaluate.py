@@ -83,39 +83,39 @@ def same_scope(caps: DataFrame, keys: list[str], evidence: str = "evidence_id",
     return per.select(*keys, "kind", "scope", "scope_label", F.size("__positions").alias("positions"), "evidence", F.col("__positions")[0].alias("p")).select(*keys, "kind", "scope", "scope_label", "positions", "evidence", "p.*")
 
 
-def evaluate_caps(caps: DataFrame, settings: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, kind, scope_key, scope_label, classification, rule_outcome, evidence and its relation, for caps of keys.
+def evaluate_numeric(subjects: DataFrame, caps: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """Every numeric evaluation of subjects (keys, settings, facts_status, candidates): keys, evaluation_kind, scope_key,
+    scope_label, classification, rule_outcome, evidence and its relation.
 
-    settings has one row per key with the standard's and the rule's columns.
+    Null facts and failed extraction give one row that could not be evaluated, with the candidates as evidence; facts
+    without caps give one missing row without evidence. Columns of subjects named in carry come along.
     """
-    merged = same_scope(caps, keys).join(settings.select(*keys, *STANDARD_COLUMNS, *RULE_COLUMNS), keys)
-    result = F.when(F.col("positions") > 1, F.struct(F.lit("CONFLICT").alias("classification"), F.lit(NA).alias("rule_outcome"))).otherwise(ladder())
-    rows = merged.withColumn("r", result)
-    return rows.select(
-        *keys, F.col("kind").alias("evaluation_kind"), F.col("scope").alias("scope_key"), "scope_label", "r.classification", "r.rule_outcome", "evidence",
-        F.when(F.col("positions") > 1, "CONFLICTING").otherwise("PRIMARY").alias("relation"),
-    )
+    own = caps.groupBy(*keys).agg(F.collect_list(F.struct(*CAP_COLUMNS, "evidence_id")).alias("caps"))
+    return judged(subjects.join(own, keys, "left"), keys, carry)
 
 
-def evaluate_numeric(subjects: DataFrame, caps: DataFrame, keys: list[str]) -> DataFrame:
-    """Every numeric evaluation of subjects (keys, settings, facts_status, candidates), as evaluate_caps gives it.
+def judged(rows: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """As evaluate_numeric, of subjects that have their caps with them: caps, an array of caps with evidence_id, null or
+    empty for none.
 
-    Null facts and failed extraction give one row that could not be evaluated, with the candidates as evidence; facts
-    without caps give one missing row without evidence.
+    Rows that are partitioned by their keys stay where they are: caps of one scope meet where their subject is.
     """
-    scope = F.coalesce(F.nullif(F.col("std_scope"), F.lit("")), F.lit("UNKNOWN"))
-    readable = F.col("facts_status").isNotNull() & (F.col("facts_status") != "FAILED")
-    with_caps = subjects.filter(readable).join(caps.select(*keys).distinct(), keys, "left_semi")
-    single = subjects.filter(~F.coalesce(readable, F.lit(False))).select(
-        *keys, F.lit("PRIMARY").alias("evaluation_kind"), scope.alias("scope_key"), F.lit(None).cast("string").alias("scope_label"),
-        F.lit("UNABLE_TO_EVALUATE").alias("classification"), F.lit(NA).alias("rule_outcome"), F.coalesce("candidates", F.array().cast("array<string>")).alias("evidence"), F.lit("PRIMARY").alias("relation"),
-    )
-    absent = subjects.filter(readable).join(caps.select(*keys).distinct(), keys, "left_anti").select(
-        *keys, F.lit("PRIMARY").alias("evaluation_kind"), scope.alias("scope_key"), F.lit(None).cast("string").alias("scope_label"),
-        F.lit("MISSING").alias("classification"), F.lit(NA).alias("rule_outcome"), F.array().cast("array<string>").alias("evidence"), F.lit("PRIMARY").alias("relation"),
+    carry = carry or []
+    own = F.struct(*STANDARD_COLUMNS, *RULE_COLUMNS, "candidates", *carry, F.coalesce((F.col("facts_status") != "FAILED"), F.lit(False)).alias("readable"))
+    each = rows.select(*keys, own.alias("s"), "caps").select(*keys, "s", F.explode_outer(F.when(F.col("s.readable"), F.col("caps"))).alias("cap"))
+    position = F.when(F.col("cap").isNotNull(), F.struct("cap.status", "cap.value", "cap.unit", "cap.basis"))
+    per = each.groupBy(*keys, F.col("cap.kind").alias("kind"), F.col("cap.scope").alias("scope"), F.coalesce("cap.scope_label", F.lit("")).alias("__label")).agg(
+        F.first("s").alias("s"), F.collect_set(position).alias("__positions"), F.first("cap.scope_label", ignorenulls=True).alias("scope_label"), F.sort_array(F.collect_set("cap.evidence_id")).alias("evidence")
+    )
+    flat = per.select(*keys, "kind", "scope", "scope_label", F.size("__positions").alias("positions"), "evidence", F.get("__positions", F.lit(0)).alias("p"), "s").select(*keys, "kind", "scope", "scope_label", "positions", "evidence", "p.*", "s.*")
+    rung = lambda name: F.struct(F.lit(name).alias("classification"), F.lit(NA).alias("rule_outcome"))
+    none = F.array().cast("array<string>")
+    result = F.when(~F.col("readable"), rung("UNABLE_TO_EVALUATE")).when(F.col("kind").isNull(), rung("MISSING")).when(F.col("positions") > 1, rung("CONFLICT")).otherwise(ladder())
+    out = flat.withColumn("r", result).select(
+        *keys, F.coalesce("kind", F.lit("PRIMARY")).alias("evaluation_kind"), F.coalesce("scope", F.nullif("std_scope", F.lit("")), F.lit("UNKNOWN")).alias("scope_key"), "scope_label", "r.classification", "r.rule_outcome",
+        F.when(~F.col("readable"), F.coalesce("candidates", none)).otherwise(F.col("evidence")).alias("evidence"), F.when(F.col("positions") > 1, "CONFLICTING").otherwise("PRIMARY").alias("relation"), *carry,
     )
-    found = evaluate_caps(caps.join(with_caps.select(*keys), keys, "left_semi"), with_caps, keys)
-    return stamp(found.unionByName(single).unionByName(absent), "NUMERIC_COMPARISON")
+    return stamp(out, "NUMERIC_COMPARISON")
 
 
 def presence_result() -> Column:
@@ -140,8 +140,9 @@ def presence_result() -> Column:
     )
 
 
-def evaluate_presence(subjects: DataFrame, keys: list[str]) -> DataFrame:
-    """Presence evaluations of subjects (keys, mapping_state, expected_presence, required, rule, candidates).
+def evaluate_presence(subjects: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """Presence evaluations of subjects (keys, mapping_state, expected_presence, required, rule, candidates); columns of
+    subjects named in carry come along.
 
     Subjects without an expectation or a mapping are misconfigured and have no row here; see misconfigured().
     """
@@ -150,7 +151,7 @@ def evaluate_presence(subjects: DataFrame, keys: list[str]) -> DataFrame:
     return stamp(
         rows.select(
             *keys, F.lit("PRIMARY").alias("evaluation_kind"), F.coalesce(F.nullif(F.col("std_scope"), F.lit("")), F.lit("DEFAULT")).alias("scope_key"), F.lit(None).cast("string").alias("scope_label"),
-            "r.classification", "r.rule_outcome", F.when(F.col("mapping_state") == "NONE", none).otherwise(F.coalesce("candidates", none)).alias("evidence"), F.lit("PRIMARY").alias("relation"),
+            "r.classification", "r.rule_outcome", F.when(F.col("mapping_state") == "NONE", none).otherwise(F.coalesce("candidates", none)).alias("evidence"), F.lit("PRIMARY").alias("relation"), *(carry or []),
         ),
         "PRESENCE",
     )

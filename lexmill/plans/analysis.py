@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexmill.functions.text import normalize
 from lexmill.operators import evaluate, extract, mapping, rollup, workflow
@@ -62,35 +63,35 @@ def refusals(clauses: DataFrame, snapshot: Sequence[Requirement]) -> DataFrame:
     return per.select("review_id", workflow.analysis_refusal(F.col("n"), F.col("declared"), F.lit(untyped)).alias("refusal")).filter("refusal is not null")
 
 
-def _by_requirement(snapshot: Sequence[Requirement], make: Callable[[Requirement], Column], kind: str) -> Column:
-    """An expression that depends on the row's requirement."""
-    found = F.lit(None).cast(kind)
-    for r in snapshot:
-        found = F.when(F.col("requirement") == r.code, make(r)).otherwise(found)
-    return found
+def numeric_evaluations(states: DataFrame, clauses: DataFrame, terms: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+    """Evaluations of all numeric requirements at once, whatever their number: each confirmed clause is fetched for the
+    requirements that it confirms, and read by the terminology of that requirement, which is a row.
 
-
-def numeric_evaluations(states: DataFrame, clauses: DataFrame, snapshot: Sequence[Requirement], keys: list[str], held: list[DataFrame]) -> DataFrame:
-    """Evaluations of all numeric requirements at once: each confirmed clause is fetched once for each requirement that
-    it confirms, and read by the terminology of that requirement. What was read is kept, and put into held."""
-    numeric = [r for r in snapshot if r.evaluator_type == "NUMERIC_COMPARISON"]
-    own = states.filter(F.col("requirement").isin([r.code for r in numeric]))
-    confirmed = own.filter("mapping_state = 'CONFIRMED'").select(*keys, F.explode("evidence").alias("evidence_id"))
-    read = confirmed.join(clauses.select("review_id", "evidence_id", "content"), ["review_id", "evidence_id"]).withColumn("body", normalize(F.col("content")))
-    usable = F.col("requirement").isin([r.code for r in numeric if r.terms.usable])
-    found = read.select(*keys, "evidence_id", (F.col("body") == "").alias("blank"), _by_requirement(numeric, lambda r: extract.caps(F.col("body"), r.terms), f"array<{extract.CAP}>").alias("caps")).persist()
-    held.append(found)
-    facts = extract.status_of(found, keys, usable).select(*keys, F.col("status").alias("facts_status"))
-    caps = found.select(*keys, "evidence_id", F.explode("caps").alias("cap")).select(*keys, "evidence_id", "cap.*")
-    return evaluate.REGISTRY["NUMERIC_COMPARISON"](own.join(facts, keys, "left"), caps, keys)
+    Settings travel with their states, so that nothing is joined back: clauses are fetched by one join, and what they say
+    comes together in one aggregate on (review, requirement), which all that follows keeps to.
+    """
+    carried = [c for c in states.columns if c not in keys]
+    confirmed = F.when(F.col("mapping_state") == "CONFIRMED", F.col("evidence"))
+    own = states.select(*keys, F.struct(*carried).alias("s"), F.explode_outer(confirmed).alias("evidence_id")).join(F.broadcast(terms), "requirement", "left")
+    read = own.join(clauses.select("review_id", "evidence_id", "content"), ["review_id", "evidence_id"], "left")
+    body, here = normalize(F.col("content")), F.col("content").isNotNull()
+    said = F.transform(extract.caps_by(body, F.col("terms")), lambda c: F.struct(*[c[n].alias(n) for n in evaluate.CAP_COLUMNS], F.col("evidence_id").alias("evidence_id")))
+    found = read.select(*keys, "s", F.coalesce("terms.usable", F.lit(False)).alias("usable"), here.alias("here"), (here & (body == "")).alias("blank"), F.when(here, said).alias("caps"))
+    per = found.groupBy(*keys).agg(F.first("s").alias("s"), F.first("usable").alias("usable"), F.count_if("here").alias("clauses"), F.count_if("blank").alias("blank"), F.flatten(F.collect_list("caps")).alias("caps"))
+    n = F.size("caps")
+    facts = (
+        F.when(F.col("clauses") == 0, F.lit(None)).when(~F.col("usable"), "FAILED").when((n == 0) & (F.col("blank") == F.col("clauses")), "FAILED")
+        .when((n > 0) & (F.col("blank") > 0), "PARTIAL").otherwise("COMPLETE")
+    )
+    return evaluate.judged(per.select(*keys, "s.*", facts.alias("facts_status"), "caps"), keys, carry)
 
 
 def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[str, DataFrame]:
     """Relations of an analysis of clauses (review_id, document_type, evidence_id, content, section_title).
 
     evaluations and findings are what is stored; skipped lists optional requirements that nothing maps to; failures
-    lists requirements that could not be evaluated as configured, so that one never stops the others: their rules and
-    terms are data of one plan, and what is wrong with one of them is a row of its own. refused lists reviews whose
+    lists requirements that could not be evaluated as configured, so that one never stops the others: their settings and
+    terms are data of one plan, and what is wrong with one of them is a row of its own. Nothing is kept in the session. refused lists reviews whose
     analysis does not begin; nothing else has rows of them. A numeric requirement with no mapped clause has no facts
     and no evidence: it is a failure and leaves no finding.
     """
@@ -104,38 +105,24 @@ def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[st
     scored = mapping.score(admitted, [r.rules for r in snapshot], "content", "section_title", signals=False, only=[F.col("document_type") == r.document_type for r in snapshot])
     states = mapping.state(scored, ["review_id"], F.col("evidence_id")).join(table, "requirement")
     states = states.withColumn("mapping_state", F.col("state")).withColumn("candidates", F.col("evidence"))
-    # What several relations read is kept, so that it is worked out once, and lost parts are worked out again; release()
-    # lets go of it once the relations are written.
-    states = states.persist()
-    held = [states]
+    carry = ["mapping_state", "required"]
     present = states.filter(F.col("requirement").isin([r.code for r in snapshot if r.evaluator_type == "PRESENCE"]))
-    found = evaluate.REGISTRY["PRESENCE"](present, keys)
+    found = evaluate.REGISTRY["PRESENCE"](present, keys, carry)
     skipped = present.filter("mapping_state = 'NONE' and expected_presence = 'PRESENT' and not required").select(*keys)
     failures = evaluate.misconfigured(present).select(*keys, "failure")
     known = set(evaluate.REGISTRY)
     if odd := [r.code for r in snapshot if r.evaluator_type not in known]:
         failures = failures.unionByName(states.filter(F.col("requirement").isin(odd)).select(*keys, F.lit("unknown evaluator_type").alias("failure")))
-    if any(r.evaluator_type == "NUMERIC_COMPARISON" for r in snapshot):
-        rows = numeric_evaluations(states, clauses, snapshot, keys, held).persist()
-        held.append(rows)
+    if numeric := [r for r in snapshot if r.evaluator_type == "NUMERIC_COMPARISON"]:
+        own = states.filter(F.col("requirement").isin([r.code for r in numeric]))
+        rows = numeric_evaluations(own, clauses, extract.term_rows(spark, {r.code: r.terms for r in numeric}), keys, carry)
+        # A requirement with an evaluation that lacks its evidence leaves none; its rows lie together already.
         lacks = evaluate.evidence_violation(F.col("classification"), F.col("evidence"))
-        # A requirement with an evaluation that lacks its evidence leaves none.
-        bad = rows.groupBy(*keys).agg(F.bool_or(lacks).alias("bad"))
-        rows = rows.join(bad, keys)
-        failures = failures.unionByName(bad.filter("bad").select(*keys, F.lit("evaluation without evidence").alias("failure")))
+        rows = rows.withColumn("bad", F.bool_or(lacks).over(W.partitionBy(*keys)))
+        failures = failures.unionByName(rows.filter("bad").select(*keys, F.lit("evaluation without evidence").alias("failure")).distinct())
         found = found.unionByName(rows.filter("not bad").drop("bad"))
-    found = found.join(states.select(*keys, "mapping_state", "required"), keys)
     evaluations = found.withColumn("requires", rollup.requires_decision(F.col("classification"), F.col("rule_outcome"), F.col("required"), F.lit(False)))
-    evaluations = evaluations.persist()
-    held.append(evaluations)
     findings = rollup.finding_classification(evaluations, keys, F.bool_or("requires").alias("requires_decision"))
     reviews = admitted.select("review_id").distinct()
     review = rollup.review_outcome(findings.withColumn("resolved", ~F.col("requires_decision")), reviews, "review_id")
-    findings.held = held
     return {"states": states, "evaluations": evaluations, "findings": findings, "skipped": skipped, "failures": failures, "refused": refused, "reviews": review}
-
-
-def release(relations: dict[str, DataFrame]) -> None:
-    """Let go of what an analysis has kept; its relations would be worked out anew after that."""
-    for kept in relations["findings"].held:
-        kept.unpersist()

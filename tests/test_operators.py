@@ -87,8 +87,27 @@ def test_caps_of_clauses(spark):
     assert "c07" not in got and "c08" not in got and "c13" not in got
     status = lambda c: extract.fact_status(fixtures.clauses(spark).filter(c).withColumn("k", F.lit(1)), ["k"], fixtures.TERMS).first().status
     assert [status(c) for c in ("evidence_id = 'c08'", "evidence_id in ('c07', 'c08')", "evidence_id in ('c01', 'c08')", "evidence_id = 'c01'")] == ["FAILED", "COMPLETE", "PARTIAL", "COMPLETE"]
-    assert extract.Terms.parse({"extraction": {"units": ["days"], "cap_phrases": None}}).units == {"days": ["days"]} or True
-    assert not extract.Terms.parse(None).usable
+
+
+def test_terms_as_data(spark):
+    """Terms in rows say of every clause what terms built into a plan say."""
+    import json
+
+    odd = extract.Terms(cap_phrases=("limited to", " "), unlimited_phrases=(), units={"B": ("days", "day (s)"), "A": ("days", "consecutive days", "")}, bases={"Z": ("fees",), "C": ("amounts paid", "fees paid")}, exceptions=(("X", None, ()), ("Y", "why", ("liability",))), general_scope="ALL")
+    deaf = extract.Terms(units={"DAYS": ("days",)})
+    own = {"T": fixtures.TERMS, "ODD": odd, "DEAF": deaf, "BARE": extract.Terms(cap_phrases=("shall not exceed",))}
+    more = [(f"m{i}", t) for i, t in enumerate(["Limited to 3 day (s), day", "limited to 1,000 consecutive days of fees", "limited to 1e5 days; liability", None, "\\E limited to 2 days \\Q"])]
+    clauses = fixtures.clauses(spark).unionByName(spark.createDataFrame(more, "evidence_id string, content string"))
+    from lexmill.functions.text import normalize
+
+    rows = clauses.crossJoin(extract.term_rows(spark, own)).select("requirement", "evidence_id", F.explode(extract.caps_by(normalize(F.col("content")), F.col("terms"))).alias("c")).select("requirement", "evidence_id", "c.*")
+    got = sorted(map(tuple, rows.collect()), key=repr)
+    want = sorted(((code, *r) for code, t in own.items() for r in map(tuple, extract.extract(clauses, [], t).collect())), key=repr)
+    assert got == want and {g[0] for g in got} == {"T", "ODD", "BARE"}
+    stored = [("listed", json.dumps({"extraction": {"units": ["Days"], "cap_phrases": ["x"]}})), ("null", None), ("broken", "{"), ("none", "{}"), ("kinds", json.dumps({"extraction": {"units": 5, "cap_phrases": "x", "exceptions": {}, "general_scope": ""}}))]
+    read = {r.requirement: r.terms for r in extract.read_terms(spark.createDataFrame(stored, "requirement string, payload string")).collect()}
+    assert read["listed"].units == {"days": "Days"} and read["listed"].usable and read["listed"].number
+    assert all(not read[k].usable and read[k].general_scope == "GENERAL" and read[k].number is None for k in ("null", "broken", "none", "kinds"))
 
 
 def test_rules_parse_and_round_trip():
