@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.operators import append_only
 from lexmill.operators.invariants import InvariantBroken
 from lexmill.plans import q_ingest
 from lexmill.plans.registry import query, table
@@ -81,3 +82,28 @@ def events_consumed(spark, d):
         work = lambda batch, n: analyze.consume(batch, n, lambda b: b, f"{path}/out", ["event_id"])
         stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{path}/{run}").trigger(availableNow=True).start().awaitTermination()
     return Store(spark, f"{path}/out").table("")
+
+
+@query("objects_found", """WITH k AS (SELECT sha256(text)[1:2] || '/' || sha256(text) || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '' END AS storage_key, lang, strlen(text) AS n FROM documents WHERE text IS NOT NULL)
+SELECT storage_key, bool_or(lang <> 'fr') AS stored FROM k WHERE lang IN ('fr', 'de') GROUP BY storage_key""".replace("bool_or(lang <> 'fr')", "storage_key IN (SELECT storage_key FROM k WHERE lang <> 'fr' OR lang IS NULL)"), ids="S11")
+def objects_found(spark, d):
+    """Documents of all languages but one are stored; which of the keys of two languages are there, without reading any
+    content."""
+    name = F.when(F.col("doc_id") % 2 == 0, "a file.PDF").otherwise("a file")
+    files = table(spark, d, "documents").filter("text is not null").select(name.alias("name"), F.col("text").cast("binary").alias("content"), "lang")
+    path = shared_folder(spark, "objects")
+    sinks.put_objects(files.filter("lang <> 'fr' or lang is null").drop("lang"), path)
+    asked = files.filter("lang in ('fr', 'de')").select(sinks.object_key(F.col("content"), F.col("name")).alias("storage_key")).distinct()
+    there = sinks.stored_objects(spark, path, asked, content=False).select("storage_key", F.lit(True).alias("there"))
+    return asked.join(there, "storage_key", "left").select("storage_key", F.coalesce("there", F.lit(False)).alias("stored"))
+
+
+@query("events_append_only", """SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'lost' ELSE 'changed' END AS verdict FROM events WHERE event_id % 97 = 0 OR user_id % 41 = 3
+UNION ALL SELECT -1 - user_id, 'backdated' FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 43 = 5)""", ids="I2")
+def events_append_only(spark, d):
+    """A later copy of the events that lost some, changed those of some users, and brings others that pretend to be old."""
+    old = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    kept = old.filter("event_id % 97 <> 0").withColumn("value", F.expr("if(user_id % 41 = 3, coalesce(value, 0) + 1, value)"))
+    odd = old.filter("user_id % 43 = 5").groupBy("user_id").agg(F.min("ts").alias("ts"), F.min("event_type").alias("event_type"), F.min("value").alias("value"))
+    new = kept.unionByName(odd.select((-1 - F.col("user_id")).alias("event_id"), "user_id", "ts", "event_type", "value"))
+    return append_only.departures(old, new, ["event_id"])

@@ -122,13 +122,13 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in paths])
 
-    def publish(self, run: str, tables: dict[str, DataFrame], unique: dict[str, list[str]] | None = None, stored: str = "refuse", check: Callable[[dict[str, DataFrame]], None] | None = None, tries: int = 100) -> int:
+    def publish(self, run: str, tables: dict[str, DataFrame], unique: dict[str, list[str]] | None = None, stored: str = "refuse", check: Callable[[dict[str, DataFrame]], None] | None = None, options: dict[str, str] | None = None, tries: int = 100) -> int:
         """Commit all tables of a run, or none; the number of the commit.
 
         A run that is in the log is not written again. unique names the columns by which a row of a table is stored once:
         rows whose values the store has are refused, or left out where stored is "skip"; nulls are values. They are
         looked for in the folders whose range of the first column meets theirs, so a batch of new values reads none.
-        check gets the staged tables before anything can be seen, and refuses by raising. What is staged and not
+        check gets the staged tables before anything can be seen, and refuses by raising; options go to the writer. What is staged and not
         committed is deleted here, or by sweep() if the writer died.
         """
         if (done := self.version_of(run)) is not None:
@@ -139,8 +139,10 @@ class Store:
             for name, rows in tables.items():
                 if stored == "skip" and name in unique:
                     rows = rows.dropDuplicates(unique[name])
+                    if options:  # what is looked up by its key lies in the order of its key
+                        rows = rows.repartitionByRange(*unique[name]).sortWithinPartitions(*unique[name])
                 staged[name] = {"folder": self._folder(name, mark)}
-                staged[name] = self._stage(staged[name]["folder"], rows, unique.get(name, []))
+                staged[name] = self._stage(staged[name]["folder"], rows, unique.get(name, []), options)
             if check:
                 check({n: self._staged(s) for n, s in staged.items()})
             for name, keys in unique.items():
@@ -158,7 +160,7 @@ class Store:
                         left = self._anti(self._staged(staged[name]), clash, keys)
                         before = staged[name]
                         staged[f"{name} "] = {"folder": self._folder(name, uuid.uuid4().hex[:16])}
-                        staged[name] = self._stage(staged[f"{name} "]["folder"], left, keys)
+                        staged[name] = self._stage(staged[f"{name} "]["folder"], left, keys, options)
                         del staged[f"{name} "]
                         remove(self.spark, f"{self.path}/{before['folder']}")
                 held = last
@@ -179,8 +181,8 @@ class Store:
     def _folder(name: str, mark: str) -> str:
         return f"{name}/commit={mark}".lstrip("/")
 
-    def _stage(self, folder: str, rows: DataFrame, keys: list[str]) -> dict:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+    def _stage(self, folder: str, rows: DataFrame, keys: list[str], options: dict[str, str] | None = None) -> dict:
+        rows.write.mode("overwrite").options(**(options or {})).parquet(f"{self.path}/{folder}")
         first = keys[:1]
         read = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{folder}")
         out = read.agg(F.count("*").alias("n"), *[f(F.col(f"`{k}`")).alias(f"{a}_{k}") for k in first for f, a in ((F.min, "min"), (F.max, "max"))], *[F.count_if(F.col(f"`{k}`").isNull()).alias(f"null_{k}") for k in first]).first()

@@ -20,6 +20,10 @@ def object_key(content: Column, name: Column) -> Column:
     return F.concat(F.substring(digest, 1, 2), F.lit("/"), digest, suffix(name))
 
 
+#: So many keys at most are looked up as values of a filter.
+KEYS_AT_HAND = 1000
+
+
 def put_objects(files: DataFrame, path: str) -> int:
     """Store objects under their keys, each once, whoever else is storing them; the number of the commit.
 
@@ -27,13 +31,24 @@ def put_objects(files: DataFrame, path: str) -> int:
     store lacks are left; keys are looked for in the folders whose range of keys meets that of the upload.
     """
     keyed = files.withColumn("storage_key", object_key(F.col("content"), F.col("name")))
-    return Store(files.sparkSession, path).publish(uuid.uuid4().hex, {"": keyed}, {"": ["storage_key"]}, stored="skip")
+    return Store(files.sparkSession, path).publish(uuid.uuid4().hex, {"": keyed}, {"": ["storage_key"]}, stored="skip", options={"parquet.bloom.filter.enabled#storage_key": "true"})
 
 
-def stored_objects(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
-    """What is stored below path, or the objects of those storage keys; a key without an object has no row."""
+def stored_objects(spark: SparkSession, path: str, keys: DataFrame | None = None, content: bool = True) -> DataFrame:
+    """What is stored below path, or the objects of those storage keys; a key without an object has no row.
+
+    Up to KEYS_AT_HAND keys go to the scan as values: of each folder only the parts whose range of keys and filter may
+    hold one are read. More are met by a join. Without content its column is not read.
+    """
     rows = Store(spark, path).table("")
-    return rows if keys is None else rows.join(keys.select("storage_key").distinct(), "storage_key")
+    if rows is None:
+        rows = spark.createDataFrame([], "name string, content binary, storage_key string")
+    rows = rows if content else rows.drop("content")
+    if keys is None:
+        return rows
+    asked = keys.select("storage_key").filter("storage_key is not null").distinct()
+    few = [r["storage_key"] for r in asked.limit(KEYS_AT_HAND + 1).collect()]
+    return rows.filter(F.col("storage_key").isin(few)) if len(few) <= KEYS_AT_HAND else rows.join(asked, "storage_key")
 
 
 def append(rows: DataFrame, path: str) -> None:
