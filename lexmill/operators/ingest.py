@@ -18,14 +18,17 @@ def new_versions(uploads: DataFrame, stored: DataFrame) -> DataFrame:
 
     stored: contract_id, version_number, file_hash, version_id. A duplicate is noted and not held back. The same bytes
     in another contract are none.
+
+    All of it is worked out where the versions of a contract lie, so that uploads and stored versions move once. Uploads
+    of no contract, or without a hash, are versions like any other: nulls are one contract, and one hash.
     """
-    top = stored.groupBy("contract_id").agg(F.max("version_number").alias("top"))
-    at = F.row_number().over(W.partitionBy("contract_id").orderBy("upload_id"))
-    rows = uploads.join(top, "contract_id", "left").withColumn("version_number", (F.coalesce("top", F.lit(0)) + at).cast("long")).drop("top")
-    every = stored.select("contract_id", "file_hash", "version_number", "version_id").unionByName(rows.select("contract_id", "file_hash", "version_number", F.col("upload_id").alias("version_id")))
-    first = every.groupBy("contract_id", "file_hash").agg(F.min(F.struct("version_number", "version_id")).alias("first"))
-    found = rows.join(first, ["contract_id", "file_hash"])
-    return found.withColumn("duplicate_of", F.when(F.col("first.version_number") < F.col("version_number"), F.col("first.version_id"))).drop("first")
+    old = stored.select("contract_id", "file_hash", F.col("version_number").cast("long").alias("number"), F.col("version_id").alias("id"), F.lit(None).cast(uploads.schema).alias("row"))
+    new = uploads.select("contract_id", "file_hash", F.lit(None).cast("long").alias("number"), F.col("upload_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in uploads.columns]).alias("row"))
+    contract = W.partitionBy("contract_id")
+    place = F.row_number().over(contract.orderBy(F.col("row").isNull(), "row.upload_id"))
+    numbered = old.unionByName(new).withColumn("top", F.coalesce(F.max("number").over(contract), F.lit(0))).withColumn("number", F.coalesce("number", (F.col("top") + place).cast("long")))
+    rows = numbered.withColumn("first", F.min(F.struct("number", "id")).over(W.partitionBy("contract_id", "file_hash"))).filter("row is not null")
+    return rows.select("row.*", F.col("number").alias("version_number"), F.when(F.col("first.number") < F.col("number"), F.col("first.id")).alias("duplicate_of"))
 
 
 def evidence_rows(segments: DataFrame, runs: DataFrame) -> DataFrame:

@@ -260,3 +260,13 @@ def test_status_and_report_edges(spark):
 def test_access_order(spark):
     r = spark.range(1).select(access.access_outcome(F.lit(None).cast("boolean"), F.lit(True)).alias("a"), access.access_outcome(F.lit(True), F.lit(None).cast("boolean")).alias("b"), access.access_outcome(F.lit(True), F.lit(True)).alias("c"), workflow.transition_allowed(F.lit("CLOSED"), F.lit("DRAFT")).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == ("NOT_FOUND", "FORBIDDEN", "OK", False)
+
+
+def test_versions_without_contract_or_hash(spark):
+    from lexmill.operators import ingest
+
+    stored = spark.createDataFrame([(1, 1, "a", 10), (1, 2, None, 11), (None, 4, "a", 12)], "contract_id long, version_number long, file_hash string, version_id long")
+    uploads = spark.createDataFrame([(1, 20, "a", "x"), (1, 21, None, "y"), (1, 22, "b", "z"), (None, 23, "a", "v"), (2, 24, None, "w"), (2, 25, None, "w")], "contract_id long, upload_id long, file_hash string, number string")
+    got = {r.upload_id: (r.version_number, r.duplicate_of, r.number) for r in ingest.new_versions(uploads, stored).collect()}
+    assert got == {20: (3, 10, "x"), 21: (4, 11, "y"), 22: (5, None, "z"), 23: (5, 12, "v"), 24: (1, None, "w"), 25: (2, 24, "w")}
+    assert ingest.new_versions(uploads.limit(0), stored).collect() == []
