@@ -113,8 +113,12 @@ def safe_request_id(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[A-Za-z0-9._:-]{1,200}$"), F.lit(False))
 
 
+#: Fixed value: what credentials and tokens look like.
+SECRET = r"scrypt\$|bcrypt\$|\$argon2|-----BEGIN|eyJ[A-Za-z0-9_-]{10,}\."
+
+
 def secret_shaped(text: Column) -> Column:
-    return text.rlike(r"scrypt\$|bcrypt\$|\$argon2|-----BEGIN|eyJ[A-Za-z0-9_-]{10,}\.")
+    return text.rlike(SECRET)
 
 
 def fingerprint(content: Column) -> Column:

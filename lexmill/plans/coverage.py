@@ -27,7 +27,6 @@ EARLIER = {
     "config_snapshot_hash": "A27",
     "config_untyped": "F6",
     "config_upsert_plan": "K7",
-    "corpus_expected_vs_actual": "J18 A28 U5 O22",
     "decision_commands": "K5 O7 H14 Y5",
     "decision_current": "J14 W3 Y10",
     "decision_effective": "W5",
@@ -39,28 +38,13 @@ EARLIER = {
     "dup_first_version": "J16 W7",
     "escalation_requests": "O9 H14 Y6",
     "escalation_withdraw": "O9 Y6",
-    "eval_absent": "V12",
     "eval_applicability": "V15",
-    "eval_misconfigured": "V5",
-    "eval_numeric_ladder": "V6 V7 V8 V13 V14 Z21",
     "eval_optional_suppressed": "V4",
-    "eval_presence": "Z29 V2 V3 V4",
-    "eval_rule_outcome": "V9",
-    "eval_same_scope_merge": "A4 A5 V11 Z24",
     "eval_scope_conflict": "A4 A5 V11",
-    "eval_unlimited": "V10",
-    "extract_basis": "W10 E5",
-    "extract_carveouts": "U4 E6 E7",
-    "extract_fact_status": "A25 E1 E8",
-    "extract_magnitude": "W9 Z15 E4",
-    "extract_status": "E2 E3",
-    "extract_units_canonical": "T7 E4",
     "fail_closed_rate": "A20 Z19",
     "finding_resolved": "A9 A10",
     "finding_status": "A9 A10",
     "functions_content_id": "Z17",
-    "functions_map_overlay": "Z25",
-    "functions_names": "K11 Z9 Z10 Z11 Z13",
     "ingest_next_version": "A13",
     "inv_closed_sets": "F7 I7",
     "inv_composite_fk": "I5",
@@ -85,7 +69,6 @@ EARLIER = {
     "page_with_total": "A14 T5",
     "rate_limit_sliding": "W13 R5",
     "redact_event_values": "F16 Z14",
-    "redact_exception": "F17",
     "redact_fields": "F16",
     "report_review": "A15 A19 Z20 H5",
     "review_advance": "A11 A12 O6",
@@ -94,7 +77,6 @@ EARLIER = {
     "rollup_finding": "A7 A8 V17",
     "rollup_tier": "V17",
     "run_summary": "A21 A22 Y11",
-    "segment_clause_number": "Z4",
     "segment_evidence_ids": "Z17",
     "segment_html_pages": "S3",
     "segment_lines": "Z6",

@@ -41,7 +41,7 @@ def terms_checked(spark):
 _VERDICTS = ", ".join(f"({', '.join(fixtures._quoted(s[i]) for i in (0, 9, 10))})" for s in STANDARDS)
 
 
-@query("verify_terminology", f"SELECT code, verdict, CAST(reason AS VARCHAR) AS reason FROM (VALUES {_VERDICTS}) t(code, verdict, reason)", ids="O23 S16")
+@query("verify_terminology", f"SELECT code, verdict, CAST(reason AS VARCHAR) AS reason FROM (VALUES {_VERDICTS}) t(code, verdict, reason)", ids="O23")
 def verify_terminology(spark, d):
     return terms_checked(spark)
 
@@ -100,7 +100,7 @@ _FINDINGS = {
 LIMIT = Requirement(rules=_LIABLE, document_type="MSA", preferred=12.0, unit="MONTHS", basis="FEES_PAID", scope_key="GENERAL", terms=fixtures.TERMS, has_rule=True, deviation_outcome="UNACCEPTABLE", unlimited_outcome="UNACCEPTABLE")
 
 
-@query("analysis_clauses", "SELECT review_id, classification, requires_decision FROM (VALUES " + ", ".join(f"('{k}', '{c}', {str(r).lower()})" for k, (c, r) in _FINDINGS.items()) + ") t(review_id, classification, requires_decision)", ids="O1 E9 V6 V14 O3")
+@query("analysis_clauses", "SELECT review_id, classification, requires_decision FROM (VALUES " + ", ".join(f"('{k}', '{c}', {str(r).lower()})" for k, (c, r) in _FINDINGS.items()) + ") t(review_id, classification, requires_decision)", ids="O1")
 def analysis_clauses(spark, d):
     rows = fixtures.clauses(spark).select(F.col("evidence_id").alias("review_id"), F.lit("MSA").alias("document_type"), "evidence_id", "content", F.lit(None).cast("string").alias("section_title"))
     return run_analysis(rows, [LIMIT])["findings"].select("review_id", "classification", "requires_decision")
@@ -118,11 +118,11 @@ _LIMITS = """c AS (SELECT l_orderkey AS review_id, CASE WHEN l_returnflag = 'R'
 g AS (SELECT review_id, count(DISTINCT months) AS n, min(months) AS low, count(*) AS clauses FROM c GROUP BY review_id)"""
 
 
-@query("analysis_numeric", f"WITH {_LIMITS} SELECT review_id, CASE WHEN n > 1 THEN 'CONFLICT' WHEN low = 12 THEN 'MATCH' ELSE 'DEVIATION' END AS classification, n > 1 OR low <> 12 AS requires_decision FROM g", ids="O1 O3 E2 E3 E4 E5 E9 M9 V6 V7 V8 V9 V10 V11 V16 F9 A4 A5")
+@query("analysis_numeric", f"WITH {_LIMITS} SELECT review_id, CASE WHEN n > 1 THEN 'CONFLICT' WHEN low = 12 THEN 'MATCH' ELSE 'DEVIATION' END AS classification, n > 1 OR low <> 12 AS requires_decision FROM g", ids="O1 E2 E9 M9 V6 V9 V11 V16 F9 A4 A5")
 def analysis_numeric(spark, d):
     return run_analysis(liability_clauses(spark, d), [LIMIT])["findings"].select("review_id", "classification", "requires_decision")
 
 
-@query("analysis_evaluations", f"WITH {_LIMITS} SELECT review_id, 'PRIMARY' AS evaluation_kind, 'GENERAL' AS scope_key, CASE WHEN n > 1 OR low = 12 THEN 'NOT_APPLICABLE' ELSE 'UNACCEPTABLE' END AS rule_outcome, 'CONFIRMED' AS mapping_state, CASE WHEN n > 1 THEN 'CONFLICTING' ELSE 'PRIMARY' END AS relation, 'numeric-1' AS evaluator_version FROM g", ids="V1 V16 K3 Z26")
+@query("analysis_evaluations", f"WITH {_LIMITS} SELECT review_id, 'PRIMARY' AS evaluation_kind, 'GENERAL' AS scope_key, CASE WHEN n > 1 OR low = 12 THEN 'NOT_APPLICABLE' ELSE 'UNACCEPTABLE' END AS rule_outcome, 'CONFIRMED' AS mapping_state, CASE WHEN n > 1 THEN 'CONFLICTING' ELSE 'PRIMARY' END AS relation, 'numeric-1' AS evaluator_version FROM g", ids="V1 V16 Z26")
 def analysis_evaluations(spark, d):
     return run_analysis(liability_clauses(spark, d), [LIMIT])["evaluations"].select("review_id", "evaluation_kind", "scope_key", "rule_outcome", "mapping_state", "relation", "evaluator_version")
