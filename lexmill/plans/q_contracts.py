@@ -11,7 +11,7 @@ import json
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import normalize
-from lexmill.operators import evaluate, extract, report, rollup
+from lexmill.operators import evaluate, extract, report, rollup, verify
 from lexmill.plans import fixtures
 from lexmill.plans.analysis import numeric_evaluations
 from lexmill.plans.registry import query, table
@@ -193,3 +193,21 @@ def contract_presence(spark, d):
 @query("contract_misconfigured", f"WITH {_P} SELECT review_id, CASE WHEN expected IS NULL THEN 'no expected_presence' ELSE 'no mapping' END AS failure FROM p WHERE expected IS NULL OR mapping_state IS NULL", ids="V5")
 def contract_misconfigured(spark, d):
     return evaluate.misconfigured(presence_subjects(spark, d)).select("review_id", "failure")
+
+
+@query("contract_terminology", f"""WITH {_C}, k AS (SELECT DISTINCT review_id, requirement FROM t),
+p AS (SELECT review_id, requirement, count(DISTINCT (status, coalesce(value, -1), coalesce(unit, '-'), coalesce(basis, '-'))) AS n, bool_and(status = 'FINITE' AND value = 12 AND unit = 'MONTHS' AND basis IS NOT DISTINCT FROM 'FEES_PAID') AS right_ FROM caps WHERE scope = 'GENERAL' GROUP BY ALL),
+r AS (SELECT review_id || ':' || requirement AS code, CASE WHEN review_id % 7 = 3 OR review_id % 11 = 5 THEN 'no rules or source' WHEN review_id % 13 = 7 THEN 'source not present' WHEN review_id % 6 = 0 THEN 'mapping not confirmed' WHEN review_id % 4 = 1 THEN NULL WHEN n IS NULL THEN 'no position' WHEN n > 1 OR NOT right_ THEN 'another position' END AS reason
+FROM k LEFT JOIN p USING (review_id, requirement))
+SELECT code, CASE WHEN reason IS NULL THEN 'PASS' WHEN reason = 'source not present' THEN 'SKIP' ELSE 'FAIL' END AS verdict, reason FROM r""", ids="O23")
+def contract_terminology(spark, d):
+    """Whether the clauses of each review and requirement give back the position of twelve months of fees paid."""
+    k = F.col("review_id")
+    code = F.concat_ws(":", "review_id", "requirement").alias("code")
+    keys = clauses(spark, d).select(*KEYS).distinct()
+    rows = keys.select(
+        code, F.when(k % 4 == 1, "PRESENCE").otherwise("NUMERIC_COMPARISON").alias("evaluator_type"), (k % 7 != 3).alias("has_rules"), F.when(k % 11 != 5, "contract").alias("source"), (k % 13 != 7).alias("source_present"),
+        F.lit("GENERAL").alias("scope_key"), F.lit(12.0).alias("preferred"), F.lit("MONTHS").alias("unit"), F.lit("FEES_PAID").alias("basis"),
+    )
+    states = keys.select(code, F.when(k % 6 == 0, "UNRESOLVED").otherwise("CONFIRMED").alias("state"))
+    return verify.terminology(rows, states, caps(spark, d).select(code, "scope", "status", "value", "unit", "basis"))
