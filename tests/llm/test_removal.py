@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from lexmill.llm import lines, suffixes
 from tests.llm.helpers import WORDS, frame, odd_rows, prose
@@ -84,41 +86,65 @@ def test_null_ids_are_not_other_ids(spark):
 
 
 def split_sentences(b):
-    """(start, end, words) by reading one byte after the other."""
+    """(start, end, words, whether it ends its line) by reading one byte after the other."""
     found, start, i = [], 0, 0
 
-    def put(stop, after):
+    def put(stop, after, ends):
         words = re.sub(rb"[.]+\Z", b"", bytes(c + 32 if 65 <= c <= 90 else c for c in b[start:stop])).split()
         if words:
-            found.append((start, min(after, len(b)), words))
+            found.append([start, min(after, len(b)), words, ends])
+        elif ends and found:
+            found[-1][3] = True
 
     while i < len(b):
         wide = 1 if b[i : i + 1] == b"\n" else 2 if b[i : i + 2] == b". " else 3 if b[i : i + 3] == "\u3002".encode() else 0
         if wide:
-            put(i, i + wide)
+            put(i, i + wide, b[i : i + 1] == b"\n")
             start = i = i + wide
         else:
             i += 1
-    put(len(b), len(b))
+    put(len(b), len(b), True)
     return found
 
 
-def brute_lines(rows, words=20, chars=120):
+def brute_units(b, words, chars):
+    """(start, end, its words) of each unit."""
+    own, found = split_sentences(b), set()
+    for i in range(len(own)):
+        for j in range(i, len(own)):
+            many = sum(len(s[2]) for s in own[i : j + 1])
+            if many >= words or sum(len(b" ".join(s[2]).decode()) for s in own[i : j + 1]) >= chars or own[j][3]:
+                found.add((i, j))
+                break
+    if own:
+        found.add((0, len(own) - 1))
+    return [(own[i][0], own[j][1], [w for s in own[i : j + 1] for w in s[2]]) for i, j in sorted(found)]
+
+
+def brute_lines(rows, words=20, chars=120, chance=0.01):
     """rows in the order in which their occurrences count; the outcome of each in that order."""
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    place = lambda w: int(hashlib.md5(w).hexdigest()[:6], 16) // 64
+    often = Counter(place(w) for b in texts for s in split_sentences(b) for w in s[2])
+    units = [brute_units(b, words, chars) for b in texts]
+    forms = Counter(b" ".join(f) for own in units for _, _, f in own)
+    n_words, n_units = sum(often.values()), sum(forms.values())
+
+    def goes(form):
+        n = forms[form]
+        if n < 2 or chance is None:
+            return n > 1
+        log_m = math.log(n_units) - sum(round(1024 * math.log(n_words / often[place(w)])) for w in form.split()) / 1024
+        return math.log(n) > log_m and n * (math.log(n) - log_m) - n + math.exp(log_m) > math.log(n_units / chance)
+
     seen, out = set(), []
-    for d, t, *_ in rows:
-        b = (t or "").encode()
-        own = split_sentences(b)
+    for (d, *_), b, own in zip(rows, texts, units, strict=True):
         gone = bytearray(len(b))
-        fresh = []
-        for i in range(len(own)):
-            for j in range(i, len(own)):
-                form = b" ".join(w for s in own[i : j + 1] for w in s[2])
-                if sum(len(s[2]) for s in own[i : j + 1]) >= words or sum(len(b" ".join(s[2]).decode()) for s in own[i : j + 1]) >= chars:
-                    if form in seen:
-                        gone[own[i][0] : own[j][1]] = b"\1" * (own[j][1] - own[i][0])
-                    seen.add(form)
-                    break
+        for start, end, form in own:
+            form = b" ".join(form)
+            if form in seen and goes(form):
+                gone[start:end] = b"\1" * (end - start)
+            seen.add(form)
         out.append((d, len(b) - sum(not g for g in gone), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return sorted(out, key=repr)
 
@@ -129,7 +155,7 @@ def test_lines_against_brute_force(spark):
     rows = [(i, "".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", "\n\n"]) for _ in range(rng.randint(0, 9))), "en", "s", 1) for i in range(120)]
     odd = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0))
     for data in (rows, odd):
-        for least in ((20, 120), (1, 1), (6, 40)):
+        for least in ((20, 120), (1, 1), (6, 40), (20, 120, None), (1, 1, None), (6, 40, 0.5)):
             got = lines.remove_lines(frame(spark, data, extra=True), *least).collect()
             assert sorted(((r.doc_id, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_lines(data, *least)
     assert lines.remove_lines(frame(spark, [])).collect() == []
@@ -145,7 +171,7 @@ def test_a_sentence_stays_once(spark):
     for d, t, *_ in rows:
         b = t.encode()
         runs = [tuple(map(int, s.split(":"))) for s in by[d].split(",") if s]
-        for start, end, words in lines.segments(b):
+        for start, end, words, _ in lines.segments(b):
             had.add(tuple(words))
             if not any(x <= start and end <= y for x, y in runs):
                 left.add(tuple(words))
@@ -159,10 +185,23 @@ def test_short_and_unspaced_lines_are_looked_up(spark):
     sentence = han[:45] + "\u3002"
     shared = [menu, rights, wrapped, han, sentence]
     rows = [(10 * i + j, f"own{i}x{j} text\n" + (chr(0x6E00 + 10 * i + j) + "\u3002" + s + chr(0x6F00 + 10 * i + j) if s == sentence else s), "en", "s", 1) for i, s in enumerate(shared) for j in range(2)]
-    got = {r.doc_id: r.n_removed for r in lines.remove_lines(frame(spark, rows), 1, 1).collect()}
-    for i, s in enumerate(shared):
-        assert got[10 * i + 1] == len(s.encode()), s
-        assert got[10 * i] == (len(wrapped) * 2 // 3 if s == wrapped else 0), s
-    # Lines of four words make units together; one of 300 characters is a unit of its own.
+    for least in ((20, 120), (1, 1)):
+        got = {r.doc_id: r.n_removed for r in lines.remove_lines(frame(spark, rows), *least, None).collect()}
+        for i, s in enumerate(shared):
+            if s != sentence or least == (1, 1):
+                assert got[10 * i + 1] == len(s.encode()), s
+                assert got[10 * i] == (len(wrapped) * 2 // 3 if s == wrapped else 0), s
+
+
+def test_short_repeats_go_and_chance_stays(spark):
+    """Short lines, tails and whole texts that several documents share go; lines of one word drawn at random do not."""
+    rng = random.Random(19)
+    own = lambda: f"{prose(rng, 30)}. "
+    rights, menu = "All rights reserved. Contact us today", "Home | About | Login"
+    rows = [(i, own() + rights, "en", "s", 1) for i in range(5)] + [(10 + i, menu, "en", "s", 1) for i in range(5)] + [(20 + i, f"{own()}\n{menu}\n{own()}", "en", "s", 1) for i in range(3)]
+    rows += [(30 + i, "\n".join(prose(rng, 1) for _ in range(40)), "en", "s", 1) for i in range(9)]
     got = {r.doc_id: r.n_removed for r in lines.remove_lines(frame(spark, rows)).collect()}
-    assert [got[10 * i + 1] for i in range(5)] == [0, 0, len(wrapped), len(han.encode()), 0]
+    assert [got[i] for i in range(5)] == [0] + [len(rights)] * 4
+    assert [got[10 + i] for i in range(5)] == [0] + [len(menu)] * 4
+    assert [got[20 + i] for i in range(3)] == [len(menu) + 1] * 3
+    assert not any(got[30 + i] for i in range(9))
