@@ -22,8 +22,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 #: Parts within so many code points of each other lie in one scope; a line break run (blank line) ends a scope.
 SCOPE = 200
-#: Least bits a character of a weak secret, and its least length.
-ENTROPY, WEAK_LENGTH = 3.2, 16
+#: Least bits a character of a weak secret without a name, and its least length; named ones have NAMED characters.
+ENTROPY, WEAK_LENGTH, NAMED = 3.2, 16, 6
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
 
 _assign, _access, _hex = re.compile(ASSIGN), re.compile(ACCESS), re.compile(r"[0-9a-f]{24,}")
@@ -31,7 +31,8 @@ _words = ("password", "passwd", "secret", "token", "api")
 _ident = re.compile(r"""(?a:\b(?i:user(?:_?name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,}))""")
 _endpoint = re.compile(r"""(?a:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>|]{4,}|(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d{1,5})?(?![\d.]))""")
 # "=" is padding behind a token only: before it, it parts a name from an unquoted value.
-_weak = re.compile(r"(?a:(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-]))")
+_weak = re.compile(rf"(?a:(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{WEAK_LENGTH},}}={{0,2}}(?![A-Za-z0-9+/_=-]))")
+_named = re.compile(rf"""(?a:(?<![A-Za-z0-9])(?i:pwd|pw|pass|passphrase|credentials?|key|auth)["']?\x20*[:=]\x20*["']?([^\s"'<>,;&]{{{NAMED},}}))""")
 _break = re.compile(r"\n[ \t]*\n")
 
 
@@ -72,17 +73,23 @@ class _Covered:
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Identifiers, secret-like tokens and endpoints that mean nothing alone and do not overlap a base span.
 
-    A token that begins inside an identifier or endpoint is part of that and none of its own.
+    A secret is a value with a weak name (pwd, pass, key and the like), however plain, or a long token without a name
+    that looks drawn at random. One that begins inside an identifier or endpoint is part of that and none of its own.
     """
     parts = []
     if "://" in text or "." in text:
         parts += [(m.start(), m.end(), "endpoint") for m in _endpoint.finditer(text)]
     if "=" in text or ":" in text:
         parts += [(m.start(), m.end(), "ident") for m in _ident.finditer(text)]
-    named = _Covered(parts)
+    inside = _Covered(parts)
+    values = []
+    if "=" in text or ":" in text:
+        values = [(m.start(1), m.end(1), "weak") for m in _named.finditer(text) if not inside.meets(m.start(1), m.start(1) + 1)]
+    named = _Covered(values)
+    parts += values
     for m in _weak.finditer(text):
         t = m[0]
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and _bits(t) >= ENTROPY and not named.meets(m.start(), m.start() + 1):
+        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and _bits(t) >= ENTROPY and not inside.meets(m.start(), m.start() + 1) and not named.meets(m.start(), m.end()):
             parts.append((m.start(), m.end(), "weak"))
     taken = _Covered(base)
     return [p for p in parts if not taken.meets(p[0], p[1])]
