@@ -11,7 +11,9 @@ from lexmill.llm.common import Scratch, either, numbered, read, tune, whole_row
 WEIGHTS = (5, 2, 1)
 #: The mix holds SHARE[0] / SHARE[1] of all words, and no source more than CAP times its own.
 SHARE, CAP = (3, 2), 2
-SEED = "lexmill-mix-1"
+SEED = "lexmill-mix-2"
+#: So many offsets are drawn for a source; the one that brings its words nearest to its target counts.
+DRAWS = 64
 
 
 def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP) -> DataFrame:
@@ -46,12 +48,20 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def _offsets(source):
+    """DRAWS numbers from 0 up to 1 for a source."""
+    digest = lambda i: F.md5(F.concat(F.lit(f"{SEED}|{i}|"), F.coalesce(source, F.lit(""))))
+    return F.array(*[F.conv(F.substring(digest(i), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) for i in range(DRAWS)])
+
+
 def mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): how often each document enters the mix.
 
     Within a source every document expects target / source_size copies. Documents are ordered by (size, doc_id), so
     that the draw is spread evenly over small and large ones; one offset per source, drawn from SEED, is added to the
-    running sum of expected copies, and a document is emitted once for each integer its interval crosses. The sum is
+    running sum of expected copies, and a document is emitted once for each integer its interval crosses. Where a source
+    holds few documents or some very long ones, the offset alone decides over many words, so it is drawn DRAWS times and
+    the draw whose words come nearest to the target counts, the first of equals. The sum is
     the place in the source times the expectation, and places come from one order of all documents by source, size and
     id, dealt out in ranges, so that neither a large source nor a common size is one task's. No document appears more
     often than the ceiling of that expectation, CAP times at most, and reruns agree.
@@ -66,19 +76,24 @@ def mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     rows = docs.select(either(docs, "doc_id", "long").alias("doc_id"), either(docs, "source", "string").alias("source"), word_count(either(docs, "text", "string")).alias("size"))
     slim = scratch.keep(rows)
     sizes = scratch.keep(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
-    distinct = slim.distinct()
+    distinct = slim.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
     at = scratch.keep(numbered(scratch, distinct, F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first()))
-    first = at.groupBy("source").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    first = at.groupBy("source").agg(F.min("place").alias("first"))
     t, f = targets(scratch, sizes).alias("t"), first.alias("f")
-    goals = scratch.keep(t.join(f, F.col("t.source").eqNullSafe(F.col("f.source"))).select("t.*", "f.first", "f.n"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goals = scratch.keep(t.join(f, F.col("t.source").eqNullSafe(F.col("f.source"))).select("t.*", "f.first", rate.alias("rate"), _offsets(F.col("t.source")).alias("offsets")))
     a, g = at.alias("a"), goals.alias("g")
     joined = a.join(g, F.col("a.source").eqNullSafe(F.col("g.source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("a.source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     k = (F.col("place") - F.col("first") + 1).cast("double")
-    out = joined.select("a.doc_id", "a.source", "a.size", "source_size", "target", k.alias("k"), rate.alias("rate"), offset.alias("offset"))
-    copies = F.floor(F.col("offset") + F.col("k") * F.col("rate")) - F.floor(F.col("offset") + (F.col("k") - 1) * F.col("rate"))
-    per_key = out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    crossed = lambda u: (F.floor(u + k * F.col("rate")) - F.floor(u + (k - 1) * F.col("rate"))).cast("long")
+    words = [F.sum(F.col("size") * F.col("rows") * crossed(F.get("offsets", F.lit(i)))).alias(f"w{i}") for i in range(DRAWS)]
+    drawn = joined.groupBy("g.source", "target", "offsets").agg(*words)
+    misses = F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("target")), F.lit(i), F.get("offsets", F.lit(i)).alias("offset")) for i in range(DRAWS)])
+    c = scratch.keep(drawn.select("source", F.array_min(misses)["offset"].alias("offset"))).alias("c")
+    chosen = g.join(c, F.col("g.source").eqNullSafe(F.col("c.source"))).select("g.*", "c.offset").alias("g")
+    out = a.join(chosen, F.col("a.source").eqNullSafe(F.col("g.source")))
+    copies = crossed(F.col("offset"))
+    per_key = out.select("a.doc_id", "a.source", "a.size", "source_size", "target", copies.alias("copies"))
     if slim.count() == at.count():
         return per_key
     p, s = per_key.alias("p"), slim.alias("s")
@@ -129,14 +144,21 @@ WITH d AS (
               ELSE CAST(w * (SELECT max(num) FROM l WHERE den = (SELECT max(den) FROM l)) AS DOUBLE) / CAST(2 * (SELECT max(den) FROM l) AS DOUBLE) END AS target
   FROM h
 ), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         CAST(CAST('0x' || substr(md5('{SEED}|' || coalesce(d.source, '')), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 AS u,
          CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS DOUBLE) AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT source, i, CAST(CAST('0x' || substr(md5('{SEED}|' || i || '|' || coalesce(source, '')), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 AS u
+  FROM t, range({DRAWS}) AS draws(i)
+), w AS (
+  SELECT u.source, i, u, abs(sum(size * (floor(u + k * rate) - floor(u + (k - 1) * rate))) - any_value(target)) AS miss
+  FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source GROUP BY u.source, i, u
+), c AS (
+  SELECT source, u FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, i) AS place FROM w) WHERE place = 1
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(u + k * rate) - floor(u + (k - 1) * rate)) AS BIGINT) AS taken,
        CAST(floor(u + k * rate) - floor(u + (k - 1) * rate) AS BIGINT) AS copies
-FROM r
+FROM r JOIN c ON r.source IS NOT DISTINCT FROM c.source
 """

@@ -69,7 +69,7 @@ def test_mixing_near_targets(spark):
     for r in got:
         by[r.source].append(r)
     for rs in by.values():
-        assert abs(sum(r.size * r.copies for r in rs) - rs[0].target) <= 2 * max(r.size for r in rs)
+        assert abs(sum(r.size * r.copies for r in rs) - rs[0].target) <= 0.02 * rs[0].target
         assert all(0 <= r.copies <= 2 for r in rs) and rs[0].source_size == sum(r.size for r in rs)
     again = mixing.mix(frame(spark, rows).repartition(7)).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))

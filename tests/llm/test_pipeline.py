@@ -45,11 +45,15 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         sizes[s] += len(t.split())
     goals = dict(zip(sorted(sizes), targets([sizes[s] for s in sorted(sizes)]), strict=True))
     want = Counter()
-    for s in sizes:  # copies by the running sum of expectations, one offset a source
-        offset = int(hashlib.md5(f"{mixing.SEED}|{s}".encode()).hexdigest()[:8], 16) / 2**32
+    for s in sizes:  # copies by the running sum of expectations, the best of some offsets a source
         rate = goals[s] / sizes[s]
-        for k, r in enumerate(sorted((len(t.split()), d) for d, t, _, own, _ in left if own == s)):
-            want[r[1]] += math.floor(offset + (k + 1) * rate) - math.floor(offset + k * rate)
+        own = sorted((len(t.split()), d) for d, t, _, source, _ in left if source == s)
+        draws = []
+        for i in range(mixing.DRAWS):
+            offset = int(hashlib.md5(f"{mixing.SEED}|{i}|{s}".encode()).hexdigest()[:8], 16) / 2**32
+            copies = [math.floor(offset + (k + 1) * rate) - math.floor(offset + k * rate) for k in range(len(own))]
+            draws.append((abs(sum(n * c for (n, _), c in zip(own, copies, strict=True)) - goals[s]), i, copies))
+        want.update({d: c for (_, d), c in zip(own, min(draws)[2], strict=True)})
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     by = {r[0]: r[1] for r in left}
     assert Counter(r.doc_id for r in got) == +want
