@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -15,12 +16,19 @@ def keep_state_in_rocks(spark: SparkSession) -> None:
         spark.conf.set(name, ROCKS)
 
 
+#: Keys are dealt into so many groups, each with the state of its keys: what Python and Spark tell each other about state
+#: and timers is then told once for a group and not for each key. A stream keeps the number for its life.
+GROUPS = 96
+
+
 class InOrder(StatefulProcessor):
     """Holds rows until the watermark has passed them, then hands them on by (at, id).
 
-    Rows come with at (microseconds) and id and further columns. A subclass says in step() what a row does to the state
-    of its key and what it puts out, and in due() what falls due by itself before a moment. What a key puts out depends
-    on its rows alone, not on batches; rows behind the watermark are dropped by Spark.
+    Rows come with key, at (microseconds), id and further columns. A subclass says in step() what a row does to the
+    state of its key and what it puts out, and in due() what falls due by itself before a moment. What a key puts out
+    depends on its rows alone, not on batches nor on the keys of its group; rows behind the watermark are dropped by
+    Spark. The states of a group are read and written as one list whenever something of it is due: each message between
+    Python and Spark takes milliseconds, so their number must not grow with the keys.
     """
 
     fields = "at long, id long"
@@ -28,44 +36,61 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fields)
-        self.held = handle.getValueState("held", self.state)
+        self.waiting = handle.getListState("waiting", f"key long, {self.fields}")
+        self.moments = handle.getListState("moments", "key long, at long")
+        self.held = handle.getListState("held", f"key long, {self.state}")
 
     def handleInputRows(self, key, rows, timerValues):
+        names = ["key", *[f.split()[0] for f in self.fields.split(", ")]]
         for frame in rows:
-            names = [f.split()[0] for f in self.fields.split(", ")]
             held = list(frame[names].itertuples(index=False, name=None))
-            self.waiting.appendList([tuple(None if v != v else v for v in r) for r in held])
-            for at in {_millis(r[0]) for r in held}:
-                self.handle.registerTimer(at)
+            if held:
+                self.waiting.appendList([tuple(None if v != v else v for v in r) for r in held])
+                # One timer for all of them: it goes off for the first, and sets the next for what is left.
+                self.handle.registerTimer(_millis(min(r[1] for r in held)))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
         until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        rows = list(self.waiting.get())
-        ready = sorted((tuple(r) for r in rows if r[0] <= until), key=lambda r: r[:2])
-        state, out = (tuple(self.held.get()) if self.held.exists() else None), []
-        for row in ready:
-            state, early = self.due(state, row[0])
-            state, now = self.step(state, row)
-            out += early + now
-        state, late = self.due(state, until)
-        out += late
-        left = [tuple(r) for r in rows if r[0] > until]
+        ready, left = {}, []
+        for r in map(tuple, self.waiting.get()):
+            if r[1] <= until:
+                ready.setdefault(r[0], []).append(r[1:])
+            else:
+                left.append(r)
+        before = dict(map(tuple, self.moments.get()))
+        states = {r[0]: tuple(r[1:]) for r in map(tuple, self.held.get())}
+        moments, out = dict(before), []
+        for k in sorted({*ready, *(k for k, at in before.items() if at <= until)}):
+            state, made = states.pop(k, None), []
+            for row in sorted(ready.get(k, ()), key=lambda r: r[:2]):
+                state, early = self.due(state, row[0])
+                state, now = self.step(state, row)
+                made += early + now
+            state, late = self.due(state, until)
+            out += [(k, *r) for r in made + late]
+            if state is not None:
+                states[k] = state
+            moments.pop(k, None)
+            if state is not None and (then := self.next_due(state)) is not None:
+                moments[k] = then
         if ready:
-            self.waiting.clear()
-            if left:
-                self.waiting.put(left)
-        if state is None:
-            self.held.clear()
-        else:
-            self.held.update(state)
-            if (then := self.next_due(state)) is not None:
-                self.handle.registerTimer(_millis(then))
+            self._replace(self.waiting, left)
+        self._replace(self.held, [(k, *s) for k, s in states.items()])
+        if moments != before:
+            self._replace(self.moments, list(moments.items()))
+        if next_ := [r[1] for r in left] + list(moments.values()):
+            self.handle.registerTimer(_millis(min(next_)))
         if out:
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
+            yield pd.DataFrame(out, columns=self.columns)
+
+    @staticmethod
+    def _replace(kept, rows: list) -> None:
+        kept.clear()
+        if rows:
+            kept.put(rows)
 
     def step(self, state, row):
         raise NotImplementedError
@@ -89,4 +114,5 @@ def apply(rows: DataFrame, processor: InOrder, schema: str) -> DataFrame:
     """rows: key, the processor's fields, and a timestamp with a watermark."""
     keep_state_in_rocks(rows.sparkSession)
     processor.columns = [c.split()[0] for c in schema.split(", ")]
-    return rows.groupBy("key").transformWithStateInPandas(processor, schema, "append", "EventTime")
+    grouped = rows.withColumn("_group", F.pmod(F.hash("key"), F.lit(GROUPS))).groupBy("_group")
+    return grouped.transformWithStateInPandas(processor, schema, "append", "EventTime")

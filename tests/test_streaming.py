@@ -44,3 +44,51 @@ def test_audit_feed_and_versions(spark, tmp_path):
     assert {(r.event_type, r.n) for r in spark.table("feed").collect()} == {("login", 12), ("export", 1)}
     m = spark.createDataFrame([("a", None), ("b", "v1"), ("c", "v2")], "id string, fingerprint string")
     assert {r.id for r in analyze.same_version(m, "v1").collect()} == {"a", "b"}
+
+
+def test_messages_about_state_do_not_grow_with_the_keys():
+    """A group of keys is handled by as many calls on its state and timers, however many keys it has."""
+    import pandas as pd
+
+    calls = []
+
+    class Kept(list):
+        def get(self):
+            calls.append("get")
+            return iter(list(self))
+
+        def put(self, rows):
+            calls.append("put")
+            self[:] = rows
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.extend(rows)
+
+        def clear(self):
+            calls.append("clear")
+            del self[:]
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Kept()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    counts = []
+    for n in (3, 300):
+        admit = rate_limit.Admit(most=1, seconds=10)
+        admit.columns = ["key", "id", "at", "admitted"]
+        admit.init(Handle())
+        del calls[:]
+        rows = pd.DataFrame([(k, s * 1_000_000, k * 10 + s) for k in range(n) for s in (2, 1)], columns=["key", "at", "id"])
+        assert list(admit.handleInputRows((0,), iter([rows]), None)) == []
+        (out,) = admit.handleExpiredTimer((0,), At(5000), At(5000))
+        assert sorted(out.itertuples(index=False, name=None)) == [(k, k * 10 + s, float(s), s == 1) for k in range(n) for s in (1, 2)]
+        counts.append(len(calls))
+    assert counts[0] == counts[1] < 20
