@@ -24,7 +24,7 @@ def packed(documents: DataFrame) -> DataFrame:
         w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
         said = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
         for batch in batches:
-            out = []
+            out, size = [], 0
             for doc, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True):
                 cells = "".join(f"<w:tc>{said(t)}</w:tc>" for t in (str(doc), lang or ""))
                 body = "".join(map(said, (text or "").split("\n"))) + f"<w:tbl><w:tr>{cells}</w:tr></w:tbl>"
@@ -32,6 +32,10 @@ def packed(documents: DataFrame) -> DataFrame:
                 with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
                 out.append((f"{doc}.docx", held.getvalue()[: 40 if doc % 9 == 1 else None]))
+                size += len(out[-1][1])
+                if size >= uploads.PIECE:
+                    yield pd.DataFrame(out, columns=["name", "content"])
+                    out, size = [], 0
             yield pd.DataFrame(out, columns=["name", "content"])
 
     return documents.select("doc_id", "text", "lang").mapInPandas(pack, "name string, content binary")

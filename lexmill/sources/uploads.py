@@ -15,6 +15,8 @@ DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 MAX_BYTES = 100 * 1024 * 1024
 #: What a container that is broken, encrypted or packed in an unknown way raises when it is opened.
 UNREADABLE = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, ValueError, OSError)
+#: A task hands on segments whenever it holds so many characters of them, or so many rows.
+PIECE, PIECE_ROWS = 4_000_000, 20_000
 SEGMENT = "ordinal int, content string, original_content string, source_type string, page_number int, style string, start_offset long, end_offset long, error string"
 
 
@@ -80,9 +82,13 @@ def docx_segments(files: DataFrame, key: str, content: str = "content") -> DataF
         def text_of(p) -> str:
             return "".join({f"{w}t": n.text or "", f"{w}tab": "\t", f"{w}br": "\n", f"{w}cr": "\n"}.get(n.tag, "") for n in p.iter())
 
+        columns = [key, "ordinal", "content", "original_content", "source_type", "page_number", "style", "start_offset", "end_offset", "error"]
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for name, raw in zip(batch[key], batch[content], strict=True):
+                if size >= PIECE or len(rows) >= PIECE_ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z:
                         body = ET.fromstring(z.read("word/document.xml")).find(f"{w}body")
@@ -106,7 +112,8 @@ def docx_segments(files: DataFrame, key: str, content: str = "content") -> DataF
                         rows.append((name, n, t, t, "TABLE", None, None, at, at + len(t), None))
                         n += 1
                     at += len(t) + 1
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "content", "original_content", "source_type", "page_number", "style", "start_offset", "end_offset", "error"])
+                size += at
+            yield pd.DataFrame(rows, columns=columns)
 
     raw = files.select(key, content).mapInPandas(parse, f"`{key}` {kind}, {SEGMENT}")
     # Cells of a table stay apart: tabs between them are part of its text.
