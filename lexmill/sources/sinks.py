@@ -72,12 +72,10 @@ def publish_analysis(findings: DataFrame, evaluations: DataFrame, path: str, run
     stored are refused, also where that run is published at the same time.
     """
 
-    def check(staged: dict[str, DataFrame]) -> None:
+    def check(staged: dict[str, DataFrame]) -> set[str]:
         f, e = staged["findings"], staged["evaluations"]
-        require_empty(
-            finding_without_evaluation=inv.without_evaluation(f, e, "finding_id"), duplicate_finding=inv.duplicates(f, ["finding_id"]),
-            evaluation_without_finding=inv.dangling(e, "finding_id", f, "finding_id"), evidence=inv.lacking_evidence(e), outcome=inv.nulls(e, "rule_outcome"),
-        )
+        require_empty(**inv.unpaired(f, e, "finding_id"), evidence=inv.lacking_evidence(e), outcome=inv.nulls(e, "rule_outcome"))
+        return {"findings"}
 
     named = {"findings": findings.withColumn("run", F.lit(run)), "evaluations": evaluations.withColumn("run", F.lit(run))}
     try:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import access, evaluate, extract, invariants, mapping, report, rollup, segment, workflow
 from lexmill.plans import analysis, fixtures
+from lexmill.plans.catalogue import QUERIES
 from lexmill.sources import sinks, uploads
 
 
@@ -230,6 +231,18 @@ def test_analysis_of_contracts(spark, tmp_path):
         sinks.publish_analysis(findings, evaluations.limit(0), f"{tmp_path}/b", "1")
 
 
+def test_findings_and_evaluations_meet_once(spark, monkeypatch):
+    findings = lambda *ids: spark.createDataFrame([(i,) for i in ids], "k string")
+    for f, e in ((("a", "b"), ("a", "b", "b")), (("a", "a"), ("a",)), (("a", None), ("a", None)), ((), (None, "x")), (("a",), ()), ((None, None), ("y", "y"))):
+        got, (f, e) = invariants.unpaired(findings(*f), findings(*e), "k"), (findings(*f), findings(*e))
+        one = {"finding_without_evaluation": invariants.without_evaluation(f, e, "k"), "duplicate_finding": invariants.duplicates(f, ["k"]), "evaluation_without_finding": invariants.dangling(e, "k", f, "k")}
+        assert {n: df.isEmpty() for n, df in got.items()} == {n: df.isEmpty() for n, df in one.items()}
+    read = []
+    monkeypatch.setattr(sinks, "publish_analysis", lambda f, e, path, run, own=sinks.publish_analysis: read.extend(f.inputFiles() + e.inputFiles()) or own(f, e, path, run))
+    assert QUERIES["published_findings"](spark, "/root/testdata/sf0.001").count() > 0
+    assert read and not any("lineitem" in f for f in read)  # joined once for all runs
+
+
 def test_one_requirement_never_stops_another(spark):
     rules = lambda code: mapping.Rules(code=code, confirm_threshold=5, exact_phrases=("liability",))
     snapshot = [
