@@ -68,3 +68,11 @@ def difference(expected: DataFrame, actual: DataFrame, keys: list[str], values:
     rows = e.join(a, on, "full_outer")
     verdict = F.when(F.col("e").isNull(), "unexpected").when(F.col("a").isNull(), "absent").when(F.col("e").eqNullSafe(F.col("a")), "same").otherwise("changed")
     return rows.select(*[F.coalesce(f"e_{k}", f"a_{k}").alias(k) for k in keys], verdict.alias("verdict"))
+
+
+def difference_of(rows: DataFrame, side: str, keys: list[str], values: list[str]) -> DataFrame:
+    """As difference(), of rows whose side is "expected" or "actual" and that each have a key once: one aggregate, no join."""
+    of = lambda s, name: F.max(F.when(F.col(side) == s, F.struct(*values))).alias(name)
+    per = rows.groupBy(*keys).agg(of("expected", "e"), of("actual", "a"))
+    verdict = F.when(F.col("e").isNull(), "unexpected").when(F.col("a").isNull(), "absent").when(F.col("e").eqNullSafe(F.col("a")), "same").otherwise("changed")
+    return per.select(*keys, verdict.alias("verdict"))

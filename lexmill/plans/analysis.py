@@ -63,12 +63,12 @@ def refusals(clauses: DataFrame, snapshot: Sequence[Requirement]) -> DataFrame:
     return per.select("review_id", workflow.analysis_refusal(F.col("n"), F.col("declared"), F.lit(untyped)).alias("refusal")).filter("refusal is not null")
 
 
-def numeric_evaluations(states: DataFrame, clauses: DataFrame, terms: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """Evaluations of all numeric requirements at once, whatever their number: each confirmed clause is fetched for the
-    requirements that it confirms, and read by the terminology of that requirement, which is a row.
+def stated(states: DataFrame, clauses: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """states with what their confirmed clauses say: facts_status and caps. Each clause is fetched for the requirements that
+    it confirms, and read by the terminology of that requirement, which is a row.
 
-    Settings travel with their states, so that nothing is joined back: clauses are fetched by one join, and what they say
-    comes together in one aggregate on (review, requirement), which all that follows keeps to.
+    What clauses say comes together in one aggregate on (review, requirement), which all that follows keeps to. Standards
+    may be joined after it, so that clauses are read once for however many of them.
     """
     carried = [c for c in states.columns if c not in keys]
     confirmed = F.when(F.col("mapping_state") == "CONFIRMED", F.col("evidence"))
@@ -83,7 +83,13 @@ def numeric_evaluations(states: DataFrame, clauses: DataFrame, terms: DataFrame,
         F.when(F.col("clauses") == 0, F.lit(None)).when(~F.col("usable"), "FAILED").when((n == 0) & (F.col("blank") == F.col("clauses")), "FAILED")
         .when((n > 0) & (F.col("blank") > 0), "PARTIAL").otherwise("COMPLETE")
     )
-    return evaluate.judged(per.select(*keys, "s.*", facts.alias("facts_status"), "caps"), keys, carry)
+    return per.select(*keys, "s.*", facts.alias("facts_status"), "caps")
+
+
+def numeric_evaluations(states: DataFrame, clauses: DataFrame, terms: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+    """Evaluations of all numeric requirements at once, whatever their number. Settings travel with their states, so that
+    nothing is joined back."""
+    return evaluate.judged(stated(states, clauses, terms, keys), keys, carry)
 
 
 def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[str, DataFrame]:

@@ -243,6 +243,15 @@ def test_a_body_is_normalized_once_for_all_tests(spark):
     assert plan.count("coalesce(content") == 1
 
 
+def test_both_standards_are_held_against_one_reading(spark):
+    rows = spark.createDataFrame([("expected", "k", "x"), ("actual", "k", "x"), ("expected", None, "x"), ("actual", None, None), ("expected", "a", None), ("actual", "b", "x")], "side string, key string, v string")
+    one = report.difference(rows.filter("side = 'expected'"), rows.filter("side = 'actual'"), ["key"], ["v"])
+    got = report.difference_of(rows, "side", ["key"], ["v"])
+    assert set(got.collect()) == set(one.collect()) and got.count() == 4
+    plan = QUERIES["contract_change_impact"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # line items for states and for clauses, not again for the other standards
+
+
 def test_findings_and_evaluations_meet_once(spark, monkeypatch):
     findings = lambda *ids: spark.createDataFrame([(i,) for i in ids], "k string")
     for f, e in ((("a", "b"), ("a", "b", "b")), (("a", "a"), ("a",)), (("a", None), ("a", None)), ((), (None, "x")), (("a",), ()), ((None, None), ("y", "y"))):
