@@ -94,26 +94,39 @@ def evaluate_numeric(subjects: DataFrame, caps: DataFrame, keys: list[str], carr
     return judged(subjects.join(own, keys, "left"), keys, carry)
 
 
+def _scopes(caps: Column) -> Column:
+    """array with a struct for each kind, scope and label of an array of caps: whether it states several positions, one of
+    them, and the evidence by id."""
+    scope = lambda c: F.struct(c["kind"].alias("kind"), c["scope"].alias("scope"), F.coalesce(c["scope_label"], F.lit("")).alias("label"))
+    position = lambda c: F.struct(*[c[n].alias(n) for n in ("status", "value", "unit", "basis")])
+
+    def summed(of: Column, own: Column) -> Column:
+        ends = F.array(F.struct(F.array_min(F.transform(own, position)).alias("first"), F.array_max(F.transform(own, position)).alias("last")))
+        label = F.get(F.array_compact(F.transform(own, lambda c: c["scope_label"])), 0)
+        evidence = F.sort_array(F.array_distinct(F.array_compact(F.transform(own, lambda c: c["evidence_id"]))))
+        one = lambda e: F.struct(of["kind"].alias("kind"), of["scope"].alias("scope"), label.alias("scope_label"), (~e["first"].eqNullSafe(e["last"])).alias("several"), e["first"].alias("p"), evidence.alias("evidence"))
+        return F.get(F.transform(ends, one), 0)
+
+    met = F.transform(F.array_distinct(F.transform(caps, scope)), lambda k: F.struct(k.alias("k"), F.filter(caps, lambda c: scope(c).eqNullSafe(k)).alias("own")))
+    return F.transform(met, lambda m: summed(m["k"], m["own"]))
+
+
 def judged(rows: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
     """As evaluate_numeric, of subjects that have their caps with them: caps, an array of caps with evidence_id, null or
     empty for none.
 
-    Rows that are partitioned by their keys stay where they are: caps of one scope meet where their subject is.
+    Rows stay where they are: caps of one scope meet within their subject's row.
     """
     carry = carry or []
-    own = F.struct(*STANDARD_COLUMNS, *RULE_COLUMNS, "candidates", *carry, F.coalesce((F.col("facts_status") != "FAILED"), F.lit(False)).alias("readable"))
-    each = rows.select(*keys, own.alias("s"), "caps").select(*keys, "s", F.explode_outer(F.when(F.col("s.readable"), F.col("caps"))).alias("cap"))
-    position = F.when(F.col("cap").isNotNull(), F.struct("cap.status", "cap.value", "cap.unit", "cap.basis"))
-    per = each.groupBy(*keys, F.col("cap.kind").alias("kind"), F.col("cap.scope").alias("scope"), F.coalesce("cap.scope_label", F.lit("")).alias("__label")).agg(
-        F.first("s").alias("s"), F.collect_set(position).alias("__positions"), F.first("cap.scope_label", ignorenulls=True).alias("scope_label"), F.sort_array(F.collect_set("cap.evidence_id")).alias("evidence")
-    )
-    flat = per.select(*keys, "kind", "scope", "scope_label", F.size("__positions").alias("positions"), "evidence", F.get("__positions", F.lit(0)).alias("p"), "s").select(*keys, "kind", "scope", "scope_label", "positions", "evidence", "p.*", "s.*")
+    readable = F.coalesce((F.col("facts_status") != "FAILED"), F.lit(False))
+    each = rows.select(*keys, *STANDARD_COLUMNS, *RULE_COLUMNS, "candidates", *carry, readable.alias("readable"), F.explode_outer(F.when(readable, _scopes(F.col("caps")))).alias("cap"))
+    flat = each.select(*[c for c in each.columns if c != "cap"], *[F.col(f"cap.{n}").alias(n) for n in ("kind", "scope", "scope_label", "several", "evidence")], "cap.p.*")
     rung = lambda name: F.struct(F.lit(name).alias("classification"), F.lit(NA).alias("rule_outcome"))
     none = F.array().cast("array<string>")
-    result = F.when(~F.col("readable"), rung("UNABLE_TO_EVALUATE")).when(F.col("kind").isNull(), rung("MISSING")).when(F.col("positions") > 1, rung("CONFLICT")).otherwise(ladder())
+    result = F.when(~F.col("readable"), rung("UNABLE_TO_EVALUATE")).when(F.col("kind").isNull(), rung("MISSING")).when(F.col("several"), rung("CONFLICT")).otherwise(ladder())
     out = flat.withColumn("r", result).select(
         *keys, F.coalesce("kind", F.lit("PRIMARY")).alias("evaluation_kind"), F.coalesce("scope", F.nullif("std_scope", F.lit("")), F.lit("UNKNOWN")).alias("scope_key"), "scope_label", "r.classification", "r.rule_outcome",
-        F.when(~F.col("readable"), F.coalesce("candidates", none)).otherwise(F.col("evidence")).alias("evidence"), F.when(F.col("positions") > 1, "CONFLICTING").otherwise("PRIMARY").alias("relation"), *carry,
+        F.coalesce(F.when(F.col("readable"), F.col("evidence")).otherwise(F.col("candidates")), none).alias("evidence"), F.when(F.col("several"), "CONFLICTING").otherwise("PRIMARY").alias("relation"), *carry,
     )
     return stamp(out, "NUMERIC_COMPARISON")
 

@@ -75,11 +75,12 @@ class Rules:
         return reduce(Column.__add__, [F.when(test, w[kind]).otherwise(0) for kind, _, test in self.tests(*clause)], F.lit(0))
 
 
-def score(clauses: DataFrame, rules: Sequence[Rules], content: str = "content", heading: str | None = None, signals: bool = True, only: Sequence[Column] | None = None) -> DataFrame:
+def score(clauses: DataFrame, rules: Sequence[Rules], content: str = "content", heading: str | None = None, signals: bool = True, only: Sequence[Column] | None = None, keep: str | None = None) -> DataFrame:
     """clauses with one row for each rule set: requirement, threshold, score and, if wanted, signals.
 
     Each clause is normalized and split into words once and meets all rule sets in its own row: the cross product needs
     no join. only, a condition for each rule set, leaves out clauses that it does not concern before they are tested.
+    keep names a column for the normalized content.
     """
     names, taken = clauses.columns, {"body": "__body", "words": "__words", "heading": "__heading", "heading_words": "__heading_words"}
     body = clauses.withColumn("__body", normalize(F.col(content))).withColumn("__heading", normalize(F.col(heading)) if heading else F.lit(""))
@@ -90,7 +91,9 @@ def score(clauses: DataFrame, rules: Sequence[Rules], content: str = "content",
         made = r.signals(*clause).alias("signals") if signals else r.total(*clause).alias("score")
         row = F.struct(F.lit(r.code).alias("requirement"), F.lit(r.confirm_threshold).alias("threshold"), made)
         per.append(F.when(only[i], row) if only else row)
-    rows = body.select(*names, F.explode(F.array_compact(F.array(*per)) if only else F.array(*per)).alias("__r")).select(*names, "__r.*")
+    kept = [F.col("__body").alias(keep)] if keep else []
+    names = [*names, keep] if keep else names
+    rows = body.select(*clauses.columns, *kept, F.explode(F.array_compact(F.array(*per)) if only else F.array(*per)).alias("__r")).select(*names, "__r.*")
     return rows.withColumn("score", F.aggregate("signals", F.lit(0), lambda a, s: a + s["delta"])) if signals else rows
 
 
@@ -99,8 +102,8 @@ def explanation(signals: Column) -> Column:
     return F.transform(signals, lambda s: F.format_string("%s: '%s' (%+d)", s["kind"], s["matched"], s["delta"]))
 
 
-def state(scored: DataFrame, document: list[str], clause: Column) -> DataFrame:
-    """One row per document and requirement: its state, counts, best score and evidence.
+def state(scored: DataFrame, document: list[str], clause: Column, *more: Column) -> DataFrame:
+    """One row per document and requirement: its state, counts, best score, evidence, and more aggregates.
 
     Some clause at the threshold confirms, and all such clauses stay as evidence; else any positive score leaves it
     unresolved with the positive clauses; else there is none. Evidence is ordered by score, then clause id.
@@ -110,7 +113,7 @@ def state(scored: DataFrame, document: list[str], clause: Column) -> DataFrame:
     per = rows.groupBy(*document, "requirement", "threshold").agg(
         F.count("*").alias("clauses"), F.max("score").alias("best"),
         F.count_if(F.col("score") >= F.col("threshold")).alias("qualifying"), F.count_if(F.col("score") > 0).alias("positive"),
-        F.sort_array(F.collect_list(F.when((F.col("score") > 0) | (F.col("score") >= F.col("threshold")), ranked))).alias("__kept"),
+        F.sort_array(F.collect_list(F.when((F.col("score") > 0) | (F.col("score") >= F.col("threshold")), ranked))).alias("__kept"), *more,
     )
     found = F.when(F.col("qualifying") > 0, "CONFIRMED").when(F.col("positive") > 0, "UNRESOLVED").otherwise("NONE")
     kept = F.filter("__kept", lambda e: F.when(F.col("qualifying") > 0, -e["rank"] >= F.col("threshold")).otherwise(-e["rank"] > 0))

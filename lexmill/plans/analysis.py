@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lexmill.functions.text import normalize
 from lexmill.operators import evaluate, extract, mapping, rollup, workflow
@@ -63,33 +62,42 @@ def refusals(clauses: DataFrame, snapshot: Sequence[Requirement]) -> DataFrame:
     return per.select("review_id", workflow.analysis_refusal(F.col("n"), F.col("declared"), F.lit(untyped)).alias("refusal")).filter("refusal is not null")
 
 
+def reading(body: Column, said: Column, terms: Column, evidence: Column) -> list[Column]:
+    """What one clause says, as columns that told() sums up: usable, blank, caps. said: whether the clause is one of those
+    asked; blank and caps are null where it is not."""
+    caps = F.transform(extract.caps_by(body, terms), lambda c: F.struct(*[c[n].alias(n) for n in evaluate.CAP_COLUMNS], evidence.alias("evidence_id")))
+    return [F.coalesce(terms["usable"], F.lit(False)).alias("usable"), F.when(said, body == "").alias("blank"), F.when(said, caps).alias("caps")]
+
+
+def told() -> list[Column]:
+    """Aggregates of the columns of reading()."""
+    return [F.bool_or("usable").alias("usable"), F.count("blank").alias("read"), F.count_if("blank").alias("blank"), F.flatten(F.collect_list("caps")).alias("caps")]
+
+
+def facts(rows: DataFrame) -> DataFrame:
+    """rows with facts_status and caps instead of the aggregates of told()."""
+    n = F.size("caps")
+    status = (
+        F.when(F.col("read") == 0, F.lit(None)).when(~F.col("usable"), "FAILED").when((n == 0) & (F.col("blank") == F.col("read")), "FAILED")
+        .when((n > 0) & (F.col("blank") > 0), "PARTIAL").otherwise("COMPLETE")
+    )
+    return rows.withColumn("facts_status", status).drop("usable", "read", "blank")
+
+
 def stated(states: DataFrame, clauses: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """states with what their confirmed clauses say: facts_status and caps. Each clause is fetched for the requirements that
-    it confirms, and read by the terminology of that requirement, which is a row.
+    """states with what their confirmed clauses say: facts_status and caps, for states that come without their clauses. Each
+    clause is fetched for the requirements that it confirms, and read by the terminology of that requirement, which is a
+    row and does not travel to the clause.
 
     What clauses say comes together in one aggregate on (review, requirement), which all that follows keeps to. Standards
     may be joined after it, so that clauses are read once for however many of them.
     """
     carried = [c for c in states.columns if c not in keys]
     confirmed = F.when(F.col("mapping_state") == "CONFIRMED", F.col("evidence"))
-    own = states.select(*keys, F.struct(*carried).alias("s"), F.explode_outer(confirmed).alias("evidence_id")).join(F.broadcast(terms), "requirement", "left")
-    read = own.join(clauses.select("review_id", "evidence_id", "content"), ["review_id", "evidence_id"], "left")
-    body, here = normalize(F.col("content")), F.col("content").isNotNull()
-    said = F.transform(extract.caps_by(body, F.col("terms")), lambda c: F.struct(*[c[n].alias(n) for n in evaluate.CAP_COLUMNS], F.col("evidence_id").alias("evidence_id")))
-    found = read.select(*keys, "s", F.coalesce("terms.usable", F.lit(False)).alias("usable"), here.alias("here"), (here & (body == "")).alias("blank"), F.when(here, said).alias("caps"))
-    per = found.groupBy(*keys).agg(F.first("s").alias("s"), F.first("usable").alias("usable"), F.count_if("here").alias("clauses"), F.count_if("blank").alias("blank"), F.flatten(F.collect_list("caps")).alias("caps"))
-    n = F.size("caps")
-    facts = (
-        F.when(F.col("clauses") == 0, F.lit(None)).when(~F.col("usable"), "FAILED").when((n == 0) & (F.col("blank") == F.col("clauses")), "FAILED")
-        .when((n > 0) & (F.col("blank") > 0), "PARTIAL").otherwise("COMPLETE")
-    )
-    return per.select(*keys, "s.*", facts.alias("facts_status"), "caps")
-
-
-def numeric_evaluations(states: DataFrame, clauses: DataFrame, terms: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """Evaluations of all numeric requirements at once, whatever their number. Settings travel with their states, so that
-    nothing is joined back."""
-    return evaluate.judged(stated(states, clauses, terms, keys), keys, carry)
+    own = states.select(*keys, F.struct(*carried).alias("s"), F.explode_outer(confirmed).alias("evidence_id"))
+    read = own.join(clauses.select("review_id", "evidence_id", "content"), ["review_id", "evidence_id"], "left").withColumn("body", normalize(F.col("content"))).join(F.broadcast(terms), "requirement", "left")
+    found = read.select(*keys, "s", *reading(F.col("body"), F.col("content").isNotNull(), F.col("terms"), F.col("evidence_id")))
+    return facts(found.groupBy(*keys).agg(F.first("s").alias("s"), *told()).select(*keys, "s.*", "usable", "read", "blank", "caps"))
 
 
 def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[str, DataFrame]:
@@ -108,9 +116,13 @@ def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[st
     # What refusals() names has no clause of a declared type, or the snapshot stops all. Only clauses of the
     # requirement's kind of document are tested.
     admitted = clauses.filter(F.col("document_type").isNotNull() & F.col("content").isNotNull() & F.lit(all(r.document_type for r in snapshot)))
-    scored = mapping.score(admitted, [r.rules for r in snapshot], "content", "section_title", signals=False, only=[F.col("document_type") == r.document_type for r in snapshot])
-    states = mapping.state(scored, ["review_id"], F.col("evidence_id")).join(table, "requirement")
-    states = states.withColumn("mapping_state", F.col("state")).withColumn("candidates", F.col("evidence"))
+    scored = mapping.score(admitted, [r.rules for r in snapshot], "content", "section_title", signals=False, only=[F.col("document_type") == r.document_type for r in snapshot], keep="body")
+
+    def states_of(rows: DataFrame, *more: Column) -> DataFrame:
+        own = mapping.state(rows, ["review_id"], F.col("evidence_id"), *more).join(table, "requirement")
+        return own.withColumn("mapping_state", F.col("state")).withColumn("candidates", F.col("evidence"))
+
+    states = states_of(scored)
     carry = ["mapping_state", "required"]
     present = states.filter(F.col("requirement").isin([r.code for r in snapshot if r.evaluator_type == "PRESENCE"]))
     found = evaluate.REGISTRY["PRESENCE"](present, keys, carry)
@@ -120,11 +132,14 @@ def run_analysis(clauses: DataFrame, snapshot: Sequence[Requirement]) -> dict[st
     if odd := [r.code for r in snapshot if r.evaluator_type not in known]:
         failures = failures.unionByName(states.filter(F.col("requirement").isin(odd)).select(*keys, F.lit("unknown evaluator_type").alias("failure")))
     if numeric := [r for r in snapshot if r.evaluator_type == "NUMERIC_COMPARISON"]:
-        own = states.filter(F.col("requirement").isin([r.code for r in numeric]))
-        rows = numeric_evaluations(own, clauses, extract.term_rows(spark, {r.code: r.terms for r in numeric}), keys, carry)
-        # A requirement with an evaluation that lacks its evidence leaves none; its rows lie together already.
-        lacks = evaluate.evidence_violation(F.col("classification"), F.col("evidence"))
-        rows = rows.withColumn("bad", F.bool_or(lacks).over(W.partitionBy(*keys)))
+        # A clause at the threshold confirms its requirement and is its evidence, so it is read where it was scored.
+        terms = F.broadcast(extract.term_rows(spark, {r.code: r.terms for r in numeric}))
+        confirms = (F.col("score") >= F.col("threshold")) & F.col("review_id").isNotNull() & F.col("evidence_id").isNotNull()
+        asked = scored.join(terms, "requirement")
+        rows = states_of(asked.select("review_id", "requirement", "threshold", "score", "evidence_id", *reading(F.col("body"), confirms, F.col("terms"), F.col("evidence_id").cast("string"))), *told())
+        # A requirement with an evaluation that lacks its evidence leaves none. What was read names its clauses, so only a
+        # subject that could not be read lacks any, and that has one row.
+        rows = evaluate.judged(facts(rows), keys, carry).withColumn("bad", evaluate.evidence_violation(F.col("classification"), F.col("evidence")))
         failures = failures.unionByName(rows.filter("bad").select(*keys, F.lit("evaluation without evidence").alias("failure")).distinct())
         found = found.unionByName(rows.filter("not bad").drop("bad"))
     evaluations = found.withColumn("requires", rollup.requires_decision(F.col("classification"), F.col("rule_outcome"), F.col("required"), F.lit(False)))
