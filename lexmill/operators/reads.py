@@ -55,6 +55,13 @@ def finding_requirements(findings: DataFrame, versions: DataFrame, requirements:
     return findings.join(named, "requirement_version_id", "left")
 
 
+def told_apart(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct rows, each in the partition of its key, so that what follows by that key moves nothing again. Copies
+    meet before the shuffle."""
+    own = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.collect_set(own).alias("__rows")).select(key, F.explode("__rows").alias("__row")).select(key, "__row.*")
+
+
 def finding_evidence(links: DataFrame, evidence: DataFrame) -> DataFrame:
     """(finding_id, evidence): the linked evidence with its relation, in order of page (none last) and offset."""
     rows = links.join(evidence, "evidence_id")

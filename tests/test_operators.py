@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import normalize
-from lexmill.operators import access, evaluate, extract, invariants, mapping, report, rollup, segment, workflow
+from lexmill.operators import access, evaluate, extract, invariants, mapping, reads, report, rollup, segment, workflow
 from lexmill.plans import analysis, fixtures
 from lexmill.plans.catalogue import QUERIES
 from lexmill.sources import sinks, uploads
@@ -257,6 +257,14 @@ def test_clauses_are_read_where_they_are_scored(spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
 
+def test_parts_of_findings_are_told_apart_in_one_shuffle(spark):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 1, None), ("a", 2, "x"), (None, 1, "x"), (None, 1, "x")], "k string, n int, t string")
+    assert sorted(map(str, reads.told_apart(rows, "k").collect())) == sorted(map(str, rows.distinct().collect()))
+    plan = QUERIES["findings_nested"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # Findings, evaluations, links and evidence, each once, and the linked evidence by finding.
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 5
+
+
 def test_both_standards_are_held_against_one_reading(spark):
     rows = spark.createDataFrame([("expected", "k", "x"), ("actual", "k", "x"), ("expected", None, "x"), ("actual", None, None), ("expected", "a", None), ("actual", "b", "x")], "side string, key string, v string")
     one = report.difference(rows.filter("side = 'expected'"), rows.filter("side = 'actual'"), ["key"], ["v"])
