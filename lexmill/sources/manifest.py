@@ -135,20 +135,22 @@ class Store:
         if (done := self.version_of(run)) is not None:
             return done
         unique, mark = unique or {}, uuid.uuid4().hex[:16]
-        staged = {}
+        staged, held = {}, 0
+        early = stored == "skip" and bool(options) and set(tables) <= set(unique)
+        if early:
+            held = self.last()
         try:
             for name, rows in tables.items():
-                if stored == "skip" and name in unique:
+                if early:  # what is looked up by its key lies in the order of its key
+                    rows = self._lacked(name, rows, unique[name], held)
+                elif stored == "skip" and name in unique:
                     rows = rows.dropDuplicates(unique[name])
-                    if options:  # what is looked up by its key lies in the order of its key
-                        rows = rows.repartitionByRange(*unique[name]).sortWithinPartitions(*unique[name])
                 staged[name] = {"folder": self._folder(name, mark)}
                 staged[name] = self._stage(staged[name]["folder"], rows, unique.get(name, []), options)
             sure = (check({n: self._staged(s) for n, s in staged.items()}) if check else None) or set()
             for name, keys in unique.items():
                 if name in staged and name not in sure and stored != "skip" and not self._staged(staged[name]).groupBy(*keys).count().filter("count > 1").isEmpty():
                     raise InvariantBroken(f"{name}: rows of one key")
-            held = 0
             for _ in range(tries):
                 last = self.last()
                 if (done := self.version_of(run)) is not None:
@@ -201,24 +203,54 @@ class Store:
             on = on & s
         return r.join(g, on, "left_anti")
 
+    def _lacked(self, name: str, rows: DataFrame, keys: list[str], upto: int) -> DataFrame:
+        """The rows whose keys the commits up to upto lack, each key once, in the order of their keys.
+
+        Keys alone tell first what is stored. Rows then go through one shuffle, by ranges of keys, in which keys that are
+        stored meet them; rows of an upload without a new key go through none.
+        """
+        had = None
+        if self.folders(name, 0, upto):
+            mine, k = rows.select(*keys).distinct(), F.col(f"`{keys[0]}`")
+            own = mine.agg(F.count("*").alias("n"), F.min(k).alias("least"), F.max(k).alias("most"), F.count_if(k.isNull()).alias("nulls")).first()
+            ends = [_plain(own["least"]), _plain(own["most"])]
+            known = own["least"] is None or ends[0] is not None
+            had = self._held({"ranges": {keys[0]: ends} if known else {}, "nulls": {keys[0]: own["nulls"]}}, name, mine, keys, 0, upto) if own["n"] else None
+            n = had.count() if had is not None else 0
+            if n == own["n"]:
+                return rows.limit(0)
+            had = had if n else None
+        others = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in keys])
+        met = rows.select(*keys, others.alias("__row"), F.lit(False).alias("__old"))
+        if had is not None:
+            met = met.unionByName(had.select(*keys, F.lit(True).alias("__old")), allowMissingColumns=True)
+        per = met.repartitionByRange(*keys).groupBy(*keys).agg(F.bool_or("__old").alias("__old"), F.first("__row", ignorenulls=True).alias("__row"))
+        return per.filter(~F.col("__old")).sortWithinPartitions(*keys).select(*keys, "__row.*").select(*rows.columns)
+
     def _clash(self, name: str, entry: dict, keys: list[str], since: int, upto: int) -> DataFrame | None:
         """The keys of a staged table that commits after since have stored, None if there are none."""
+        if upto <= since or not entry["rows"]:
+            return None
+        both = self._held(entry, name, self._staged(entry).select(*keys), keys, since, upto)
+        return None if both is None or both.isEmpty() else both
+
+    def _held(self, entry: dict, name: str, mine: DataFrame, keys: list[str], since: int, upto: int) -> DataFrame | None:
+        """Those of some keys that commits after since have stored, looked for where their ranges meet; None where none do."""
         ends = entry["ranges"].get(keys[0])
         within = (*ends, entry["nulls"].get(keys[0], 0) > 0) if ends else None
-        if upto <= since or not entry["rows"] or not self.folders(name, since, upto, keys[0], within):
+        if not self.folders(name, since, upto, keys[0], within):
             return None
         had = self.table(name, upto=upto, since=since, key=keys[0], within=within)
         if within and within[0] is not None:
             # Ranges reach the scan, so that row groups apart from them are not read.
             k = F.col(f"`{keys[0]}`")
             had = had.filter(k.between(F.lit(ends[0]), F.lit(ends[1])) | k.isNull())
-        mine, had = self._staged(entry).select(*keys), had.select(*keys)
+        had = had.select(*keys)
         m, h = mine.alias("m"), had.alias("h")
         on = F.lit(True)
         for k in keys:
             on = on & F.col(f"m.`{k}`").eqNullSafe(F.col(f"h.`{k}`"))
-        both = h.join(m, on, "left_semi")
-        return None if both.isEmpty() else both
+        return h.join(m, on, "left_semi")
 
     def sweep(self, tables: list[str], older: float = 86_400) -> list[str]:
         """Delete folders that no commit names and that are older than so many seconds; their names."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import append_only
 from lexmill.sources import sinks
+from lexmill.sources.manifest import Store
 
 
 def frame(spark, rows):
@@ -36,6 +37,23 @@ def test_only_branches_that_differ_are_descended(spark):
     assert len(root) == 1 and root[0].n == 20_000 and a.filter("level = 1").count() == append_only.FANOUT
 
 
+def test_stored_objects_are_not_written_again(spark, tmp_path, monkeypatch):
+    """Only objects that the store lacks are staged, each once, in the order of their keys."""
+    staged, stage = [], Store._stage
+    monkeypatch.setattr(Store, "_stage", lambda *a, **k: staged.append(stage(*a, **k)) or staged[-1])
+    files = spark.createDataFrame([(f"f{i % 2}.pdf", f"text {i % 40}".encode()) for i in range(100)], "name string, content binary")
+    path = f"file://{tmp_path}/o"
+    for part in (files.filter("name = 'f0.pdf'").limit(20), files, files, files.limit(0), files.limit(1)):
+        sinks.put_objects(part, path)
+    assert [s["rows"] for s in staged] == [20, 20, 0, 0, 0]
+    got = sinks.stored_objects(spark, path)
+    assert got.columns == ["name", "content", "storage_key"] and got.count() == 40
+    assert {(bytes(r.content), r.storage_key) for r in got.collect()} == {(bytes(r.content), r.storage_key) for r in files.withColumn("storage_key", sinks.object_key(F.col("content"), F.col("name"))).collect()}
+    for s in staged[:2]:
+        keys = [r.storage_key for r in spark.read.parquet(f"{path}/{s['folder']}").coalesce(1).collect()]
+        assert keys == sorted(set(keys))
+
+
 def test_objects_are_looked_up_by_key(spark, tmp_path, monkeypatch):
     files = spark.range(500).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".pdf")).alias("name"), F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("content"))
     path = f"file://{tmp_path}/o"
