@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.plans.registry import query, table
 from lexmill.sources.scratch import shared_folder
 from lexmill.streaming import jobs, rate_limit
+from lexmill.streaming.ordered import GROUPS
 
 _OUTCOME = "CASE event_type WHEN 'view' THEN 'SKEW' WHEN 'click' THEN 'ERROR' WHEN 'error' THEN 'ERROR' ELSE 'DONE' END"
 #: Users come back for days, jobs do not: a job is what a user does in six hours.
@@ -30,20 +31,26 @@ def reports(spark, d):
     return e.select(job.cast("long").alias("job"), "ts", "event_id", F.when(F.col("event_type") == "view", "SKEW").when(F.col("event_type").isin("click", "error"), "ERROR").otherwise("DONE").alias("outcome"))
 
 
-def streamed(spark, rows, at: str, make, name: str):
+def streamed(spark, rows, at: str, make, name: str, most: int | None = None):
     """make(stream) run over rows that are dealt out in files, and over one row long after them, which moves the watermark
-    past all of them; what it put out."""
+    past all of them; what it put out. most: parts of the state at most, each of which is opened in every batch."""
     path = shared_folder(spark, name)
     rows.repartitionByRange(4, at).write.parquet(f"{path}/in")
     end = rows.agg(F.max(at)).first()[0]
     if end is None:
         return make(rows)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
     odd = {c: F.lit(None).cast(k) for c, k in rows.dtypes}
 
     def run():
         stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
         made = make(stream)
-        made.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", min(int(parts), most or int(parts)))
+            going = made.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/out")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+        going.awaitTermination()
         return made.schema
 
     schema = run()
@@ -62,7 +69,7 @@ def job_retry_plan(spark, d):
 @query("job_retry_stream", f"WITH {_RETRIES}", ids="R3 R4")
 def job_retry_stream(spark, d):
     """The same rows, put out by timers on event time."""
-    out = streamed(spark, reports(spark, d), "ts", lambda s: jobs.retry_stream(s, "job", "ts", "event_id", F.col("outcome")), "retries")
+    out = streamed(spark, reports(spark, d), "ts", lambda s: jobs.retry_stream(s, "job", "ts", "event_id", F.col("outcome")), "retries", GROUPS // 2)
     return out.filter("key <> -1")
 
 
@@ -90,5 +97,5 @@ def jobs_lost_stream(spark, d):
 def rate_limit_stream(spark, d):
     """As rate_limit_sliding, on a stream; tests hold both against each other."""
     rows = events(spark, d).select("event_id", "user_id", "ts")
-    out = streamed(spark, rows, "ts", lambda s: rate_limit.limit_stream(s, "user_id", "ts", "event_id", most=3, seconds=86400.0 * 2), "limits")
+    out = streamed(spark, rows, "ts", lambda s: rate_limit.limit_stream(s, "user_id", "ts", "event_id", most=3, seconds=86400.0 * 2), "limits", GROUPS // 2)
     return out.filter("id <> -1")

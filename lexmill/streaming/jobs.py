@@ -19,7 +19,6 @@ class Retry(InOrder):
     """Sends a job again when its delay is over, unless another report of it came first; state: failures, due, over."""
 
     fields = "at long, id long, outcome string"
-    state = "failures int, due long, over boolean"
 
     def step(self, state, row):
         at, _, outcome = row

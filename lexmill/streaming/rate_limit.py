@@ -86,8 +86,6 @@ def limit(events: DataFrame, key: str, at: str, order: str, kind: str = "LOGIN",
 class Admit(InOrder):
     """Admits or refuses the requests of a key; state: when those within the window were admitted."""
 
-    state = "accepted array<double>"
-
     def __init__(self, most: int, seconds: float):
         self.most, self.seconds = most, seconds
 

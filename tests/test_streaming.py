@@ -92,3 +92,52 @@ def test_messages_about_state_do_not_grow_with_the_keys():
         assert sorted(out.itertuples(index=False, name=None)) == [(k, k * 10 + s, float(s), s == 1) for k in range(n) for s in (1, 2)]
         counts.append(len(calls))
     assert counts[0] == counts[1] < 20
+
+
+def test_only_the_first_timer_of_a_group_reads_and_writes_its_states():
+    """Rows that come in many frames are one timer, and a timer that finds nothing due leaves the states alone."""
+    import pandas as pd
+
+    calls, timers = [], []
+
+    class Kept(list):
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append((self.name, "get"))
+            return iter(list(self))
+
+        def put(self, rows):
+            calls.append((self.name, "put"))
+            self[:] = rows
+
+        def appendList(self, rows):
+            self.extend(rows)
+
+        def clear(self):
+            del self[:]
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Kept(name)
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    admit = rate_limit.Admit(most=1, seconds=10)
+    admit.columns = ["key", "id", "at", "admitted"]
+    admit.init(Handle())
+    frames = [pd.DataFrame([(k, s * 1_000_000, k) for k in range(50)], columns=["key", "at", "id"]) for s in range(1, 9)]
+    assert list(admit.handleInputRows((0,), iter(frames), None)) == [] and timers == [1000]
+    assert len(admit.waiting) == len(frames)
+    (out,) = admit.handleExpiredTimer((0,), At(8000), At(8000))
+    assert len(out) == 400 and out["admitted"].sum() == 50
+    before = list(admit.held)
+    del calls[:]
+    assert list(admit.handleExpiredTimer((0,), At(8000), At(8000))) == []
+    assert not [c for c in calls if c[0] in ("waiting", "held")] and list(admit.held) == before
